@@ -52,31 +52,18 @@ def risk_ema(daily: DataFrame, half_life: float = 15, value: str = "daily_risk")
         Window.partitionBy("subject_id").orderBy("_blk", "day").rowsBetween(Window.unboundedPreceding, -1)
     )
     decay = F.lit(a)
+    position = F.row_number().over(by_day) - 1
+    place = F.col("_l")
+    summed = F.sum(v * F.pow(decay, -place)).over(
+        in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    block_end = F.last(F.when(place == block - 1, F.col("_loc")), ignorenulls=True).over(earlier)
+    carried = F.pow(decay, place + 1) * F.coalesce(block_end, F.lit(0.0))
     return (
-        daily.withColumn("_broken", broken)
-        .withColumn("_i", F.row_number().over(by_day) - 1)
-        .withColumn("_blk", F.floor(F.col("_i") / F.lit(block)))
-        .withColumn("_l", F.col("_i") % F.lit(block))
-        .withColumn(
-            "_loc",
-            F.lit(1.0 - a)
-            * F.pow(decay, F.col("_l"))
-            * F.sum(v * F.pow(decay, -F.col("_l"))).over(
-                in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
-        .withColumn(
-            "_carry",
-            F.coalesce(
-                F.last(F.when(F.col("_l") == block - 1, F.col("_loc")), ignorenulls=True).over(earlier),
-                F.lit(0.0),
-            ),
-        )
-        .withColumn(
-            "ema",
-            F.when(~F.col("_broken"), F.col("_loc") + F.pow(decay, F.col("_l") + 1) * F.col("_carry")),
-        )
-        .drop("_broken", "_i", "_blk", "_l", "_loc", "_carry")
+        daily.select("*", broken.alias("_broken"), position.alias("_i"))
+        .select("*", F.floor(F.col("_i") / F.lit(block)).alias("_blk"), (F.col("_i") % F.lit(block)).alias("_l"))
+        .select("*", (F.lit(1.0 - a) * F.pow(decay, place) * summed).alias("_loc"))
+        .select(*daily.columns, F.when(~F.col("_broken"), F.col("_loc") + carried).alias("ema"))
     )
 
 

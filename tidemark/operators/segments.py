@@ -24,40 +24,36 @@ def segments(series: DataFrame, k: int = 10, value: str = "ema_smooth") -> DataF
     the ends of its segment, so a round is one window over the user and needs no shuffle or sort.
     """
     user = Window.partitionBy("subject_id")
-    by_day = user.orderBy("day")
     point = F.struct("i", "x", "y")
     rows = (
-        days_since_start(series.select("subject_id", "day", F.col(value).cast("double").alias("y")))
-        .withColumn("x", F.col("x").cast("double"))
-        .withColumn("i", F.row_number().over(by_day))
-        .withColumn("s", F.min_by(point, "i").over(user))
-        .withColumn("e", F.max_by(point, "i").over(user))
+        series.select(
+            "subject_id",
+            "day",
+            F.col(value).cast("double").alias("y"),
+            F.datediff("day", F.min("day").over(user)).cast("double").alias("x"),
+            F.row_number().over(user.orderBy("day")).alias("i"),
+        )
+        .select("*", F.min_by(point, "i").over(user).alias("s"), F.max_by(point, "i").over(user).alias("e"))
         .where(F.col("s.i") < F.col("e.i"))
-        .withColumn("is_break", (F.col("i") == F.col("s.i")) | (F.col("i") == F.col("e.i")))
+        .withColumn("is_break", F.col("i").isin(F.col("s.i"), F.col("e.i")))
     )
-    here, s, e = F.col("i"), F.col("s"), F.col("e")
+    i, s, e, best = F.col("i"), F.col("s"), F.col("e"), F.col("best")
+    inside = (s["i"] < i) & (i < e["i"])
+    distance = F.when(inside, point_line_distance(F.col("x"), F.col("y"), s["x"], s["y"], e["x"], e["y"]))
+    farthest = F.max(F.struct(distance.alias("d"), (-i).alias("neg"), "x", "y")).over(user)
+    m = -best["neg"]
+    hit = F.coalesce((best["d"] > 0) & (s["i"] < m) & (m < e["i"]), F.lit(False))
+    split = F.struct(m.alias("i"), best["x"].alias("x"), best["y"].alias("y"))
     for _ in range(k - 1):
-        distance = F.when(
-            (s["i"] < here) & (here < e["i"]),
-            point_line_distance(F.col("x"), F.col("y"), s["x"], s["y"], e["x"], e["y"]),
-        )
-        rows = rows.withColumn("d", distance)
-        farthest = F.max(
-            F.when(F.col("d") > 0, F.struct(F.col("d"), (-here).alias("neg"), "x", "y"))
-        ).over(user)
-        rows = rows.withColumn("best", farthest)
-        best = F.struct(
-            (-F.col("best.neg")).alias("i"), F.col("best.x").alias("x"), F.col("best.y").alias("y")
-        )
-        rows = rows.withColumn("m", F.when(F.col("best").isNotNull(), best))
-        m = F.col("m")
-        inside = F.coalesce((s["i"] < m["i"]) & (m["i"] < e["i"]), F.lit(False))
-        rows = (
-            rows.withColumn("hit", inside)
-            .withColumn("new_s", F.when(F.col("hit") & (here >= m["i"]), m).otherwise(s))
-            .withColumn("new_e", F.when(F.col("hit") & (here <= m["i"]), m).otherwise(e))
-            .withColumn("is_break", F.col("is_break") | (F.col("hit") & (here == m["i"])))
-            .select("subject_id", "day", "y", "x", "i", F.col("new_s").alias("s"), F.col("new_e").alias("e"), "is_break")
+        rows = rows.select("*", farthest.alias("best")).select(
+            "subject_id",
+            "day",
+            "y",
+            "x",
+            "i",
+            F.when(hit & (i >= m), split).otherwise(s).alias("s"),
+            F.when(hit & (i <= m), split).otherwise(e).alias("e"),
+            (F.col("is_break") | (hit & (i == m))).alias("is_break"),
         )
     breaks = rows.where("is_break").select("subject_id", "day", "y", "i")
     order = user.orderBy("i")
