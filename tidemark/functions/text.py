@@ -69,3 +69,8 @@ def terms(col: Column | str, stop_words: list[str] | None = None) -> Column:
 
 def criterion_label(col: Column | str) -> Column:
     return F.replace(_c(col), F.lit("_"), F.lit(" "))
+
+
+def two_decimals(col: Column | str) -> Column:
+    """A number with two decimals, rounding its exact binary value half to even."""
+    return F.call_function("format_number", _c(col), F.lit("0.00"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import criterion_label
+from tidemark.functions.text import criterion_label, two_decimals
 
 # Criteria of the per-user table, in display order.
 CRITERIA = [
@@ -67,8 +67,8 @@ def judge_criteria_means(verdicts: DataFrame) -> DataFrame:
             criterion_label("criterion").alias("criterion"),
             "avg_base",
             "avg_trajectory",
-            F.format_number("avg_base", "0.00").alias("base_text"),
-            F.format_number("avg_trajectory", "0.00").alias("trajectory_text"),
+            two_decimals("avg_base").alias("base_text"),
+            two_decimals("avg_trajectory").alias("trajectory_text"),
             "n",
         )
     )

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.text import two_decimals
+
 
 def merge_reports(base: DataFrame, trajectory: DataFrame) -> DataFrame:
     """Both reports of a user in one row, for users that have both; one row per user on each side."""
@@ -24,7 +26,7 @@ def report_text_assembly(reports: DataFrame) -> DataFrame:
             F.lit(" to "),
             F.coalesce(p["end_date"], F.lit("")),
             F.lit(" (Delta: "),
-            F.format_string("%.2f", F.coalesce(p["delta"], F.lit(0.0))),
+            two_decimals(F.coalesce(p["delta"], F.lit(0.0))),
             F.lit(")\n"),
             F.coalesce(p["narrative"], F.lit("")),
         ),
