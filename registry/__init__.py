@@ -2,6 +2,6 @@
 
 from registry.base import QUERIES, SQL
 
-from registry import stats, risk, segments, coverage, topics  # noqa: F401, E402  (importing registers)
+from registry import stats, risk, segments, coverage, topics, judge, narratives, infer, sources  # noqa: F401, E402  (importing registers)
 
 __all__ = ["QUERIES", "SQL"]

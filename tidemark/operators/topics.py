@@ -36,9 +36,12 @@ def topic_term_counts(
 ) -> DataFrame:
     """Per corpus, topic and term: `n`, the topic's total `topic_total` and the term's `term_total`."""
     by = list(by)
-    counts = tokenize(posts, [*by, "topic"], stop_words).groupBy(*by, "topic", "term").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    # The joins below imply these filters; stated here, the three uses of the counts have equal plans
+    # and share one shuffle, so texts are read and tokenised once.
+    terms = tokenize(posts, [*by, "topic"], stop_words)
+    for name in terms.columns:
+        terms = terms.where(F.col(name).isNotNull())
+    counts = terms.groupBy(*by, "topic", "term").agg(F.count(F.lit(1)).alias("n"))
     # Totals come from the counted rows; joining them back avoids a window over a hot topic.
     topic_totals = counts.groupBy(*by, "topic").agg(F.sum("n").alias("topic_total"))
     term_totals = counts.groupBy(*by, "term").agg(F.sum("n").alias("term_total"))

@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 from tidemark.plans.lineage import cut
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner equi-join that also matches null with null, so undated rows stay in."""
+    renamed = right.select(
+        *[F.col(c).alias(f"_r{i}") for i, c in enumerate(on)], *[c for c in right.columns if c not in on]
+    )
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"_r{i}"))
+    return left.join(renamed, same).drop(*[f"_r{i}" for i in range(len(on))])
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, name: str = "before"
 ) -> DataFrame:
@@ -36,10 +47,9 @@ def running_total(
         .drop("_total")
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.withColumn("_local", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-        .join(offsets, [*keys, "_range"])
-        .select(*keys, *order, (F.col("_offset") + F.col("_local")).alias(name))
+    local = ranged.withColumn("_local", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    return _join_null_safe(local, offsets, [*keys, "_range"]).select(
+        *keys, *order, (F.col("_offset") + F.col("_local")).alias(name)
     )
 
 
@@ -63,9 +73,9 @@ def text_parts(
     placed = starts.select(
         *keys, *order, F.floor(F.col("before") / F.lit(max_chars)).cast("bigint").alias("part")
     )
+    texts = df.select(*keys, *order, F.col(text).alias("_text"))
     return (
-        df.select(*keys, *order, F.col(text).alias("_text"))
-        .join(placed, [*keys, *order])
+        _join_null_safe(texts, placed, [*keys, *order])
         .groupBy(*keys, "part")
         .agg(
             F.array_join(

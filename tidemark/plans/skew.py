@@ -29,14 +29,15 @@ def hot_keys(
     `rows` sums a row-count column where `df` is already aggregated.
     """
     n = F.count(F.lit(1)) if rows is None else F.sum(rows)
+    for k in keys:
+        # Filtered before counting, so that the total and the list share one shuffle.
+        df = df.where(F.col(k).isNotNull())
     counts = df.groupBy(*keys).agg(n.alias("_n"))
     limit = F.greatest(
         counts.select((F.sum("_n") * F.lit(share)).alias("limit")).scalar(), F.lit(float(min_rows))
     )
-    return (
-        counts.where(F.col("_n") > limit)
-        .where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-        .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
+    return counts.where(F.col("_n") > limit).select(
+        *keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")
     )
 
 
