@@ -19,6 +19,8 @@ from tidemark.plans.lineage import cut
 from tidemark.plans.ordered import running_total
 from tidemark.plans.skew import salted_join
 
+_SALTS = 16
+
 
 def embed_text(posts: DataFrame, num_features: int = 512, column: str = "text") -> DataFrame:
     """`vector`: unit-length hashed TF-IDF of the terms of a text.
@@ -73,9 +75,17 @@ def _components(cells: DataFrame, by: list[str]) -> DataFrame:
         hooked = labels.join(lowest, [*by, "_cell"], "left").select(
             *by, "_cell", F.col("_root").alias("_old"), F.least("_root", "_near").alias("_new")
         )
-        # Jump to the label of the label; a large component makes its label hot.
-        targets = hooked.select(*by, F.col("_cell").alias("_new"), F.col("_new").alias("_root"))
-        jumped = cut(salted_join(hooked, targets, [*by, "_new"], spread=["_cell"]))
+        # Jump to the label of the label.  A large component makes its label hot, so the lookup table,
+        # which holds only labels in use and shrinks every round, is repeated per salt.
+        in_use = hooked.select(*by, F.col("_new").alias("_cell")).distinct()
+        targets = hooked.join(in_use, [*by, "_cell"]).select(
+            *by,
+            F.col("_cell").alias("_new"),
+            F.col("_new").alias("_root"),
+            F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"),
+        )
+        salt = F.pmod(F.xxhash64("_cell"), F.lit(_SALTS)).cast("int")
+        jumped = cut(hooked.withColumn("_salt", salt).join(targets, [*by, "_new", "_salt"]).drop("_salt"))
         labels = jumped.select(*by, "_cell", "_root")
         if jumped.where(F.col("_root") != F.col("_old")).isEmpty():
             return labels

@@ -109,11 +109,10 @@ def user_header(posts: DataFrame, half_life: float = 15) -> DataFrame:
     )
 
 
-def risk_rankings(posts: DataFrame, half_life: float = 15, limit: int = 20) -> DataFrame:
-    """Users by their latest unsmoothed decayed risk, with its mean and peak."""
+def rank_users(scored: DataFrame, limit: int = 20) -> DataFrame:
+    """Users by the latest `ema` of their series, with its mean and peak."""
     return (
-        risk_series(posts, half_life, smoothing=False)
-        .groupBy("subject_id")
+        scored.groupBy("subject_id")
         .agg(
             F.max_by("ema", "day").alias("current_risk"),
             F.avg("ema").alias("avg_risk"),
@@ -124,6 +123,11 @@ def risk_rankings(posts: DataFrame, half_life: float = 15, limit: int = 20) -> D
     )
 
 
+def risk_rankings(posts: DataFrame, half_life: float = 15, limit: int = 20) -> DataFrame:
+    """Users by their latest unsmoothed decayed risk."""
+    return rank_users(risk_series(posts, half_life, smoothing=False), limit)
+
+
 def _top_per_user(posts: DataFrame, n: int, *order: Column) -> DataFrame:
     # The filter on row_number lets Spark keep n rows per user in each map task before the shuffle.
     ranked = Window.partitionBy("subject_id").orderBy(*order)

@@ -94,20 +94,3 @@ def score_histogram(posts: DataFrame, bins: int = 20) -> DataFrame:
 
 def subject_ids(posts: DataFrame) -> DataFrame:
     return posts.select("subject_id").distinct().orderBy("subject_id")
-
-
-def global_statistics(posts: DataFrame, half_life: float = 15) -> dict[str, DataFrame]:
-    """Every dataset-wide table at once, lazily. Persist or write `posts` first if it is costly."""
-    from tidemark.operators import risk
-
-    return {
-        "user_metrics": user_metrics(posts),
-        "depression_averages": non_depressed_estimate(posts),
-        "posts_over_time": posts_over_time(posts),
-        "top_active_users": top_active_users(posts),
-        "weekday_activity": weekday_activity(posts),
-        "post_length_stats": post_length_stats(posts),
-        "activity_risk": activity_risk(posts),
-        "score_histogram": score_histogram(posts),
-        "risk_rankings": risk.risk_rankings(posts, half_life=half_life),
-    }

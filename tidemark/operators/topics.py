@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.plans.ordered import text_parts
+from tidemark.plans.skew import hot_keys, salted_join
 
 
 def tokenize(
@@ -45,7 +46,10 @@ def topic_term_counts(
     # Totals come from the counted rows; joining them back avoids a window over a hot topic.
     topic_totals = counts.groupBy(*by, "topic").agg(F.sum("n").alias("topic_total"))
     term_totals = counts.groupBy(*by, "term").agg(F.sum("n").alias("term_total"))
-    return counts.join(term_totals, [*by, "term"]).join(topic_totals, [*by, "topic"]).select(
+    topic_key = [*by, "topic"]
+    totalled = salted_join(counts, topic_totals, topic_key, spread=["term"], hot=hot_keys(counts, topic_key))
+    # A term has at most one row per topic of its corpus.
+    return totalled.join(term_totals, [*by, "term"]).select(
         *by, "topic", "term", "n", "topic_total", "term_total"
     )
 
@@ -56,7 +60,7 @@ def ctfidf(posts: DataFrame, by: Sequence[str] = (), stop_words: list[str] | Non
     counts = topic_term_counts(posts, by, stop_words)
     if by:
         sizes = posts.groupBy(*by).agg(F.count(F.lit(1)).alias("_posts"))
-        counts, n_posts = counts.join(sizes, by), F.col("_posts")
+        counts, n_posts = salted_join(counts, sizes, by, spread=["topic", "term"]), F.col("_posts")
     else:
         n_posts = posts.agg(F.count(F.lit(1))).scalar()
     score = (F.col("n") / F.col("topic_total")) * F.ln(n_posts / F.col("term_total"))
@@ -112,9 +116,9 @@ def topic_label_lookup(
                 "_label"
             ),
         )
+    real = points.where(F.col("topic") != -1)
     return (
-        points.where(F.col("topic") != -1)
-        .join(labels, [*by, "topic"], "left")
+        salted_join(real, labels, [*by, "topic"], spread=points.columns, how="left")
         .withColumn("topic_label", F.coalesce("_label", topic))
         .drop("_label")
     )
@@ -133,7 +137,7 @@ def cluster_points(points: DataFrame, text: Column | str = "text") -> DataFrame:
 
 
 def user_topic_text(
-    posts: DataFrame, order: Sequence[str] = ("date", "id"), *, max_chars: int = 100_000_000
+    posts: DataFrame, order: Sequence[str] = ("date", "id"), *, max_chars: int = 10_000_000
 ) -> DataFrame:
     """All posts of a user joined by line breaks, in order: one row, or several parts for a huge user."""
     return text_parts(posts, ["subject_id"], order, max_chars=max_chars)

@@ -21,13 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, unique per call."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, unique per call and grouped by application."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/tidemark-{app}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and ends the plan's growth."""
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """The rows written as a table in the shared folder and read back.
+
+    It survives lost executors, ends the plan's growth, computes `df` once, and later steps read only
+    the columns they use.  Tables stay until the folder is cleaned.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -39,18 +39,20 @@ def load_posts_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -
 
 
 def export_sorted(posts: DataFrame, path: str, *, ties: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """Write posts as CSV in the order of numeric subject and date, `ties` last.
+    """Write posts as CSV in the order of numeric subject and date, then `ties`.
 
-    The sort is range-partitioned: part files are in order, and a hot subject spreads over several.
+    The sort is range-partitioned: part files are in order.  A row hash comes last, so that a hot
+    subject or even a hot subject and date spreads over several files.
     """
-    subject = F.expr("try_cast(subject_id AS bigint)")
-    posts.orderBy(subject, "date", *ties).write.mode(mode).options(**CSV).csv(path)
+    order = [F.expr("try_cast(subject_id AS bigint)"), F.col("date"), *ties, F.xxhash64(*posts.columns)]
+    posts.orderBy(*order).write.mode(mode).options(**CSV).csv(path)
 
 
 def write_results(df: DataFrame, path: str, by: Sequence[str] = ("subject_id",), mode: str = "overwrite") -> None:
     """Write one Parquet table for all users, clustered by `by`.
 
-    Range partitions keep a user's rows together, so reading one user touches few row groups; naming
-    a second column such as the day splits a hot user over several files.
+    Range partitions keep a user's rows together, so reading one user touches few row groups; the row
+    hash lets a user too large for one file spread over neighbouring ones.
     """
-    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode(mode).parquet(path)
+    order = [*by, F.xxhash64(*df.columns)]
+    df.repartitionByRange(*order).sortWithinPartitions(*by).write.mode(mode).parquet(path)
