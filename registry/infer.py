@@ -7,6 +7,8 @@ from registry.judge import VERDICTS_SQL, verdicts
 from registry.narratives import REPORTS_SQL, base_reports, phase_narratives, trajectory_reports
 from registry.segments import segments_sql, series
 from tidemark.operators import clusters, infer, judge, prompts, reports, risk, segments
+from tidemark.plans.lineage import cut
+from tidemark.plans.spread import spread
 
 P = f"WITH {POSTS_SQL} "
 
@@ -161,7 +163,7 @@ def prompt_corpus_summary(spark, d):
 
 
 def document_vectors(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text")
     return clusters.embed_text(docs, num_features=256)
 
 
@@ -172,7 +174,8 @@ def embed_text(spark, d):
 
 @query("reduce_dims")
 def reduce_dims(spark, d):
-    return clusters.reduce_dims(document_vectors(spark, d), k=5).select("id", "coords")
+    # Stored first: fitting and projecting each read the vectors.
+    return clusters.reduce_dims(cut(document_vectors(spark, d), "vectors"), k=5).select("id", "coords")
 
 
 WIDTH, DENSE, SMALLEST = 0.0625, 2, 4
@@ -205,5 +208,5 @@ def density_cluster(spark, d):
 @query("document_clusters")
 def document_clusters(spark, d):
     """The whole chain: text to vector to coordinates to clusters."""
-    coords = clusters.reduce_dims(document_vectors(spark, d), k=2).select("id", "coords")
+    coords = clusters.reduce_dims(cut(document_vectors(spark, d), "vectors"), k=2).select("id", "coords")
     return clusters.density_cluster(coords, width=0.05, min_points=3, min_cluster_size=10)

@@ -6,6 +6,7 @@ from registry.base import query, r6, table
 from tidemark.functions import text as tx
 from tidemark.functions.stopwords import ENGLISH
 from tidemark.operators import clean, topics
+from tidemark.plans.spread import spread
 
 # Documents hold no links, so both engines append the same ones.
 LINKED_SQL = """linked AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' see [the page](http://a.example/x) or http://b.example/y?z=1'
@@ -20,12 +21,12 @@ def linked(spark, d):
         .when(F.col("doc_id") % 3 == 1, F.lit("\r\n[a](b)[c](d) https://c.example/end"))
         .otherwise(F.lit(""))
     )
-    return table(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("text"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.concat("text", tail).alias("text"))
 
 
 def documents(spark, d):
     """Documents as posts, with the source number as topic."""
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         F.col("doc_id").alias("id"), F.replace("source", F.lit("src"), F.lit("")).cast("bigint").alias("topic"), "lang", "text"
     )
 

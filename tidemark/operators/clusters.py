@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
@@ -49,45 +49,43 @@ def reduce_dims(vectors: DataFrame, k: int = 5, column: str = "vector", out: str
     return model.transform(unit).withColumn(out, turned).drop("_v", "_unit", "_pc")
 
 
-def _components(cells: DataFrame, by: list[str]) -> DataFrame:
-    """`_root`: the smallest cell of the connected component, cells joined by a common face."""
-    axis = F.explode(F.sequence(F.lit(0), F.size("_cell") - 1))
-    up = (
-        cells.select(*by, "_cell", axis.alias("_axis"))
-        .select(
-            *by,
-            F.col("_cell").alias("_src"),
-            F.transform("_cell", lambda v, i: v + F.when(i == F.col("_axis"), 1).otherwise(0)).alias("_cell"),
-        )
-        .join(cells.select(*by, "_cell"), [*by, "_cell"])
-        .withColumnRenamed("_cell", "_dst")
+def _with_neighbours(cell: str) -> Column:
+    """The cell and the cells that share a face with it."""
+
+    def moved(axis: Column, by: int) -> Column:
+        return F.transform(cell, lambda v, i: v + F.when(i == axis, by).otherwise(0))
+
+    axes = F.sequence(F.lit(0), F.size(cell) - 1)
+    return F.concat(
+        F.array(F.col(cell)), F.transform(axes, lambda a: moved(a, 1)), F.transform(axes, lambda a: moved(a, -1))
     )
-    edges = cut(up.unionByName(up.select(*by, F.col("_dst").alias("_src"), F.col("_src").alias("_dst"))))
 
+
+def _components(cells: DataFrame, by: list[str]) -> DataFrame:
+    """`_root`: the smallest cell of the connected component, cells joined by a common face."""
     labels = cells.select(*by, "_cell", F.col("_cell").alias("_root"))
     while True:
-        # A cell has at most two neighbours per axis, so this join has no hot key.
-        lowest = (
-            edges.join(labels.withColumnRenamed("_cell", "_dst"), [*by, "_dst"])
-            .groupBy(*by, F.col("_src").alias("_cell"))
-            .agg(F.min("_root").alias("_near"))
-        )
-        hooked = labels.join(lowest, [*by, "_cell"], "left").select(
-            *by, "_cell", F.col("_root").alias("_old"), F.least("_root", "_near").alias("_new")
+        # Every cell sends its label to itself and its neighbours; only cells that exist receive it.
+        # A cell hears from at most two neighbours per axis, so no group is large.
+        hooked = (
+            labels.select(*by, "_root", F.col("_cell").alias("_from"), F.explode(_with_neighbours("_cell")).alias("_cell"))
+            .groupBy(*by, "_cell")
+            .agg(F.min("_root").alias("_new"), F.max(F.when(F.col("_from") == F.col("_cell"), F.col("_root"))).alias("_old"))
+            .where(F.col("_old").isNotNull())
         )
+        hooked = cut(hooked, "hooked")
         # Jump to the label of the label.  A large component makes its label hot, so the lookup table,
         # which holds only labels in use and shrinks every round, is repeated per salt.
         in_use = hooked.select(*by, F.col("_new").alias("_cell")).distinct()
-        targets = hooked.join(in_use, [*by, "_cell"]).select(
+        targets = hooked.join(in_use, [*by, "_cell"], "left_semi").select(
             *by,
             F.col("_cell").alias("_new"),
             F.col("_new").alias("_root"),
             F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"),
         )
         salt = F.pmod(F.xxhash64("_cell"), F.lit(_SALTS)).cast("int")
-        jumped = cut(hooked.withColumn("_salt", salt).join(targets, [*by, "_new", "_salt"]).drop("_salt"))
-        labels = jumped.select(*by, "_cell", "_root")
-        if jumped.where(F.col("_root") != F.col("_old")).isEmpty():
+        labels = hooked.withColumn("_salt", salt).join(targets, [*by, "_new", "_salt"]).select(*by, "_cell", "_root")
+        if hooked.where(F.col("_new") != F.col("_old")).isEmpty():
             return labels
 
 
