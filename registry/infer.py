@@ -101,7 +101,7 @@ def prompt_table(spark, d):
     FROM seg g JOIN days USING (subject_id) LEFT JOIN blocks b ON b.subject_id = g.subject_id AND b.phase_num = g.seg_no""",
 )
 def prompt_table_phases(spark, d):
-    segs = segments.segments(series(spark, d), k=4)
+    segs = cut(segments.segments(series(spark, d), k=4), "segments")
     return prompts.phase_prompts(
         segments.phase_posts(posts(spark, d), segs),
         risk.daily_risk(posts(spark, d)),

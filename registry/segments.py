@@ -6,6 +6,7 @@ from registry.base import posts, query, r6
 from registry.risk import SERIES_SQL
 from tidemark.functions.scores import point_line_distance
 from tidemark.operators import risk, segments
+from tidemark.plans.lineage import cut
 
 
 def series(spark, d):
@@ -98,7 +99,7 @@ PHASE_POSTS = """SELECT p.subject_id, p.id, p.date, p.text, g.seg_no AS phase_nu
 
 
 def _phase_posts(spark, d, **kw):
-    segs = segments.segments(series(spark, d), k=4)
+    segs = cut(segments.segments(series(spark, d), k=4), "segments")
     return segments.phase_posts(posts(spark, d), segs, **kw).select(
         "subject_id", "id", "date", "text", "phase_num", "start_date", "end_date", r6("delta")
     )

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tidemark.operators import clean, risk, stats
 from tidemark.plans.lineage import cut, scratch_path
 from tidemark.plans.ordered import running_total, text_parts
-from tidemark.plans.skew import hot_keys, salted_join
+from tidemark.plans.skew import hot_keys, known_small, salted_join
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -80,6 +80,22 @@ def test_text_parts_keep_every_text_in_order(spark):
     assert {r.text for r in parts if r.subject_id is None} == {"nobody"}
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_known_small_side_is_broadcast_without_a_count(spark, how):
+    small = cut(spark.createDataFrame([(1, "a"), (1, "b"), (None, "n")], "k bigint, v string"))
+    assert known_small(small)
+    assert not known_small(small.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(9)))))
+    big = cut(skewed(spark))
+    got = salted_join(big, small, ["k"], spread=["id"], how=how)
+    assert "BroadcastHashJoin" in plan(got) and "Exchange hashpartitioning" not in plan(got)
+    assert sorted(map(str, got.collect())) == sorted(map(str, big.join(small, "k", how).collect()))
+
+
+def test_large_side_is_not_called_small(spark):
+    wide = cut(spark.range(400_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v")))
+    assert not known_small(wide)
+
+
 def test_cut_reads_back_the_same_rows(spark):
     df = skewed(spark, 100)
     back = cut(df)

@@ -110,7 +110,8 @@ def phase_posts(posts: DataFrame, segs: DataFrame, *, end_of_day: bool = False)
 
     A phase runs from midnight of its start to midnight of its end, so posts later on the end day
     belong to the next phase, or to none after the last.  `end_of_day=True` compares days instead.
-    Rows stay flat; order them by (subject_id, phase_num, date, id), or assemble texts in bounded
+    Pass stored segments (`plans.lineage.cut`): with their size known, few of them are broadcast and the
+    posts are not shuffled.  Rows stay flat; order them by (subject_id, phase_num, date, id), or assemble texts in bounded
     parts with `plans.ordered.text_parts`.
     """
     phases = phase_breaks(segs)
@@ -120,6 +121,4 @@ def phase_posts(posts: DataFrame, segs: DataFrame, *, end_of_day: bool = False)
         kind = dict(posts.dtypes)["date"]
         inside = F.col("date").between(F.col("start_date").cast(kind), F.col("end_date").cast(kind))
     dated = posts.where(F.col("date").isNotNull())
-    return salted_join(
-        dated, phases, ["subject_id"], spread=["id"], condition=inside, hot=None
-    )
+    return salted_join(dated, phases, ["subject_id"], spread=["id"], condition=inside)

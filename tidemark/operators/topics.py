@@ -37,21 +37,19 @@ def topic_term_counts(
 ) -> DataFrame:
     """Per corpus, topic and term: `n`, the topic's total `topic_total` and the term's `term_total`."""
     by = list(by)
-    # The joins below imply these filters; stated here, the three uses of the counts have equal plans
+    # The joins below imply these filters; stated here, all uses of the counts have equal plans
     # and share one shuffle, so texts are read and tokenised once.
     terms = tokenize(posts, [*by, "topic"], stop_words)
     for name in terms.columns:
         terms = terms.where(F.col(name).isNotNull())
     counts = terms.groupBy(*by, "topic", "term").agg(F.count(F.lit(1)).alias("n"))
-    # Totals come from the counted rows; joining them back avoids a window over a hot topic.
-    topic_totals = counts.groupBy(*by, "topic").agg(F.sum("n").alias("topic_total"))
-    term_totals = counts.groupBy(*by, "term").agg(F.sum("n").alias("term_total"))
     topic_key = [*by, "topic"]
+    # A topic may hold a third of all terms, so its total is joined back in slices.  A term has at most
+    # one row per topic of its corpus, so a window over it stays small and saves a join.
+    topic_totals = counts.groupBy(*topic_key).agg(F.sum("n").alias("topic_total"))
     totalled = salted_join(counts, topic_totals, topic_key, spread=["term"], hot=hot_keys(counts, topic_key))
-    # A term has at most one row per topic of its corpus.
-    return totalled.join(term_totals, [*by, "term"]).select(
-        *by, "topic", "term", "n", "topic_total", "term_total"
-    )
+    term_total = F.sum("n").over(Window.partitionBy(*by, "term"))
+    return totalled.select(*by, "topic", "term", "n", "topic_total", term_total.alias("term_total"))
 
 
 def ctfidf(posts: DataFrame, by: Sequence[str] = (), stop_words: list[str] | None = None) -> DataFrame:
