@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from registry.base import query, r6, table
-from tidemark.operators import coverage
+from registry.base import posts, query, r6, table
+from registry.narratives import REPORTS_SQL, topic_lists, trajectory_reports
+from tidemark.operators import coverage, infer, reports
+from tidemark.plans.lineage import cut
 
 # Fixture vectors are nearly random; at the usual thresholds nothing would match.
 THRESHOLD = 0.25
@@ -108,3 +110,72 @@ def topic_ground_truth(spark, d):
         F.col("label").alias("item"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("label"), "vector"
     )
     return coverage.topic_ground_truth(topics, truths).select("topic", "gt_label", r6("gt_score"))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def make_letter_counts():
+    """Stands in for an encoder: how often each letter occurs."""
+    import numpy as np
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def encode(texts):
+        return np.array([[t.count(c) + t.count(c.upper()) for c in letters] for t in texts], dtype=np.float64)
+
+    return encode
+
+
+def encoded(side):
+    # Stored, since the vectors are read several times and a real encoder is costly.
+    return cut(infer.batch_infer(side, make_letter_counts, out="vector", batch_size=64), "encoded")
+
+
+COUNTS_SQL = "[" + ", ".join(
+    f"CAST(2 * length(text) - length(replace(text, '{c}', '')) - length(replace(text, '{c.upper()}', '')) AS DOUBLE)" for c in LETTERS
+) + "]"
+
+
+@query(
+    "text_coverage",
+    REPORTS_SQL + f""", f AS (SELECT subject_id AS key, id AS item, text, {COUNTS_SQL} AS vec FROM posts),
+    s AS (SELECT subject_id AS key, trajectory_summary AS text, {COUNTS_SQL.replace("text", "trajectory_summary")} AS vec FROM trajectory)
+    SELECT f.key, f.item AS full_item, f.text AS full_text, CASE WHEN length(s.text) > 100 THEN left(s.text, 100) || '...' ELSE s.text END AS sample_text,
+      round(list_cosine_similarity(f.vec, s.vec), 6) AS cosine, list_cosine_similarity(f.vec, s.vec) >= 0.5 AS covered FROM f JOIN s ON f.key = s.key""",
+)
+def text_coverage(spark, d):
+    """Every post against its user's narrative, from texts to matches."""
+    full, sample = coverage.text_sides(posts(spark, d), trajectory_reports(spark, d), "trajectory_summary")
+    full, sample = encoded(full), encoded(sample)
+    matches = coverage.best_match(full, sample, 0.5)
+    return coverage.matched_texts(matches, full, sample).select(
+        "key", "full_item", "full_text", "sample_text", r6("cosine"), F.col("matched").alias("covered")
+    )
+
+
+@query(
+    "topic_coverage",
+    f"""WITH kinds(event_type, place) AS (VALUES ('purchase', 0), ('signup', 1), ('view', 2), ('click', 3), ('error', 4)),
+    f AS (SELECT DISTINCT user_id AS key, 'about ' || event_type AS text FROM events JOIN kinds USING (event_type)),
+    s AS (SELECT DISTINCT user_id AS key, 'a story of ' || event_type AS text FROM events JOIN kinds USING (event_type) WHERE event_type IN ('purchase', 'view', 'error')),
+    fv AS (SELECT key, text, {COUNTS_SQL} AS vec FROM f), sv AS (SELECT key, text, {COUNTS_SQL} AS vec FROM s),
+    sims AS (SELECT fv.key, fv.text AS i, sv.text AS j, list_cosine_similarity(fv.vec, sv.vec) AS c FROM fv JOIN sv ON fv.key = sv.key),
+    r AS (SELECT key, count(*) FILTER (m >= 0.75) AS tp_full, count(*) AS n_full FROM (SELECT key, i, max(c) AS m FROM sims GROUP BY 1, 2) GROUP BY 1),
+    p AS (SELECT key, count(*) FILTER (m >= 0.75) AS tp_sample, count(*) AS n_sample FROM (SELECT key, j, max(c) AS m FROM sims GROUP BY 1, 2) GROUP BY 1)
+    SELECT key, tp_full, tp_sample, n_full, n_sample, round(tp_full / n_full, 6) AS recall, round(tp_sample / n_sample, 6) AS precision FROM r JOIN p USING (key)""",
+)
+def topic_coverage(spark, d):
+    """Topics of the posts against topics of a narrative, from lists to metrics."""
+    flat = reports.flatten_topics(topic_lists(spark, d)).withColumn("source", F.lit("posts"))
+    kind = F.split_part("topic", F.lit(" "), F.lit(2))
+    narrated = (
+        flat.where(kind.isin("purchase", "view", "error"))
+        .withColumn("topic", F.concat(F.lit("a story of "), kind))
+        .withColumn("source", F.lit("narrative_base"))
+    )
+    full, sample = coverage.topic_sides(flat.unionByName(narrated))
+    maxima = coverage.cosine_maxima(encoded(full), encoded(sample))
+    return coverage.coverage_metrics(maxima, 0.75).select(
+        "key", "tp_full", "tp_sample", "n_full", "n_sample", r6("recall"), r6("precision")
+    )

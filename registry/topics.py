@@ -159,6 +159,11 @@ def topic_info(spark, d):
     )
 
 
+@query("topic_words", INFO_SQL + "SELECT topic, array_to_string(representation[1:3], ' ') AS words FROM named")
+def topic_words(spark, d):
+    return topics.topic_info(documents(spark, d)).select("topic", tx.topic_words("name").alias("words"))
+
+
 @query(
     "topic_info_by_language",
     f"""WITH {DOCS_SQL}, terms AS (SELECT lang, topic, term FROM (

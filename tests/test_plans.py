@@ -140,7 +140,8 @@ def test_terms_are_read_once(spark):
 
 
 PYTHON = {"ingest_zip_xml", "batch_infer", "complete_prompts", "read_eval_json", "read_topic_json", "read_report_json",
-          "cosine_maxima", "best_match", "matched_only", "coverage_metrics", "coverage_sensitivity", "topic_ground_truth"}
+          "cosine_maxima", "best_match", "matched_only", "coverage_metrics", "coverage_sensitivity", "topic_ground_truth",
+          "text_coverage", "topic_coverage"}
 
 
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n not in PYTHON])

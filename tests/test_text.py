@@ -76,3 +76,8 @@ def test_distance(spark):
 def test_unit_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     assert [r.x for r in df.select(vectors.l2_normalise(F.col("v")).alias("x")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+@pytest.mark.parametrize("name,words", [("3_cat_dog_bird", "cat dog bird"), ("-1_cat", "cat"), ("0_under_score_x", "under score x"), ("plain", "plain")])
+def test_words_of_a_topic_name(spark, name, words):
+    assert one(spark, name, text.topic_words) == words

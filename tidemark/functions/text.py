@@ -67,6 +67,12 @@ def terms(col: Column | str, stop_words: list[str] | None = None) -> Column:
     return F.filter(found, lambda t: ~t.isin(list(stops)))
 
 
+def topic_words(name: Column | str) -> Column:
+    """The words of a topic name `id_w1_w2_w3`; a name without underscore is its own words."""
+    c = _c(name)
+    return F.when(F.instr(c, "_") > 0, F.replace(F.regexp_replace(c, "^[^_]*_", ""), F.lit("_"), F.lit(" "))).otherwise(c)
+
+
 def criterion_label(col: Column | str) -> Column:
     return F.replace(_c(col), F.lit("_"), F.lit(" "))
 

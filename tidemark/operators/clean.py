@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, scores, text
@@ -50,15 +50,19 @@ def label_left_join(
     return salted_join(posts, labels, [on], spread=spread or posts.columns, how="left", hot=hot)
 
 
-def typed_posts(posts: DataFrame, date: Column | None = None) -> DataFrame:
-    """Typed columns from text ones: dates and ids coerced, NaN scores to null."""
+def typed_posts(posts: DataFrame, *, numeric_subject: bool = True) -> DataFrame:
+    """Typed columns from text ones: dates and ids coerced, unreadable and NaN scores to null.
+
+    `numeric_subject=False` keeps ids as text, for data whose ids are not numbers.
+    """
     out = posts
     kinds = dict(posts.dtypes)
     if kinds.get("subject_id") == "string":
-        out = out.withColumn("subject_id", F.expr("try_cast(replace(subject_id, 'subject', '') AS bigint)"))
+        bare = text.normalise_subject("subject_id")
+        out = out.withColumn("subject_id", bare.try_cast("bigint") if numeric_subject else bare)
     if kinds.get("date") == "string":
-        out = out.withColumn("date", dates.coerce_date(F.col("date") if date is None else date))
+        out = out.withColumn("date", dates.coerce_date(F.col("date")))
     for name in PROBABILITIES:
         if name in kinds:
-            out = out.withColumn(name, scores.nan_to_null(F.col(name).cast("double")))
+            out = out.withColumn(name, scores.nan_to_null(F.col(name).try_cast("double")))
     return out

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import preview
 from tidemark.plans.skew import hot_keys, salted_join
 
 BLOCK = 1024
@@ -165,6 +166,45 @@ def matched_only(matches: DataFrame) -> DataFrame:
     return matches.where("matched")
 
 
+def matched_texts(
+    matches: DataFrame, full: DataFrame, sample: DataFrame, *, key: str = "key", shorten: int | None = 100
+) -> DataFrame:
+    """Matches with both texts, the sample's shortened for display (`shorten=None` keeps it whole).
+
+    `full` and `sample` hold key, item and text, one row per item.
+    """
+    shown = F.col("text") if shorten is None else preview("text", shorten)
+    sample_text = sample.select(key, F.col("item").alias("sample_item"), shown.alias("sample_text"))
+    full_text = full.select(key, F.col("item").alias("full_item"), F.col("text").alias("full_text"))
+    # One sample, such as a narrative, may be the best match of very many full items.
+    with_sample = salted_join(matches, sample_text, [key, "sample_item"], spread=["full_item"])
+    return with_sample.join(full_text, [key, "full_item"]).select(
+        key, "full_item", "full_text", "sample_item", "sample_text", "cosine", "matched"
+    )
+
+
+def topic_sides(topics: DataFrame, candidate: str = "narrative_base") -> tuple[DataFrame, DataFrame]:
+    """Full and sample items (key, item, text) from flattened topics: the posts' topics and a narrative's.
+
+    `topics` has subject_id, source, position and topic, as `reports.flatten_topics` gives them.
+    """
+    items = topics.select(
+        F.col("subject_id").alias("key"), "source", F.col("position").alias("item"), F.col("topic").alias("text")
+    )
+    return items.where(F.col("source") == "posts").drop("source"), items.where(F.col("source") == candidate).drop("source")
+
+
+def text_sides(
+    posts: DataFrame, reports: DataFrame, narrative: str = "base_analysis"
+) -> tuple[DataFrame, DataFrame]:
+    """Full and sample items (key, item, text) from posts and one narrative per user; empty ones are left out."""
+    full = posts.select(F.col("subject_id").alias("key"), F.col("id").alias("item"), "text")
+    sample = reports.where(F.length(narrative) > 0).select(
+        F.col("subject_id").alias("key"), F.lit(0).cast("bigint").alias("item"), F.col(narrative).alias("text")
+    )
+    return full, sample
+
+
 def _with_scores(counts: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     return counts.select(

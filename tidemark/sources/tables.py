@@ -21,7 +21,9 @@ def read_labels_tsv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(text.normalise_subject("subject").alias("subject_id"), "label")
 
 
-def load_posts_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+def load_posts_csv(
+    spark: SparkSession, path: str, *, multi_line: bool = True, numeric_subject: bool = True
+) -> DataFrame:
     """Classified posts from CSV, with our column names and types.
 
     Fields may hold line breaks, so a file is read by one task; write the result as Parquet once, or
@@ -34,8 +36,8 @@ def load_posts_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -
     if missing:
         raise ValueError(f"missing columns {sorted(missing)} in {path}")
     if "predicted_label" in posts.columns:
-        posts = posts.withColumn("predicted_label", F.expr("try_cast(predicted_label AS int)"))
-    return typed_posts(posts)
+        posts = posts.withColumn("predicted_label", F.col("predicted_label").try_cast("int"))
+    return typed_posts(posts, numeric_subject=numeric_subject)
 
 
 def export_sorted(posts: DataFrame, path: str, *, ties: Sequence[str] = (), mode: str = "overwrite") -> None:
@@ -44,7 +46,7 @@ def export_sorted(posts: DataFrame, path: str, *, ties: Sequence[str] = (), mode
     The sort is range-partitioned: part files are in order.  A row hash comes last, so that a hot
     subject or even a hot subject and date spreads over several files.
     """
-    order = [F.expr("try_cast(subject_id AS bigint)"), F.col("date"), *ties, F.xxhash64(*posts.columns)]
+    order = [F.col("subject_id").try_cast("bigint"), F.col("date"), *ties, F.xxhash64(*posts.columns)]
     posts.orderBy(*order).write.mode(mode).options(**CSV).csv(path)
 
 
