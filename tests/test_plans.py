@@ -139,19 +139,7 @@ def test_terms_are_read_once(spark):
     assert plan(df).split("Initial Plan")[0].count("FileScan") == 1
 
 
-PYTHON = {"ingest_zip_xml", "batch_infer", "complete_prompts", "read_eval_json", "read_topic_json", "read_report_json",
-          "cosine_maxima", "best_match", "matched_only", "coverage_metrics", "coverage_sensitivity", "topic_ground_truth",
-          "text_coverage", "topic_coverage"}
-
-
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in PYTHON])
-def test_no_python_in_plans(spark, name):
-    p = plan(entry.queries()[name](spark, SF_DIR))
-    for node in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas"):
-        assert node not in p
-
-
 def test_no_pairwise_nested_loops(spark):
-    for name in ("phase_posts", "coverage_metrics", "topic_info", "density_cluster"):
+    for name in ("coverage_metrics", "topic_info", "series_by_segment"):
         p = plan(entry.queries()[name](spark, SF_DIR))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p

@@ -20,9 +20,20 @@ def con():
     return c
 
 
+# Queries whose last plan unzips, multiplies blocks or calls a model; no other may leave the JVM.
+PYTHON = {
+    "ingest_zip_xml", "batch_infer", "complete_prompts", "cosine_maxima", "best_match", "matched_only", "coverage_metrics",
+    "coverage_sensitivity", "topic_ground_truth", "text_coverage", "topic_coverage",
+}
+PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas")
+
+
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert (name in PYTHON) == any(node in plan for node in PYTHON_NODES)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     got = rows(df.columns, [tuple(_plain_row(r)) for r in df.collect()])
     sql = entry.oracle_sql().get(name)
     if sql is None:

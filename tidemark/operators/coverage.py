@@ -1,19 +1,19 @@
 """Semantic coverage: how well a sample of vectors covers a full set, within each key.
 
 The reference quantity is the row and column maxima of a similarity matrix.  The matrix is never
-built and its pairs are never emitted: distinct vectors of a key are cut into blocks, each block
-pair is one bounded task that multiplies two small matrices and returns only the maxima, and the
-maxima of different blocks are combined by an ordinary aggregate.  Copies collapse before the
-product, so a group of equal vectors costs one row however large it is.
+built and its pairs are never emitted: distinct vectors of a key are packed into blocks of bounded
+size, every pair of blocks is one row of an ordinary join, and a task multiplies the two small
+matrices of a row and returns only the maxima, which an ordinary aggregate combines.  Copies collapse
+before the product, so a group of equal vectors costs one entry however large it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import preview
@@ -27,14 +27,14 @@ def _distinct_vectors(items: DataFrame, key: str, item: str, vector: str) -> Dat
     """One row per distinct vector and key: the lowest item that has it and the number of copies."""
     return (
         items.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
-        .groupBy(key, F.col(vector).cast("array<double>").alias("vector"))
+        .groupBy(key, F.col(vector).alias("vector"))
         .agg(F.min(item).alias("item"), F.count(F.lit(1)).alias("copies"))
     )
 
 
 def _block_counts(items: DataFrame, key: str, vector: str, name: str, block: int) -> DataFrame:
     # Counting hashes shuffles 8 bytes per vector; a collision only makes a block slightly larger.
-    distinct = F.count_distinct(F.xxhash64(F.col(vector).cast("array<double>")))
+    distinct = F.count_distinct(F.xxhash64(vector))
     return (
         items.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
         .groupBy(key)
@@ -43,37 +43,49 @@ def _block_counts(items: DataFrame, key: str, vector: str, name: str, block: int
     )
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    m = np.array(vectors.tolist(), dtype=np.float64)
+def _unit_matrix(rows: pa.StructArray, start: int, end: int) -> np.ndarray:
+    """The vectors of one block as rows of unit length; a zero vector stays zero."""
+    vectors = rows.field("vector")
+    offsets = vectors.offsets.to_numpy()
+    flat = vectors.values.to_numpy(zero_copy_only=False)[offsets[start]: offsets[end]]
+    m = flat.astype(np.float64).reshape(end - start, -1)
     norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
     norms[norms == 0] = 1.0
     return m / norms
 
 
-def _block_maxima(key: str):
-    columns = [key, "side", "item", "copies", "cosine", "partner"]
-
-    def maxima(full: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
-        if full.empty or sample.empty:
-            return pd.DataFrame(columns=columns)
-        # Ordered by item, so that the first maximum belongs to the lowest item.
-        full, sample = full.sort_values("item"), sample.sort_values("item")
-        cos = _unit_rows(full["vector"]) @ _unit_rows(sample["vector"]).T
-
-        def side(name: str, mine: pd.DataFrame, other: pd.DataFrame, axis: int) -> pd.DataFrame:
-            best = cos.argmax(axis=axis)
-            return pd.DataFrame({
-                key: mine["_key"].to_numpy(),
-                "side": name,
-                "item": mine["item"].to_numpy(),
-                "copies": mine["copies"].to_numpy(),
-                "cosine": cos.max(axis=axis),
-                "partner": other["item"].to_numpy()[best],
-            })
-
-        return pd.concat([side("full", full, sample, 1), side("sample", sample, full, 0)], ignore_index=True)
-
-    return maxima
+def _block_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Row and column maxima of every block pair of a batch; pairs themselves stay in the task."""
+    names = ["key", "side", "item", "copies", "cosine", "partner"]
+    for batch in batches:
+        keys = batch.column("key")
+        blocks = {side: batch.column(side) for side in ("full", "sample")}
+        bounds = {side: b.offsets.to_numpy() for side, b in blocks.items()}
+        found = {side: [] for side in blocks}
+        for r in range(batch.num_rows):
+            (f0, f1), (s0, s1) = bounds["full"][r: r + 2], bounds["sample"][r: r + 2]
+            cos = _unit_matrix(blocks["full"].values, f0, f1) @ _unit_matrix(blocks["sample"].values, s0, s1).T
+            for side, axis, own, other in (("full", 1, (f0, f1), s0), ("sample", 0, (s0, s1), f0)):
+                # Blocks are in item order, so the first maximum is the lowest partner.
+                found[side].append(
+                    (np.full(own[1] - own[0], r), np.arange(*own), cos.max(axis=axis), cos.argmax(axis=axis) + other)
+                )
+        for side, other in (("full", "sample"), ("sample", "full")):
+            if not found[side]:
+                continue
+            row, own, cosine, partner = (np.concatenate(c) for c in zip(*found[side]))
+            mine = blocks[side].values
+            yield pa.RecordBatch.from_arrays(
+                [
+                    keys.take(pa.array(row)),
+                    pa.array([side] * len(row), pa.string()),
+                    mine.field("item").take(pa.array(own)),
+                    mine.field("copies").take(pa.array(own)),
+                    pa.array(cosine),
+                    blocks[other].values.field("item").take(pa.array(partner)),
+                ],
+                names=names,
+            )
 
 
 def cosine_maxima(
@@ -88,46 +100,49 @@ def cosine_maxima(
     """For every distinct vector on both sides its best cosine on the other side of the same key.
 
     Columns: key, side ('full' or 'sample'), item (lowest with that vector), copies, cosine, partner
-    (lowest item reaching the cosine).  Keys with an empty side have no rows.
+    (lowest item reaching the cosine).  Keys with an empty side have no rows.  Both sides are read more
+    than once, so vectors that are costly to compute should be stored first.
     """
     key_type = full.schema[key].dataType.simpleString()
     item_type = full.schema[item].dataType.simpleString()
-    f, s = _distinct_vectors(full, key, item, vector), _distinct_vectors(sample, key, item, vector)
     f_blocks = _block_counts(full, key, vector, "full", block)
     s_blocks = _block_counts(sample, key, vector, "sample", block)
     # Only keys present on both sides go on.
     blocks = f_blocks.join(s_blocks, key)
 
-    def placed(side: DataFrame, counts: DataFrame, own: str, other: str) -> DataFrame:
+    def packed(side: DataFrame, counts: DataFrame, own: str, other: str) -> DataFrame:
         # Hot keys are found from the per-key counts, not from the vectors.
         hot = hot_keys(counts, [key], rows=F.col(f"_n_{own}"))
+        placed = salted_join(_distinct_vectors(side, key, item, vector), blocks, [key], spread=["item"], hot=hot)
+        # A block holds about `block` vectors, however many its key has.
         return (
-            salted_join(side, blocks, [key], spread=["item"], hot=hot)
-            .withColumn(f"_{own}_block", F.pmod(F.xxhash64("vector"), F.col(f"_{own}_blocks")).cast("int"))
-            .withColumn(f"_{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"_{other}_blocks") - 1)))
-            .select(
-                *[F.col(c).alias(c) for c in ("_full_block", "_sample_block", "item", "copies", "vector")],
-                # A new name per side: both sides descend from the same counts.
-                F.col(key).alias("_key"),
-            )
+            placed.withColumn(f"_{own}", F.pmod(F.xxhash64("vector"), F.col(f"_{own}_blocks")).cast("int"))
+            .groupBy(F.col(key).alias("key"), f"_{own}", f"_{other}_blocks")
+            .agg(F.array_sort(F.collect_list(F.struct("item", "copies", "vector"))).alias(own))
+            .withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(f"_{other}_blocks") - 1)))
+            .drop(f"_{other}_blocks")
         )
 
-    group = ["_key", "_full_block", "_sample_block"]
-    parts = (
-        placed(f, f_blocks, "full", "sample")
-        .groupBy(*group)
-        .cogroup(placed(s, s_blocks, "sample", "full").groupBy(*group))
-        .applyInPandas(
-            _block_maxima(key),
-            f"{key} {key_type}, side string, item {item_type}, copies bigint, cosine double, partner {item_type}",
-        )
+    pairs = packed(full, f_blocks, "full", "sample").join(
+        packed(sample, s_blocks, "sample", "full"), ["key", "_full", "_sample"]
+    )
+    parts = pairs.select("key", "full", "sample").mapInArrow(
+        _block_maxima,
+        f"key {key_type}, side string, item {item_type}, copies bigint, cosine double, partner {item_type}",
     )
     # Larger cosine first, then the lower partner; min over the negated cosine keeps any item type.
     best = F.min(F.struct((-F.col("cosine")).alias("neg"), "partner"))
     return (
-        parts.groupBy(key, "side", "item", "copies")
+        parts.groupBy("key", "side", "item", "copies")
         .agg(best.alias("b"))
-        .select(key, "side", "item", "copies", (-F.col("b.neg")).alias("cosine"), F.col("b.partner").alias("partner"))
+        .select(
+            F.col("key").alias(key),
+            "side",
+            "item",
+            "copies",
+            (-F.col("b.neg")).alias("cosine"),
+            F.col("b.partner").alias("partner"),
+        )
     )
 
 
@@ -144,7 +159,7 @@ def best_match(
     """Per full item: the best sample item, its cosine, and whether it reaches the threshold."""
     maxima = cosine_maxima(full, sample, key=key, item=item, vector=vector, block=block)
     rows = full.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(
-        key, F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("vector")
+        key, F.col(item).alias("item"), F.col(vector).alias("vector")
     )
     scored = (
         _distinct_vectors(full, key, item, vector)
@@ -279,16 +294,21 @@ def topic_ground_truth(
     if given.  Columns: keys, topic, gt_label, gt_score.
     """
     keys = list(keys)
-    group = F.to_json(F.struct(*keys)) if keys else F.lit("all")
+
+    def group(number: str) -> Column:
+        # Without keys every row gets the same empty text, written so that the planner does not fold
+        # it: joins on a visible constant would become nested loops.
+        return F.to_json(F.struct(*keys)) if keys else F.left(F.col(number).cast("string"), F.lit(0))
+
     clusters = topics.where("topic <> -1").select(
-        *keys, group.alias("key"), F.col("topic").cast("bigint").alias("item"), "vector"
+        *keys, group("topic").alias("key"), F.col("topic").cast("bigint").alias("item"), "vector"
     )
-    labels = truths.select(group.alias("key"), F.col("item").cast("bigint").alias("item"), "label", "vector")
+    labels = truths.select(group("item").alias("key"), F.col("item").cast("bigint").alias("item"), "label", "vector")
     near = best_match(clusters, labels.select("key", "item", "vector"), 0.0, block=block).select(
         "key", F.col("full_item").alias("topic"), F.col("sample_item").alias("item"), F.col("cosine").alias("gt_score")
     )
     found = near.join(labels.select("key", "item", F.col("label").alias("gt_label")), ["key", "item"])
-    named = topics.withColumn("key", group).select(*keys, "key", F.col("topic").cast("bigint").alias("topic"))
+    named = topics.withColumn("key", group("topic")).select(*keys, "key", F.col("topic").cast("bigint").alias("topic"))
     noise = F.col("topic") == -1
     return named.join(found, ["key", "topic"], "left").select(
         *keys,
