@@ -208,5 +208,5 @@ def density_cluster(spark, d):
 @query("document_clusters")
 def document_clusters(spark, d):
     """The whole chain: text to vector to coordinates to clusters."""
-    coords = clusters.reduce_dims(cut(document_vectors(spark, d), "vectors"), k=2).select("id", "coords")
-    return clusters.density_cluster(coords, width=0.05, min_points=3, min_cluster_size=10)
+    coords = clusters.reduce_dims(cut(document_vectors(spark, d), "vectors"), k=5).select("id", "coords")
+    return clusters.density_cluster(cut(coords, "coords"))

@@ -60,6 +60,19 @@ def test_users_are_clustered_apart(spark):
     assert {i: got[i].topic for i in range(304)} == {i: r.topic for i, r in cluster(spark, rows).items()}
 
 
+def test_width_fits_each_user_by_default(spark):
+    rows = blobs()
+    # The second user's points are the same shape at a hundredth of the scale.
+    tiny = [(1, 5000 + i, [x / 100, y / 100]) for _, i, (x, y) in rows]
+    got = cluster(spark, rows + tiny, width=None, min_points=2)
+    for first, n, topic in ((0, 120, 0), (120, 100, 1), (220, 80, 2)):
+        found = [got[i].topic for i in range(first, first + n)]
+        assert found.count(topic) > 0.85 * n
+    assert [got[i].topic for i in range(304)] == [got[5000 + i].topic for i in range(304)]
+    alone = cluster(spark, rows, width=None, min_points=2, by=[])
+    assert {i: r.topic for i, r in alone.items()} == {i: got[i].topic for i in range(304)}
+
+
 def test_long_chain_is_one_cluster(spark):
     # A spiral of cells: many steps from end to end.
     path, x, y, step = [], 0, 0, 1
@@ -74,8 +87,9 @@ def test_long_chain_is_one_cluster(spark):
 
 
 def test_empty_and_null_points(spark):
-    got = cluster(spark, [(0, 1, None), (0, 2, [1.0, 1.0])])
-    assert {r.topic for r in got.values()} == {-1} and len(got) == 2
+    for width in (0.8, None):
+        got = cluster(spark, [(0, 1, None), (0, 2, [1.0, 1.0]), (3, 4, None)], width=width)
+        assert {r.topic for r in got.values()} == {-1} and len(got) == 3
 
 
 def test_components_by_brute_force(spark):

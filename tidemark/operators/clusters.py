@@ -89,11 +89,25 @@ def _components(cells: DataFrame, by: list[str]) -> DataFrame:
             return labels
 
 
+def _widths(points: DataFrame, by: list[str], coords: str) -> DataFrame:
+    """`_width` per corpus: twice the normal-reference bin width of its mean spread, 1 without spread."""
+    spread = (
+        points.where(F.col(coords).isNotNull())
+        .select(*by, F.size(coords).alias("_dims"), F.posexplode(coords).alias("_axis", "_v"))
+        .groupBy(*by, "_dims", "_axis")
+        .agg(F.count(F.lit(1)).alias("_n"), F.stddev_pop("_v").alias("_sd"))
+    )
+    width = F.lit(2.0) * F.avg("_sd") * F.pow(F.max("_n"), F.lit(-1.0) / (F.max("_dims") + 4))
+    return spread.groupBy(*by).agg(width.alias("_w")).select(
+        *by, F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.lit(1.0)).alias("_width")
+    )
+
+
 def density_cluster(
     points: DataFrame,
     *,
-    width: float,
-    min_points: int,
+    width: float | None = None,
+    min_points: int = 3,
     min_cluster_size: int = 35,
     by: Sequence[str] = (),
     id: str = "id",
@@ -101,19 +115,27 @@ def density_cluster(
 ) -> DataFrame:
     """`by`, id, `topic` and `strength`: clusters of points in connected dense cells, noise -1.
 
-    Points are counted per grid cell of side `width`; cells with `min_points` are dense, and dense
-    cells sharing a face belong together.  Clusters under `min_cluster_size` points become noise.
-    Topics are numbered from 0 by falling size within `by`.  The strength is the cell's count over
-    the largest in its cluster.  Work on pairs happens between cells only, never between points.
+    Points are counted per grid cell of side `width` (by default fitted to the spread and number of
+    points of each corpus); cells with `min_points` are dense, and dense cells sharing a face belong
+    together.  Clusters under `min_cluster_size` points become noise.  Topics are numbered from 0 by
+    falling size within `by`.  The strength is the cell's count over the largest in its cluster.  Work
+    on pairs happens between cells only, never between points.
     """
     by = list(by)
-    cell = F.transform(coords, lambda v: F.floor(v / F.lit(width)).cast("int"))
-    placed = points.select(*by, id, cell.alias("_cell"))
+    if width is not None:
+        located = points.withColumn("_width", F.lit(width))
+    elif by:
+        located = salted_join(points, _widths(points, by, coords), by, spread=[id], how="left")
+    else:
+        located = points.withColumn("_width", _widths(points, by, coords).select("_width").scalar())
+    cell = F.transform(coords, lambda v: F.floor(v / F.col("_width")))
+    placed = located.select(*by, id, cell.alias("_cell"))
     dense = cut(
         placed.where(F.col("_cell").isNotNull())
         .groupBy(*by, "_cell")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= min_points)
+        .where(F.col("_n") >= min_points),
+        "dense",
     )
     labelled = dense.join(_components(dense, by), [*by, "_cell"])
     sizes = (
