@@ -83,12 +83,12 @@ def phase_breaks(spark, d):
 
 @query(
     "series_by_segment",
-    segments_sql(4) + """SELECT s.subject_id, s.day, g.seg_no, round(round(s.ema_smooth, 9), 6) AS ema_smooth
+    segments_sql(4) + """SELECT s.subject_id, s.day, g.seg_no, round(s.ema_smooth, 6) AS ema_smooth
     FROM series s JOIN seg g ON s.subject_id = g.subject_id AND s.day BETWEEN g.start_date AND g.end_date""",
 )
 def series_by_segment(spark, d):
-    s = series(spark, d)
-    return segments.series_by_segment(s, segments.segments(s, k=4)).select(
+    segs = segments.segments(series(spark, d), k=4)
+    return segments.series_by_segment(risk.risk_series(posts(spark, d)), segs).select(
         "subject_id", "day", "seg_no", r6("ema_smooth")
     )
 

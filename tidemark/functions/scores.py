@@ -24,7 +24,7 @@ def non_depressed_estimate(avg_severe: Column, avg_moderate: Column) -> Column:
 def softmax(logits: Column) -> Column:
     """Probabilities from an array of logits, shifted by the largest for stability."""
     top = F.array_max(logits)
-    exps = F.transform(logits, lambda v: F.exp((v - top).cast("double")))
+    exps = F.transform(logits, lambda v: F.exp(v.cast("double") - top.cast("double")))
     total = F.aggregate(exps, F.lit(0.0), lambda acc, v: acc + v)
     return F.transform(exps, lambda v: v / total)
 
