@@ -22,7 +22,7 @@ VISIBLE[0x20] = VISIBLE[0x09:0x0E] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-STEP = 4 << 20
+STEP = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
