@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.language import languages
 from tidemark.llm.pieces import round_trip
+from tidemark.llm.quality import quality
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,3 +59,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model").read_bytes())
+
+
+@_query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "plain", "fuzzy")

@@ -23,6 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 STEP = 8 << 20
+HASHED = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -98,14 +99,14 @@ def word_hashes(w: Words) -> np.ndarray:
     """A 64-bit hash of each word, the same wherever the word stands."""
     n = len(w.start)
     out = np.empty(n, np.uint64)
-    ahead = powers(_BASE, STEP + 1)
+    ahead = powers(_BASE, HASHED + 1)
     i = 0
     while i < n:
         # The words that end within one step of bytes, or one longer word alone.
-        j = max(i + 1, int(np.searchsorted(w.end, w.start[i] + STEP, "right")))
+        j = max(i + 1, int(np.searchsorted(w.end, w.start[i] + HASHED, "right")))
         low, high = int(w.start[i]), int(w.end[j - 1])
         size = high - low
-        up = ahead if size <= STEP else powers(_BASE, size + 1)
+        up = ahead if size <= HASHED else powers(_BASE, size + 1)
         total = np.zeros(size + 1, np.uint64)
         # Powers grow along the block; each word's sum is then brought to the same exponents.
         np.cumsum((w.data[low:high].astype(np.uint64) + np.uint64(1)) * up[:size], out=total[1:])
