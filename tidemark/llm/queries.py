@@ -13,6 +13,7 @@ from tidemark.llm.language import languages
 from tidemark.llm.pieces import round_trip
 from tidemark.llm.quality import quality
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.spans import repeats_digest
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.toxicity import toxicity
 
@@ -75,3 +76,8 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", "plain", "fuzzy")
+
+
+@_query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(_table(spark, sf_dir, "documents"))
