@@ -15,6 +15,7 @@ from tidemark.llm.quality import quality
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.spans import repeats_digest
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.topk import scaled, top_k
 from tidemark.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(scaled(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % F.lit(50) == F.lit(0)).drop("looked_up")
+
+
+SQL["op6_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_dot_product(CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
