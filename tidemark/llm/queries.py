@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.language import languages
+from tidemark.llm.lines import dedup_lines
 from tidemark.llm.pieces import round_trip
 from tidemark.llm.quality import quality
 from tidemark.llm.simhash import near_duplicates
@@ -101,3 +102,11 @@ s AS (
   FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@_query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", "n_repeated", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "first_docs"
+    )
