@@ -317,18 +317,23 @@ def decode_batch(p: Pieces, first: np.ndarray, ids: np.ndarray) -> pa.Array:
 
 
 def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id, ids, n_tokens` of every row; null and empty texts have no ids."""
+    """`doc_id, ids, n_tokens, same` of every row; null and empty texts have no ids.
+
+    `same` tells whether decoding gives the text back.
+    """
     p = load(model)
 
     def rows(batch: pa.RecordBatch):
         for a, b in W.slices(batch["text"]):
-            first, ids = encode_batch(p, batch["text"].slice(a, b - a))
+            part = batch["text"].slice(a, b - a)
+            first, ids = encode_batch(p, part)
             yield {
                 "doc_id": batch["doc_id"].slice(a, b - a), "n_tokens": np.diff(first),
+                "same": pc.equal(decode_batch(p, first, ids), part.cast(pa.string())),
                 "ids": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32())),
             }
 
-    return in_arrow(texts(df, id_col, text_col), rows, "doc_id bigint, ids array<int>, n_tokens bigint")
+    return in_arrow(texts(df, id_col, text_col), rows, "doc_id bigint, ids array<int>, n_tokens bigint, same boolean")
 
 
 def decode(df: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -360,3 +360,19 @@ def toxicity(
         "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "plain", "fuzzy", "score",
         F.when(F.col("score") >= F.lit(threshold), 1).otherwise(0).alias("predicted"),
     )
+
+
+def without_toxic(
+    documents: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, fold: int = 1,
+    fit_rows: int = FIT_ROWS, doc_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+) -> DataFrame:
+    """The rows of `documents`, with all their columns, whose score is below the threshold."""
+    model = fit(texts(documents, doc_col, text_col), labels, label_col, folds, fold, fit_rows)
+
+    def run(batches):
+        matcher = Matcher(model.lexicon)
+        for batch in batches:
+            x = evidence(batch[text_col], matcher)
+            yield batch.filter(pa.array(probability(x @ model.scale[:2] + model.scale[2]) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
