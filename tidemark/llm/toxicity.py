@@ -188,7 +188,7 @@ def context_weight(before: str, after: str) -> float:
     paired = max(line.rfind(c) for c in "“«„") > max(line.rfind(c) for c in "”»") and any(c in after for c in "”»“")
     near = [w.lower() for w in _WORD.findall(line)[-6:]]
     weight = QUOTED if plain or paired or REPORTING & set(near) else 1.0
-    if SECOND & {*near[-3:], *(w.lower() for w in _WORD.findall(after.partition("\n")[0])[:3])}:
+    if SECOND & {*near, *(w.lower() for w in _WORD.findall(after.partition("\n")[0])[:3])}:
         weight *= ADDRESSED
     return weight
 
