@@ -53,3 +53,9 @@ POSTS_SQL = """posts AS (
 def r6(name: str, source: str | None = None):
     """A double rounded for comparison."""
     return F.round(F.col(source or name), 6).alias(name)
+
+
+def every(column: str, step: int, first: int):
+    """The sum of each `step`th entry of an array from the one at `first`."""
+    some = F.filter(F.col(column), lambda _, i: i % F.lit(step) == F.lit(first))
+    return F.aggregate(some, F.lit(0.0), lambda total, x: total + x.cast("double"))

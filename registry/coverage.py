@@ -141,7 +141,8 @@ COUNTS_SQL = "[" + ", ".join(
     "text_coverage",
     REPORTS_SQL + f""", f AS (SELECT subject_id AS key, id AS item, text, {COUNTS_SQL} AS vec FROM posts),
     s AS (SELECT subject_id AS key, trajectory_summary AS text, {COUNTS_SQL.replace("text", "trajectory_summary")} AS vec FROM trajectory)
-    SELECT f.key, f.item AS full_item, f.text AS full_text, CASE WHEN length(s.text) > 100 THEN left(s.text, 100) || '...' ELSE s.text END AS sample_text,
+    SELECT f.key, f.item AS full_item, f.text AS full_text, s.text AS sample_text,
+      CASE WHEN length(s.text) > 100 THEN left(s.text, 100) || '...' ELSE s.text END AS sample_preview,
       round(list_cosine_similarity(f.vec, s.vec), 6) AS cosine, list_cosine_similarity(f.vec, s.vec) >= 0.5 AS covered FROM f JOIN s ON f.key = s.key""",
 )
 def text_coverage(spark, d):
@@ -150,7 +151,7 @@ def text_coverage(spark, d):
     full, sample = encoded(full), encoded(sample)
     matches = coverage.best_match(full, sample, 0.5)
     return coverage.matched_texts(matches, full, sample).select(
-        "key", "full_item", "full_text", "sample_text", r6("cosine"), F.col("matched").alias("covered")
+        "key", "full_item", "full_text", "sample_text", "sample_preview", r6("cosine"), F.col("matched").alias("covered")
     )
 
 
@@ -158,7 +159,7 @@ def text_coverage(spark, d):
     "topic_coverage",
     f"""WITH kinds(event_type, place) AS (VALUES ('purchase', 0), ('signup', 1), ('view', 2), ('click', 3), ('error', 4)),
     f AS (SELECT DISTINCT user_id AS key, 'about ' || event_type AS text FROM events JOIN kinds USING (event_type)),
-    s AS (SELECT DISTINCT user_id AS key, 'a story of ' || event_type AS text FROM events JOIN kinds USING (event_type) WHERE event_type IN ('purchase', 'view', 'error')),
+    s AS (SELECT DISTINCT user_id AS key, 'a story of ' || event_type AS text FROM events JOIN kinds USING (event_type)),
     fv AS (SELECT key, text, {COUNTS_SQL} AS vec FROM f), sv AS (SELECT key, text, {COUNTS_SQL} AS vec FROM s),
     sims AS (SELECT fv.key, fv.text AS i, sv.text AS j, list_cosine_similarity(fv.vec, sv.vec) AS c FROM fv JOIN sv ON fv.key = sv.key),
     r AS (SELECT key, count(*) FILTER (m >= 0.75) AS tp_full, count(*) AS n_full FROM (SELECT key, i, max(c) AS m FROM sims GROUP BY 1, 2) GROUP BY 1),
@@ -170,8 +171,7 @@ def topic_coverage(spark, d):
     flat = reports.flatten_topics(topic_lists(spark, d)).withColumn("source", F.lit("posts"))
     kind = F.split_part("topic", F.lit(" "), F.lit(2))
     narrated = (
-        flat.where(kind.isin("purchase", "view", "error"))
-        .withColumn("topic", F.concat(F.lit("a story of "), kind))
+        flat.withColumn("topic", F.concat(F.lit("a story of "), kind))
         .withColumn("source", F.lit("narrative_base"))
     )
     full, sample = coverage.topic_sides(flat.unionByName(narrated))

@@ -2,26 +2,28 @@
 
 from pyspark.sql import functions as F
 
-from registry.base import POSTS_SQL, posts, query, r6, table
+from registry.base import POSTS_SQL, every, posts, query, r6, table
 from registry.judge import VERDICTS_SQL, verdicts
 from registry.narratives import REPORTS_SQL, base_reports, phase_narratives, trajectory_reports
 from registry.segments import segments_sql, series
-from tidemark.operators import clusters, infer, judge, prompts, reports, risk, segments
+from tidemark.operators import clusters, infer, judge, prompts, reports, risk, segments, topics
 from tidemark.plans.lineage import cut
-from tidemark.plans.spread import spread
 
 P = f"WITH {POSTS_SQL} "
 
 
 @query(
     "softmax_argmax",
-    """WITH l AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings)
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    l AS (SELECT vec_id, list_sum(list_filter(v, lambda x, i: i % 3 = 1)) AS a, list_sum(list_filter(v, lambda x, i: i % 3 = 2)) AS b,
+      list_sum(list_filter(v, lambda x, i: i % 3 = 0)) AS c FROM e)
     SELECT vec_id, CAST(CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS INTEGER) AS predicted_label,
     round(exp(a) / (exp(a) + exp(b) + exp(c)), 6) AS prob_not, round(exp(b) / (exp(a) + exp(b) + exp(c)), 6) AS prob_moderate,
     round(exp(c) / (exp(a) + exp(b) + exp(c)), 6) AS prob_severe FROM l""",
 )
 def softmax_argmax(spark, d):
-    logits = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("logits"))
+    # Every entry counts: the sum of each third one is a logit.
+    logits = table(spark, d, "embeddings").select("vec_id", F.array(*[every("embedding", 3, k) for k in range(3)]).alias("logits"))
     return infer.with_probabilities(logits).select(
         "vec_id", "predicted_label", r6("prob_not"), r6("prob_moderate"), r6("prob_severe")
     )
@@ -70,13 +72,14 @@ def make_echo():
 def complete_prompts(spark, d):
     # "view" events carry the letter that makes the stand-in fail.
     work = posts(spark, d).select("id", F.replace("text", F.lit("v"), F.lit("z")).alias("prompt"))
-    return infer.complete_prompts(work, make_echo, parallelism=4).select("id", "response", "error")
+    return infer.complete_prompts(work, make_echo).select("id", "response", "error")
 
 
 PART = 1500
 LINES_SQL = P + f""", lines AS (SELECT *, '[' || strftime(date, '%Y-%m-%d %H:%M:%S') || '] ' || text AS line FROM posts),
-placed AS (SELECT *, CAST(floor(coalesce(sum(length(line) + 1) OVER (PARTITION BY subject_id ORDER BY date, id
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {PART}) AS BIGINT) AS part FROM lines)
+filled AS (SELECT *, floor(coalesce(sum(length(line) + 1) OVER (PARTITION BY subject_id ORDER BY date, id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {PART}) AS f FROM lines),
+placed AS (SELECT *, dense_rank() OVER (PARTITION BY subject_id ORDER BY f) - 1 AS part FROM filled)
 """
 
 
@@ -137,8 +140,9 @@ def prompt_table_judge(spark, d):
 
 @query(
     "prompt_table_topics",
-    REPORTS_SQL + f""", pl AS (SELECT *, CAST(floor(coalesce(sum(length(text) + 1) OVER (PARTITION BY subject_id ORDER BY date, id
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {PART}) AS BIGINT) AS part FROM posts)
+    REPORTS_SQL + f""", fl AS (SELECT *, floor(coalesce(sum(length(text) + 1) OVER (PARTITION BY subject_id ORDER BY date, id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {PART}) AS f FROM posts),
+    pl AS (SELECT *, dense_rank() OVER (PARTITION BY subject_id ORDER BY f) - 1 AS part FROM fl)
     SELECT subject_id, 'posts' AS source, part, 'T: ' || string_agg(text, chr(10) ORDER BY date, id) AS prompt FROM pl GROUP BY 1, 3
     UNION ALL SELECT subject_id, 'narrative_base', 0, 'T: ' || base_analysis FROM base JOIN trajectory USING (subject_id)
     UNION ALL SELECT subject_id, 'narrative_traj', 0, 'T: ' || trajectory_summary FROM trajectory""",
@@ -151,19 +155,22 @@ def prompt_table_topics(spark, d):
 @query(
     "prompt_corpus_summary",
     VERDICTS_SQL + """, docs AS (SELECT subject_id, '{"user": ' || subject_id || ', "preferred": "' || preferred || '"}' AS doc
-      FROM verdict_rows WHERE place = 1), t AS (SELECT '[' || string_agg(doc, ', ' ORDER BY subject_id) || ']' AS t FROM docs)
-    SELECT 'V: ' || CASE WHEN length(t) > 2000 THEN left(t, 2000) || '... (truncated)' ELSE t END AS prompt FROM t""",
+      FROM verdict_rows WHERE place IN (1, 2)), placed AS (SELECT *, floor(coalesce(sum(length(doc) + 2) OVER (ORDER BY subject_id, doc
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000) AS filled FROM docs),
+    numbered AS (SELECT *, dense_rank() OVER (ORDER BY filled) - 1 AS part FROM placed)
+    SELECT part, count(*) AS n_verdicts, 'V: [' || string_agg(doc, ', ' ORDER BY subject_id) || ']' AS prompt FROM numbered GROUP BY 1""",
 )
 def prompt_corpus_summary(spark, d):
     document = F.concat(
         F.lit('{"user": '), F.col("subject_id").cast("string"), F.lit(', "preferred": "'), "result.Preferred_Report", F.lit('"}')
     )
     docs = verdicts(spark, d).select("subject_id", document.alias("document"))
-    return prompts.corpus_summary_prompt(docs, "V: {verdicts}", max_chars=2000)
+    # Every user twice: verdicts of one user stay apart.
+    return prompts.corpus_summary_prompts(docs.unionAll(docs), "V: {verdicts}", max_chars=2000)
 
 
 def document_vectors(spark, d):
-    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return clusters.embed_text(docs, num_features=256)
 
 
@@ -178,13 +185,14 @@ def reduce_dims(spark, d):
     return clusters.reduce_dims(cut(document_vectors(spark, d), "vectors"), k=5).select("id", "coords")
 
 
-WIDTH, DENSE, SMALLEST = 0.0625, 2, 4
+WIDTH, DENSE, SMALLEST = 0.375, 2, 4
 
 
 @query(
     "density_cluster",
-    f"""WITH RECURSIVE pts AS (SELECT label, vec_id AS id, CAST(floor(CAST(embedding[1] AS DOUBLE) / {WIDTH}) AS INTEGER) AS cx,
-      CAST(floor(CAST(embedding[2] AS DOUBLE) / {WIDTH}) AS INTEGER) AS cy FROM embeddings),
+    f"""WITH RECURSIVE e AS (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    pts AS (SELECT label, vec_id AS id, CAST(floor(list_sum(list_filter(v, lambda x, i: i % 2 = 1)) / {WIDTH}) AS INTEGER) AS cx,
+      CAST(floor(list_sum(list_filter(v, lambda x, i: i % 2 = 0)) / {WIDTH}) AS INTEGER) AS cy FROM e),
     dense AS (SELECT label, cx, cy, count(*) AS n FROM pts GROUP BY ALL HAVING count(*) >= {DENSE}),
     reach(label, cx, cy, rx, ry) AS (SELECT label, cx, cy, cx, cy FROM dense
       UNION SELECT r.label, r.cx, r.cy, e.cx, e.cy FROM reach r JOIN dense e
@@ -198,7 +206,7 @@ WIDTH, DENSE, SMALLEST = 0.0625, 2, 4
 )
 def density_cluster(spark, d):
     points = table(spark, d, "embeddings").select(
-        "label", F.col("vec_id").alias("id"), F.slice("embedding", 1, 2).cast("array<double>").alias("coords")
+        "label", F.col("vec_id").alias("id"), F.array(every("embedding", 2, 0), every("embedding", 2, 1)).alias("coords")
     )
     return clusters.density_cluster(
         points, by=["label"], width=WIDTH, min_points=DENSE, min_cluster_size=SMALLEST
@@ -210,3 +218,21 @@ def document_clusters(spark, d):
     """The whole chain: text to vector to coordinates to clusters."""
     coords = clusters.reduce_dims(cut(document_vectors(spark, d), "vectors"), k=5).select("id", "coords")
     return clusters.density_cluster(cut(coords, "coords"))
+
+
+@query("document_topics")
+def document_topics(spark, d):
+    """The topic chain as one result: texts to clusters to keywords and names, and rows for the plot.
+
+    A row per document: its topic, the topic's name and keywords, and its place on two axes.
+    """
+    vectors = cut(document_vectors(spark, d), "vectors")
+    clustered = clusters.density_cluster(cut(clusters.reduce_dims(vectors, k=5).select("id", "coords"), "coords"), min_cluster_size=4)
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    posts_ = cut(texts.join(clustered, "id"), "clustered")
+    info = cut(topics.topic_info(posts_), "info")
+    flat = clusters.reduce_dims(vectors, k=2).select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
+    named = topics.topic_label_lookup(posts_.select("id", "topic").join(flat, "id"), info)
+    return named.join(info.select("topic", "count", F.array_join("representation", " ").alias("words")), "topic").select(
+        "id", "topic", "topic_label", "count", "words", "x", "y"
+    )

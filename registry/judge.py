@@ -1,6 +1,5 @@
-"""Verdicts derived from events: a user's first ten events give the scores of both reports."""
+"""Verdicts derived from events: all events of a user give the scores of both reports."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registry.base import posts, query, r6, table
@@ -9,21 +8,21 @@ from tidemark.operators.judge import CRITERIA
 
 
 def verdicts(spark, d):
-    first = Window.partitionBy("user_id").orderBy("event_id")
     name = F.array(*[F.lit(c) for c in CRITERIA])
     score = F.struct(
-        F.element_at(name, (F.col("rank") - 1) % 5 + 1).alias("key"),
-        (F.pmod("event_id", F.lit(5)) + 1).cast("double").alias("value"),
+        F.element_at(name, (F.col("class") % 5 + 1).cast("int")).alias("key"),
+        (F.pmod(F.sum("event_id"), F.lit(5)) + 1).cast("double").alias("value"),
     )
     scores = (
+        # Every event counts: its id's last digit tells the side and the criterion.
         table(spark, d, "events")
-        .select("user_id", "event_id", F.row_number().over(first).alias("rank"))
-        .where("rank <= 10")
+        .groupBy(F.col("user_id").alias("subject_id"), F.pmod("event_id", F.lit(10)).alias("class"))
+        .agg(score.alias("score"))
         # At most five entries on each side.
-        .groupBy(F.col("user_id").alias("subject_id"))
+        .groupBy("subject_id")
         .agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, score)))).alias("a"),
-            F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("rank") > 5, score)))).alias("b"),
+            F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("class") < 5, F.col("score"))))).alias("a"),
+            F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("class") >= 5, F.col("score"))))).alias("b"),
         )
     )
 
@@ -53,10 +52,10 @@ def verdicts(spark, d):
 
 
 NAMES = ", ".join(f"'{c}'" for c in CRITERIA)
-VERDICTS_SQL = f"""WITH first AS (SELECT user_id AS subject_id, event_id % 5 + 1 AS score,
-    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events),
+VERDICTS_SQL = f"""WITH first AS (SELECT user_id AS subject_id, event_id % 10 + 1 AS rank,
+    CAST(sum(event_id) AS BIGINT) % 5 + 1 AS score FROM events GROUP BY 1, 2),
   totals AS (SELECT subject_id, coalesce(sum(score) FILTER (rank <= 5), 0) AS ta, coalesce(sum(score) FILTER (rank > 5), 0) AS tb
-    FROM first WHERE rank <= 10 GROUP BY 1),
+    FROM first GROUP BY 1),
   verdict_rows AS MATERIALIZED (SELECT t.subject_id, c.i AS place, [{NAMES}][c.i] AS criterion,
     CAST(a.score AS DOUBLE) AS score_a, CAST(b.score AS DOUBLE) AS score_b,
     CASE WHEN ta > tb THEN 'A' WHEN ta < tb THEN 'B' ELSE 'Tie' END AS preferred,

@@ -8,7 +8,7 @@ from registry.judge import VERDICTS_SQL, verdicts
 from registry.narratives import base_reports, trajectory_reports
 from registry.risk import SERIES_SQL
 from registry.segments import segments_sql
-from tidemark.operators import risk
+from tidemark.operators import prompts, risk, topics
 from tidemark.operators.reports import flatten_topics, merge_reports
 from tidemark.plans.lineage import scratch_path
 from tidemark.plans.ordered import running_total
@@ -35,7 +35,7 @@ def ingest_zip_xml(spark, d):
     )
     folder = scratch_path(spark, "archives")
     write_archives(rows, folder)
-    return archives.ingest_zip_xml(spark, f"{folder}/*.zip")
+    return archives.ingest_zip_xml(spark, f"{folder}/*.zip").drop("id")
 
 
 @query("read_labels_tsv", "SELECT CAST(doc_id AS VARCHAR) AS subject_id, CAST(quality AS VARCHAR) AS label FROM labels")
@@ -80,6 +80,58 @@ def load_posts_csv(spark, d):
     )
 
 
+# Posts written without ids, every tenth one twice, and loaded again.
+COPIES_SQL = P + """, twice AS (SELECT subject_id, date_trunc('second', date) AS date, text, prob_severe, prob_moderate FROM posts
+  UNION ALL SELECT subject_id, date_trunc('second', date), text, prob_severe, prob_moderate FROM posts WHERE id % 10 = 0),
+lines AS (SELECT *, '[' || strftime(date, '%Y-%m-%d %H:%M:%S') || '] ' || text AS line FROM twice)
+"""
+
+
+def without_ids(spark, d):
+    path = scratch_path(spark, "no-ids")
+    plain = posts(spark, d).withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+    plain.unionAll(plain.where("id % 10 = 0")).select(
+        F.col("subject_id").alias("Subject ID"),
+        F.col("date").alias("Date"),
+        F.col("text").alias("Text"),
+        F.col("prob_severe").alias("Prob_Severe_Depressed"),
+        F.col("prob_moderate").alias("Prob_Moderate_Depressed"),
+    ).write.options(**tables.CSV).csv(path)
+    return tables.load_posts_csv(spark, path)
+
+
+@query(
+    "recent_posts_of_csv",
+    COPIES_SQL + """SELECT subject_id, date, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY date DESC) AS place
+      FROM twice) WHERE place <= 5 GROUP BY 1, 2""",
+)
+def recent_posts_of_csv(spark, d):
+    recent = risk.recent_posts(without_ids(spark, d), 5)
+    return recent.groupBy("subject_id", F.col("date").cast("timestamp_ntz").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "prompts_of_csv",
+    COPIES_SQL + """SELECT subject_id, count(*) AS n_posts, CAST(sum(length(line) + 1) - 1 AS BIGINT) AS n_chars,
+      CAST(count(DISTINCT line) AS BIGINT) AS n_lines FROM lines GROUP BY 1""",
+)
+def prompts_of_csv(spark, d):
+    whole = prompts.base_prompts(without_ids(spark, d), "{posts}", max_chars=10_000_000)
+    return whole.select(
+        "subject_id", "n_posts", F.length("prompt").cast("bigint").alias("n_chars"),
+        F.size(F.array_distinct(F.split("prompt", "\n", -1))).cast("bigint").alias("n_lines"),
+    )
+
+
+@query(
+    "user_text_of_csv",
+    COPIES_SQL + "SELECT subject_id, count(*) AS n_texts, CAST(sum(length(text) + 1) - 1 AS BIGINT) AS n_chars FROM twice GROUP BY 1",
+)
+def user_text_of_csv(spark, d):
+    whole = topics.user_topic_text(without_ids(spark, d))
+    return whole.select("subject_id", "n_texts", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query(
     "export_sorted",
     P + f"""SELECT CAST(subject_id AS VARCHAR) AS subject_id, CAST(id AS VARCHAR) AS id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date,
@@ -122,6 +174,15 @@ def read_eval_json(spark, d):
         F.concat(F.lit('{"Criterion_Justifications": {"n": "'), F.count(F.lit(1)).cast("string"), F.lit('"}}')).alias("content"),
     )
     write_files(summary, folder)
+    # Damaged and empty files, and empty objects, which it leaves out too.
+    others = files.select(
+        F.regexp_replace("name", "eval_", "eval_no").alias("name"),
+        F.element_at(
+            F.array(F.lit("{}"), F.lit('{"result": {}, "mapping": {}}'), F.lit('{"result": {"Report_A"'), F.lit("")),
+            (F.pmod(F.xxhash64("name"), F.lit(4)) + 1).cast("int"),
+        ).alias("content"),
+    )
+    write_files(others, folder)
     back = reports.read_eval_json(spark, f"{folder}/eval_*.json")
     scores = F.map_values("result.Report_A")
     return back.select(

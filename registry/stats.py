@@ -42,7 +42,7 @@ def text_length(spark, d):
 def filter_user(spark, d):
     p = posts(spark, d)
     first = p.agg(F.min("subject_id")).scalar()
-    return p.where(F.col("subject_id") == first).select("id", "subject_id", "date", "text")
+    return clean.filter_user(p, first).select("id", "subject_id", "date", "text")
 
 
 @query(

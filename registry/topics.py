@@ -2,11 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from registry.base import query, r6, table
+from registry.base import every, query, r6, table
 from tidemark.functions import text as tx
 from tidemark.functions.stopwords import ENGLISH
 from tidemark.operators import clean, topics
-from tidemark.plans.spread import spread
 
 # Documents hold no links, so both engines append the same ones.
 LINKED_SQL = """linked AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' see [the page](http://a.example/x) or http://b.example/y?z=1'
@@ -21,12 +20,12 @@ def linked(spark, d):
         .when(F.col("doc_id") % 3 == 1, F.lit("\r\n[a](b)[c](d) https://c.example/end"))
         .otherwise(F.lit(""))
     )
-    return spread(table(spark, d, "documents")).select("doc_id", F.concat("text", tail).alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("text"))
 
 
 def documents(spark, d):
     """Documents as posts, with the source number as topic."""
-    return spread(table(spark, d, "documents")).select(
+    return table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.replace("source", F.lit("src"), F.lit("")).cast("bigint").alias("topic"), "lang", "text"
     )
 
@@ -41,17 +40,13 @@ def clean_text(spark, d):
 
 @query(
     "filter_nonempty",
-    f"""WITH only_links AS (SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN 'http://only.example/' || doc_id ELSE text END AS text FROM documents)
+    f"""WITH only_links AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, 'http://only.example/' || doc_id FROM documents)
     SELECT doc_id, text FROM (SELECT doc_id, {CLEAN_SQL} AS text FROM only_links) WHERE length(text) > 0""",
 )
 def filter_nonempty(spark, d):
-    # A fifth of the documents is replaced by a bare link, which cleaning empties.
-    raw = table(spark, d, "documents").select(
-        "doc_id",
-        F.when(F.col("n_chars") % 5 == 0, F.concat(F.lit("http://only.example/"), F.col("doc_id").cast("string")))
-        .otherwise(F.col("text"))
-        .alias("text"),
-    )
+    # Beside every document a bare link, which cleaning empties.
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    raw = docs.unionAll(docs.select("doc_id", F.concat(F.lit("http://only.example/"), F.col("doc_id").cast("string"))))
     return clean.filter_nonempty(raw.select("doc_id", tx.clean_text("text").alias("text")))
 
 
@@ -132,6 +127,12 @@ def topic_term_counts(spark, d):
     return topics.topic_term_counts(documents(spark, d))
 
 
+@query("topic_term_counts_in_slices", TERMS_SQL + "SELECT topic, term, n, topic_total, term_total FROM totals")
+def topic_term_counts_in_slices(spark, d):
+    """As `topic_term_counts`, with every topic and frequent term joined in slices as if it were hot."""
+    return topics.topic_term_counts(documents(spark, d), min_rows=1)
+
+
 @query("ctfidf", TERMS_SQL + "SELECT topic, term, n, round(score, 6) AS score FROM scores")
 def ctfidf(spark, d):
     return topics.ctfidf(documents(spark, d)).select("topic", "term", "n", r6("score"))
@@ -187,14 +188,15 @@ def points(spark, d):
     """Vectors as points of the scatter plot; label 0 plays the noise topic."""
     return table(spark, d, "embeddings").select(
         F.col("vec_id").alias("id"),
-        F.col("embedding")[0].cast("double").alias("x"),
-        F.col("embedding")[1].cast("double").alias("y"),
+        every("embedding", 2, 0).alias("x"),
+        every("embedding", 2, 1).alias("y"),
         (F.col("label") - 1).cast("bigint").alias("topic"),
     )
 
 
-POINTS_SQL = """points AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
-  CAST(label - 1 AS BIGINT) AS topic FROM embeddings)"""
+POINTS_SQL = """doubles AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+points AS (SELECT vec_id AS id, list_sum(list_filter(v, lambda x, i: i % 2 = 1)) AS x, list_sum(list_filter(v, lambda x, i: i % 2 = 0)) AS y,
+  CAST(label - 1 AS BIGINT) AS topic FROM doubles)"""
 
 
 @query(
@@ -205,14 +207,12 @@ def topic_centroids(spark, d):
     return topics.topic_centroids(points(spark, d)).select("topic", r6("x"), r6("y"))
 
 
-LABEL_INFO_SQL = ", info AS (SELECT topic, topic || '_n' || count(*) AS name FROM points WHERE topic < 6 GROUP BY 1)"
+LABEL_INFO_SQL = ", info AS (SELECT topic, topic || '_n' || count(*) AS name FROM points GROUP BY 1)"
 
 
 def label_info(p):
-    # Only some topics are described, so the others fall back to their number.
     return (
-        p.where("topic < 6")
-        .groupBy("topic")
+        p.groupBy("topic")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("topic", F.concat(F.col("topic").cast("string"), F.lit("_n"), F.col("n").cast("string")).alias("name"))
     )
@@ -247,8 +247,9 @@ PART = 2000
 
 @query(
     "user_topic_text",
-    f"""WITH placed AS (SELECT *, CAST(floor(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {PART}) AS BIGINT) AS part FROM conversations)
+    f"""WITH filled AS (SELECT *, floor(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {PART}) AS f FROM conversations),
+    placed AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY f) - 1 AS part FROM filled)
     SELECT conv_id AS subject_id, part, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS n_texts FROM placed GROUP BY 1, 2""",
 )
 def user_topic_text(spark, d):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, scores, text
-from tidemark.plans.skew import hot_keys, salted_join
 from tidemark.schema import PROBABILITIES
 
 
@@ -30,7 +31,7 @@ def clean_posts(raw: DataFrame) -> DataFrame:
 
 def filter_user(posts: DataFrame, subject_id: object) -> DataFrame:
     """Posts of one user; the predicate reaches the file scan."""
-    return posts.where(F.col("subject_id") == F.lit(subject_id))
+    return posts.where(F.col("subject_id") == (subject_id if isinstance(subject_id, Column) else F.lit(subject_id)))
 
 
 def label_left_join(
@@ -38,19 +39,26 @@ def label_left_join(
     labels: DataFrame,
     *,
     on: str = "subject_id",
-    spread: list[str] | None = None,
-    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Posts with their subject's label; unlabelled posts stay, duplicate labels fan out.
 
-    `spread` identifies a post (default: all its columns); `keys_from` is a cheaper frame with the
-    same key column, such as the unfiltered source, from which to count hot subjects.
+    Adaptive execution broadcasts labels of small size and splits a hot subject otherwise.
     """
-    hot = hot_keys(posts if keys_from is None else keys_from, [on])
-    return salted_join(posts, labels, [on], spread=spread or posts.columns, how="left", hot=hot)
+    return posts.join(labels, on, "left")
+
 
+def rejected_dates(raw: DataFrame, column: str = "date", formats: Sequence[str] = dates.DATE_FORMATS) -> DataFrame:
+    """One row: `dates`, how many texts there are, and `rejected`, how many of them are not read as a date."""
+    given = F.col(column).isNotNull()
+    return raw.agg(
+        F.count_if(given).alias("dates"),
+        F.count_if(given & dates.coerce_date(F.col(column), formats).isNull()).alias("rejected"),
+    )
 
-def typed_posts(posts: DataFrame, *, numeric_subject: bool = True) -> DataFrame:
+
+def typed_posts(
+    posts: DataFrame, *, numeric_subject: bool = True, date_formats: Sequence[str] = dates.DATE_FORMATS
+) -> DataFrame:
     """Typed columns from text ones: dates and ids coerced, unreadable and NaN scores to null.
 
     `numeric_subject=False` keeps ids as text, for data whose ids are not numbers.
@@ -61,7 +69,7 @@ def typed_posts(posts: DataFrame, *, numeric_subject: bool = True) -> DataFrame:
         bare = text.normalise_subject("subject_id")
         out = out.withColumn("subject_id", bare.try_cast("bigint") if numeric_subject else bare)
     if kinds.get("date") == "string":
-        out = out.withColumn("date", dates.coerce_date(F.col("date")))
+        out = out.withColumn("date", dates.coerce_date(F.col("date"), date_formats))
     for name in PROBABILITIES:
         if name in kinds:
             out = out.withColumn(name, scores.nan_to_null(F.col(name).try_cast("double")))

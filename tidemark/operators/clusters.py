@@ -11,15 +11,13 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.plans.lineage import cut
 from tidemark.plans.ordered import running_total
-from tidemark.plans.skew import salted_join
-
-_SALTS = 16
+from tidemark.plans.skew import hot_keys, salted_join
 
 
 def embed_text(posts: DataFrame, num_features: int = 512, column: str = "text") -> DataFrame:
@@ -73,19 +71,17 @@ def _components(cells: DataFrame, by: list[str]) -> DataFrame:
             .agg(F.min("_root").alias("_new"), F.max(F.when(F.col("_from") == F.col("_cell"), F.col("_root"))).alias("_old"))
             .where(F.col("_old").isNotNull())
         )
-        hooked = cut(hooked, "hooked")
-        # Jump to the label of the label.  A large component makes its label hot, so the lookup table,
-        # which holds only labels in use and shrinks every round, is repeated per salt.
+        # Changes are counted while the round is written.
+        seen = Observation()
+        hooked = cut(hooked.observe(seen, F.count_if(F.col("_new") != F.col("_old")).alias("changes")), "hooked")
+        # Jump to the label of the label.  A large component makes its label hot: it is joined in slices.
         in_use = hooked.select(*by, F.col("_new").alias("_cell")).distinct()
         targets = hooked.join(in_use, [*by, "_cell"], "left_semi").select(
-            *by,
-            F.col("_cell").alias("_new"),
-            F.col("_new").alias("_root"),
-            F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"),
+            *by, F.col("_cell").alias("_new"), F.col("_new").alias("_root")
         )
-        salt = F.pmod(F.xxhash64("_cell"), F.lit(_SALTS)).cast("int")
-        labels = hooked.withColumn("_salt", salt).join(targets, [*by, "_new", "_salt"]).select(*by, "_cell", "_root")
-        if hooked.where(F.col("_new") != F.col("_old")).isEmpty():
+        hot = hot_keys(hooked, [*by, "_new"])
+        labels = salted_join(hooked, targets, [*by, "_new"], spread=["_cell"], hot=hot).select(*by, "_cell", "_root")
+        if not seen.get["changes"]:
             return labels
 
 
@@ -125,9 +121,10 @@ def density_cluster(
     if width is not None:
         located = points.withColumn("_width", F.lit(width))
     elif by:
-        located = salted_join(points, _widths(points, by, coords), by, spread=[id], how="left")
+        # Stored: a width computed again may differ in its last bit and move a point to another cell.
+        located = points.join(cut(_widths(points, by, coords), "widths"), by, "left")
     else:
-        located = points.withColumn("_width", _widths(points, by, coords).select("_width").scalar())
+        located = points.withColumn("_width", cut(_widths(points, by, coords), "widths").select("_width").scalar())
     cell = F.transform(coords, lambda v: F.floor(v / F.col("_width")))
     placed = located.select(*by, id, cell.alias("_cell"))
     dense = cut(
@@ -147,10 +144,10 @@ def density_cluster(
     numbers = running_total(sizes, by, ["_rank", "_root"], F.lit(1), "topic").drop("_rank")
     named = sizes.join(numbers, [*by, "_root"])
     # A large cluster owns many cells.
-    of_cell = salted_join(labelled, named, [*by, "_root"], spread=["_cell"]).select(
+    of_cell = salted_join(labelled, named, [*by, "_root"], spread=["_cell"], hot=hot_keys(labelled, [*by, "_root"])).select(
         *by, "_cell", F.col("topic").cast("bigint").alias("topic"), (F.col("_n") / F.col("_top")).alias("strength")
     )
-    return salted_join(placed, of_cell, [*by, "_cell"], spread=[id], how="left").select(
+    return placed.join(of_cell, [*by, "_cell"], "left").select(
         *by,
         id,
         F.coalesce("topic", F.lit(-1)).alias("topic"),

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import preview
+from tidemark.plans.lineage import cut
 from tidemark.plans.skew import hot_keys, salted_join
 
 BLOCK = 1024
@@ -47,8 +48,12 @@ def _unit_matrix(rows: pa.StructArray, start: int, end: int) -> np.ndarray:
     """The vectors of one block as rows of unit length; a zero vector stays zero."""
     vectors = rows.field("vector")
     offsets = vectors.offsets.to_numpy()
+    if len(set(np.diff(offsets[start: end + 1]).tolist())) > 1:
+        raise ValueError("vectors of different lengths")
     flat = vectors.values.to_numpy(zero_copy_only=False)[offsets[start]: offsets[end]]
     m = flat.astype(np.float64).reshape(end - start, -1)
+    if not np.isfinite(m).all():
+        raise ValueError("a vector holds a null, NaN or infinite entry")
     norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
     norms[norms == 0] = 1.0
     return m / norms
@@ -64,7 +69,10 @@ def _block_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         found = {side: [] for side in blocks}
         for r in range(batch.num_rows):
             (f0, f1), (s0, s1) = bounds["full"][r: r + 2], bounds["sample"][r: r + 2]
-            cos = _unit_matrix(blocks["full"].values, f0, f1) @ _unit_matrix(blocks["sample"].values, s0, s1).T
+            a, b = _unit_matrix(blocks["full"].values, f0, f1), _unit_matrix(blocks["sample"].values, s0, s1)
+            if a.shape[1] != b.shape[1]:
+                raise ValueError("vectors of different lengths")
+            cos = a @ b.T
             for side, axis, own, other in (("full", 1, (f0, f1), s0), ("sample", 0, (s0, s1), f0)):
                 # Blocks are in item order, so the first maximum is the lowest partner.
                 found[side].append(
@@ -100,7 +108,8 @@ def cosine_maxima(
     """For every distinct vector on both sides its best cosine on the other side of the same key.
 
     Columns: key, side ('full' or 'sample'), item (lowest with that vector), copies, cosine, partner
-    (lowest item reaching the cosine).  Keys with an empty side have no rows.  Both sides are read more
+    (lowest item reaching the cosine).  Keys with an empty side have no rows.  Vectors of a key that differ
+    in length, or hold a null or an entry that is not finite, raise an error.  Both sides are read more
     than once, so vectors that are costly to compute should be stored first.
     """
     key_type = full.schema[key].dataType.simpleString()
@@ -158,19 +167,18 @@ def best_match(
 ) -> DataFrame:
     """Per full item: the best sample item, its cosine, and whether it reaches the threshold."""
     maxima = cosine_maxima(full, sample, key=key, item=item, vector=vector, block=block)
-    rows = full.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(
-        key, F.col(item).alias("item"), F.col(vector).alias("vector")
+    scored = maxima.where(F.col("side") == "full").select(
+        key, F.col("item").alias("lowest"), "cosine", F.col("partner").alias("sample_item")
     )
-    scored = (
-        _distinct_vectors(full, key, item, vector)
-        .select(key, "item", "vector")
-        .join(maxima.where(F.col("side") == "full").select(key, "item", "cosine", "partner"), [key, "item"])
-        .select(key, "vector", "cosine", F.col("partner").alias("sample_item"))
+    # Every item beside the lowest one with its vector: stored once, without the vectors.
+    items = full.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(
+        key, F.col(item).alias("full_item"), F.col(vector).alias("vector")
     )
-    # Copies of one vector may be a hot group.
-    return salted_join(rows, scored, [key, "vector"], spread=["item"]).select(
+    lowest = items.groupBy(key, "vector").agg(F.min("full_item").alias("lowest"))
+    copies = cut(items.join(lowest, [key, "vector"]).select(key, "full_item", "lowest"), "copies")
+    return copies.join(scored, [key, "lowest"]).select(
         key,
-        F.col("item").alias("full_item"),
+        "full_item",
         "sample_item",
         "cosine",
         (F.col("cosine") >= threshold).alias("matched"),
@@ -182,19 +190,19 @@ def matched_only(matches: DataFrame) -> DataFrame:
 
 
 def matched_texts(
-    matches: DataFrame, full: DataFrame, sample: DataFrame, *, key: str = "key", shorten: int | None = 100
+    matches: DataFrame, full: DataFrame, sample: DataFrame, *, key: str = "key", shorten: int = 100
 ) -> DataFrame:
-    """Matches with both texts, the sample's shortened for display (`shorten=None` keeps it whole).
+    """Matches with both texts, and `sample_preview`, the sample's text shortened for display.
 
     `full` and `sample` hold key, item and text, one row per item.
     """
-    shown = F.col("text") if shorten is None else preview("text", shorten)
-    sample_text = sample.select(key, F.col("item").alias("sample_item"), shown.alias("sample_text"))
+    sample_text = sample.select(
+        key, F.col("item").alias("sample_item"), F.col("text").alias("sample_text"), preview("text", shorten).alias("sample_preview")
+    )
     full_text = full.select(key, F.col("item").alias("full_item"), F.col("text").alias("full_text"))
-    # One sample, such as a narrative, may be the best match of very many full items.
-    with_sample = salted_join(matches, sample_text, [key, "sample_item"], spread=["full_item"])
-    return with_sample.join(full_text, [key, "full_item"]).select(
-        key, "full_item", "full_text", "sample_item", "sample_text", "cosine", "matched"
+    # One sample, such as a narrative, may be the best match of very many full items, so its text comes last.
+    return matches.join(full_text, [key, "full_item"]).join(sample_text, [key, "sample_item"]).select(
+        key, "full_item", "full_text", "sample_item", "sample_text", "sample_preview", "cosine", "matched"
     )
 
 
@@ -212,12 +220,15 @@ def topic_sides(topics: DataFrame, candidate: str = "narrative_base") -> tuple[D
 def text_sides(
     posts: DataFrame, reports: DataFrame, narrative: str = "base_analysis"
 ) -> tuple[DataFrame, DataFrame]:
-    """Full and sample items (key, item, text) from posts and one narrative per user; empty ones are left out."""
+    """Full and sample items (key, item, text) from posts and one narrative per user; empty ones are left out.
+
+    A narrative is a text, item 0, or a list of texts, numbered by place.
+    """
     full = posts.select(F.col("subject_id").alias("key"), F.col("id").alias("item"), "text")
-    sample = reports.where(F.length(narrative) > 0).select(
-        F.col("subject_id").alias("key"), F.lit(0).cast("bigint").alias("item"), F.col(narrative).alias("text")
-    )
-    return full, sample
+    listed = dict(reports.dtypes)[narrative].startswith("array")
+    texts = F.col(narrative) if listed else F.array(narrative)
+    sample = reports.select(F.col("subject_id").alias("key"), F.posexplode(texts).alias("item", "text"))
+    return full, sample.where(F.length("text") > 0).withColumn("item", F.col("item").cast("bigint"))
 
 
 def _with_scores(counts: DataFrame) -> DataFrame:
@@ -295,20 +306,17 @@ def topic_ground_truth(
     """
     keys = list(keys)
 
-    def group(number: str) -> Column:
-        # Without keys every row gets the same empty text, written so that the planner does not fold
-        # it: joins on a visible constant would become nested loops.
-        return F.to_json(F.struct(*keys)) if keys else F.left(F.col(number).cast("string"), F.lit(0))
-
+    # Vectors meet those of the same corpus and length, in the numbered blocks of `cosine_maxima`.
+    corpus = F.to_json(F.struct(*keys, F.size("vector").alias("_length")))
     clusters = topics.where("topic <> -1").select(
-        *keys, group("topic").alias("key"), F.col("topic").cast("bigint").alias("item"), "vector"
+        *keys, corpus.alias("key"), F.col("topic").cast("bigint").alias("item"), "vector"
     )
-    labels = truths.select(group("item").alias("key"), F.col("item").cast("bigint").alias("item"), "label", "vector")
+    labels = truths.select(corpus.alias("key"), F.col("item").cast("bigint").alias("item"), "label", "vector")
     near = best_match(clusters, labels.select("key", "item", "vector"), 0.0, block=block).select(
         "key", F.col("full_item").alias("topic"), F.col("sample_item").alias("item"), F.col("cosine").alias("gt_score")
     )
     found = near.join(labels.select("key", "item", F.col("label").alias("gt_label")), ["key", "item"])
-    named = topics.withColumn("key", group("topic")).select(*keys, "key", F.col("topic").cast("bigint").alias("topic"))
+    named = topics.withColumn("key", corpus).select(*keys, "key", F.col("topic").cast("bigint").alias("topic"))
     noise = F.col("topic") == -1
     return named.join(found, ["key", "topic"], "left").select(
         *keys,

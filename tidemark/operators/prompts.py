@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from string import Formatter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import two_decimals
@@ -51,6 +51,11 @@ CORPUS = (
     "For each criterion write one sentence that sums up how the two kinds of report compare over all "
     "evaluations, without numbers. Answer in JSON under the key Criterion_Justifications."
 )
+MERGE = (
+    "Below are several summaries, each of one part of the evaluations of paired reports.\n\n{summaries}\n\n"
+    "Merge them: for each criterion one sentence that holds over all parts, without numbers. Answer in JSON "
+    "under the key Criterion_Justifications."
+)
 
 
 def fill(template: str, **values: Column) -> Column:
@@ -177,32 +182,28 @@ def topic_prompts(
     )
 
 
-def corpus_summary_prompt(
+def corpus_summary_prompts(
     verdicts: DataFrame, template: str = CORPUS, *, document: str = "document", max_chars: int = 100_000
 ) -> DataFrame:
-    """One prompt over all verdicts in user order, its JSON list cut at `max_chars` characters.
+    """(part, n_verdicts, prompt) over all verdicts in user order, as JSON lists of about `max_chars` characters.
 
-    The cut is the operator's meaning; one verdict per user is expected.  A verdict adds at least two
-    characters, so the lengths of the first `max_chars` users tell which verdicts reach the cut, and
-    only those are read as text.
+    No verdict is cut or left out, also of users with several or with equal ones.  The answers to several
+    parts go into `corpus_merge_prompts`.
     """
-    lengths = (
-        verdicts.select("subject_id", (F.length(document) + 2).alias("_n")).orderBy("subject_id").limit(max_chars)
-    )
-    before = Window.orderBy("subject_id").rowsBetween(Window.unboundedPreceding, -1)
-    needed = (
-        lengths.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .where(F.col("_before") < max_chars)
-        .select("subject_id")
-    )
-    texts = verdicts.select("subject_id", F.left(document, F.lit(max_chars)).alias("_d")).join(
-        F.broadcast(needed), "subject_id"
-    )
-    joined = F.concat(
-        F.lit("["),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("subject_id", "_d"))), lambda v: v["_d"]), ", "),
-        F.lit("]"),
-    )
-    cut = F.concat(F.left("_t", F.lit(max_chars)), F.lit("... (truncated)"))
-    text = F.when(F.length("_t") > max_chars, cut).otherwise(F.col("_t"))
-    return texts.agg(joined.alias("_t")).select(fill(template, verdicts=text).alias("prompt"))
+    counted = verdicts.groupBy("subject_id", F.col(document).alias("document")).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+    parts = text_parts(each, [], ["subject_id", "document", "copy"], "document", max_chars=max_chars, separator=", ")
+    listed = F.concat(F.lit("["), F.col("text"), F.lit("]"))
+    return parts.select("part", F.col("n_texts").alias("n_verdicts"), fill(template, verdicts=listed).alias("prompt"))
+
+
+def corpus_merge_prompts(
+    answers: DataFrame, template: str = MERGE, *, answer: str = "response", max_chars: int = 100_000
+) -> DataFrame:
+    """(part, n_answers, prompt) that merge the answers to the parts of a corpus summary, in part order.
+
+    A single row unless the answers themselves exceed `max_chars`; then merge its answers again.
+    """
+    placed = answers.select(F.col("part").alias("place"), F.col(answer).alias("_answer"))
+    parts = text_parts(placed, [], ["place"], "_answer", max_chars=max_chars, separator="\n\n")
+    return parts.select("part", F.col("n_texts").alias("n_answers"), fill(template, summaries=F.col("text")).alias("prompt"))

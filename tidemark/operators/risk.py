@@ -81,31 +81,31 @@ def risk_series(posts: DataFrame, half_life: float = 15, smoothing: bool = True)
 
 
 def user_header(posts: DataFrame, half_life: float = 15) -> DataFrame:
-    """Per user: posts, first and last day, mean, peak and current smoothed risk, current minus mean."""
-    activity = posts.groupBy("subject_id").agg(
+    """Per user: posts, first and last day, mean, peak and current smoothed risk, current minus mean.
+
+    Posts without a date count as posts; they are a series of their own that no risk is read from.
+    """
+    series = F.struct("subject_id", F.col("date").isNull().alias("undated")).alias("subject_id")
+    days = posts.groupBy(series, F.to_date("date").alias("day")).agg(
+        F.avg(raw_risk()).alias("daily_risk"),
         F.count(F.lit(1)).alias("posts"),
-        F.to_date(F.min("date")).alias("first_day"),
-        F.to_date(F.max("date")).alias("last_day"),
+        F.min("date").alias("first"),
+        F.max("date").alias("last"),
     )
-    risk = (
-        risk_series(posts, half_life)
-        .groupBy("subject_id")
+    dated = F.when(~F.col("subject_id.undated"), F.col("ema_smooth"))
+    zero = F.lit(0.0)
+    return (
+        risk_smoothed(risk_ema(days, half_life))
+        .groupBy(F.col("subject_id.subject_id").alias("subject_id"))
         .agg(
-            F.avg("ema_smooth").alias("mean_risk"),
-            F.max("ema_smooth").alias("peak_risk"),
-            F.max_by("ema_smooth", "day").alias("current_risk"),
+            F.sum("posts").alias("posts"),
+            F.to_date(F.min("first")).alias("first_day"),
+            F.to_date(F.max("last")).alias("last_day"),
+            F.coalesce(F.avg(dated), zero).alias("mean_risk"),
+            F.coalesce(F.max(dated), zero).alias("peak_risk"),
+            F.coalesce(F.max_by(dated, "day"), zero).alias("current_risk"),
         )
-    )
-    zero = F.lit(0.0)
-    return activity.join(risk, "subject_id", "left").select(
-        "subject_id",
-        "posts",
-        "first_day",
-        "last_day",
-        F.coalesce("mean_risk", zero).alias("mean_risk"),
-        F.coalesce("peak_risk", zero).alias("peak_risk"),
-        F.coalesce("current_risk", zero).alias("current_risk"),
-        (F.coalesce("current_risk", zero) - F.coalesce("mean_risk", zero)).alias("risk_delta"),
+        .withColumn("risk_delta", F.col("current_risk") - F.col("mean_risk"))
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, scores
-from tidemark.operators import risk
+from tidemark.operators import risk, stats
 from tidemark.plans.lineage import cut
 
 
@@ -55,9 +55,7 @@ def global_statistics(posts: DataFrame, half_life: float = 15) -> dict[str, Data
         _mean("sum_severe", "n_severe").alias("avg_severe"), _mean("sum_moderate", "n_moderate").alias("avg_moderate")
     )
     return {
-        "user_metrics": users.agg(
-            F.count("subject_id").alias("num_users"), F.sum("post_count").alias("total_posts")
-        ).withColumn("avg_posts_user", F.try_divide(F.col("total_posts").cast("double"), F.col("num_users"))),
+        "user_metrics": stats.metrics_of_users(users, "post_count"),
         "depression_averages": averages.withColumn(
             "avg_none", scores.non_depressed_estimate(F.col("avg_severe"), F.col("avg_moderate"))
         ),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scores import point_line_distance
-from tidemark.plans.skew import salted_join
+from tidemark.plans.skew import equi_join
 
 
 def days_since_start(series: DataFrame) -> DataFrame:
@@ -121,4 +121,4 @@ def phase_posts(posts: DataFrame, segs: DataFrame, *, end_of_day: bool = False)
         kind = dict(posts.dtypes)["date"]
         inside = F.col("date").between(F.col("start_date").cast(kind), F.col("end_date").cast(kind))
     dated = posts.where(F.col("date").isNotNull())
-    return salted_join(dated, phases, ["subject_id"], spread=["id"], condition=inside)
+    return equi_join(dated, phases, ["subject_id"], condition=inside)

@@ -9,12 +9,16 @@ from tidemark.functions import dates, scores, text
 
 
 def user_metrics(posts: DataFrame) -> DataFrame:
-    """Distinct users, posts, and posts per user (null for an empty table)."""
+    """Distinct users, posts, and posts per user; zeros for an empty table."""
     # Counting per user first keeps the distinct step on one row per user and partition.
-    per_user = posts.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"))
+    return metrics_of_users(posts.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n")), "n")
+
+
+def metrics_of_users(per_user: DataFrame, posts: str) -> DataFrame:
+    """The same from one row per user with its number of posts; zeros for none."""
     return per_user.agg(
         F.count("subject_id").alias("num_users"),
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_posts"),
+        F.coalesce(F.sum(posts), F.lit(0)).cast("bigint").alias("total_posts"),
     ).withColumn(
         "avg_posts_user",
         F.coalesce(F.try_divide(F.col("total_posts").cast("double"), F.col("num_users")), F.lit(0.0)),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.plans.ordered import text_parts
-from tidemark.plans.skew import hot_keys, salted_join
+from tidemark.plans.skew import MIN_ROWS, hot_keys, salted_join
 
 
 def tokenize(
@@ -33,9 +33,12 @@ def topic_sizes(posts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def topic_term_counts(
-    posts: DataFrame, by: Sequence[str] = (), stop_words: list[str] | None = None
+    posts: DataFrame, by: Sequence[str] = (), stop_words: list[str] | None = None, *, min_rows: int = MIN_ROWS
 ) -> DataFrame:
-    """Per corpus, topic and term: `n`, the topic's total `topic_total` and the term's `term_total`."""
+    """Per corpus, topic and term: `n`, the topic's total `topic_total` and the term's `term_total`.
+
+    Topics and terms of more than `min_rows` rows may be joined in slices.
+    """
     by = list(by)
     # The joins below imply these filters; stated here, all uses of the counts have equal plans
     # and share one shuffle, so texts are read and tokenised once.
@@ -44,12 +47,17 @@ def topic_term_counts(
         terms = terms.where(F.col(name).isNotNull())
     counts = terms.groupBy(*by, "topic", "term").agg(F.count(F.lit(1)).alias("n"))
     topic_key = [*by, "topic"]
-    # A topic may hold a third of all terms, so its total is joined back in slices.  A term has at most
-    # one row per topic of its corpus, so a window over it stays small and saves a join.
+    # A topic may hold a third of all terms, and a term may be in every one of very many topics, so both
+    # totals are joined back in slices.
     topic_totals = counts.groupBy(*topic_key).agg(F.sum("n").alias("topic_total"))
-    totalled = salted_join(counts, topic_totals, topic_key, spread=["term"], hot=hot_keys(counts, topic_key))
-    term_total = F.sum("n").over(Window.partitionBy(*by, "term"))
-    return totalled.select(*by, "topic", "term", "n", "topic_total", term_total.alias("term_total"))
+    hot = hot_keys(counts, topic_key, min_rows=min_rows)
+    totalled = salted_join(counts, topic_totals, topic_key, spread=["term"], hot=hot)
+    term_key = [*by, "term"]
+    term_totals = counts.groupBy(*term_key).agg(F.sum("n").alias("term_total"))
+    hot = hot_keys(counts, term_key, min_rows=min_rows)
+    return salted_join(totalled, term_totals, term_key, spread=["topic"], hot=hot).select(
+        *by, "topic", "term", "n", "topic_total", "term_total"
+    )
 
 
 def ctfidf(posts: DataFrame, by: Sequence[str] = (), stop_words: list[str] | None = None) -> DataFrame:
@@ -58,7 +66,7 @@ def ctfidf(posts: DataFrame, by: Sequence[str] = (), stop_words: list[str] | Non
     counts = topic_term_counts(posts, by, stop_words)
     if by:
         sizes = posts.groupBy(*by).agg(F.count(F.lit(1)).alias("_posts"))
-        counts, n_posts = salted_join(counts, sizes, by, spread=["topic", "term"]), F.col("_posts")
+        counts, n_posts = counts.join(sizes, by), F.col("_posts")
     else:
         n_posts = posts.agg(F.count(F.lit(1))).scalar()
     score = (F.col("n") / F.col("topic_total")) * F.ln(n_posts / F.col("term_total"))
@@ -116,7 +124,7 @@ def topic_label_lookup(
         )
     real = points.where(F.col("topic") != -1)
     return (
-        salted_join(real, labels, [*by, "topic"], spread=points.columns, how="left")
+        real.join(labels, [*by, "topic"], "left")
         .withColumn("topic_label", F.coalesce("_label", topic))
         .drop("_label")
     )
@@ -130,8 +138,8 @@ def topic_centroids(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def cluster_points(points: DataFrame, text: Column | str = "text") -> DataFrame:
-    """Rows for the scatter plot: position, topic and a shortened text."""
-    return points.withColumn("text", tx.preview(text, always_dots=True))
+    """Rows for the scatter plot: position, topic and text, and a shortened `preview` beside the text."""
+    return points.withColumn("preview", tx.preview(text, always_dots=True))
 
 
 def user_topic_text(

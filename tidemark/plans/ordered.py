@@ -65,14 +65,19 @@ def text_parts(
     """All texts of a key joined in order, as one row per part of about `max_chars` characters.
 
     A part starts at the first text whose preceding characters fill the previous parts; texts are
-    never cut, dropped or reordered.  Keys below `max_chars` have the single part 0.
+    never cut, dropped or reordered.  Parts are numbered from 0; keys below `max_chars` have only that one.
+    `keys + order` must identify a row.
     """
     keys, order = list(keys), list(order)
     sep = len(separator)
     starts = running_total(df, keys, order, F.coalesce(F.length(text), F.lit(0)).cast("bigint") + F.lit(sep))
-    placed = starts.select(
-        *keys, *order, F.floor(F.col("before") / F.lit(max_chars)).cast("bigint").alias("part")
+    filled = starts.select(
+        *keys, *order, F.floor(F.col("before") / F.lit(max_chars)).cast("bigint").alias("_filled")
     )
+    # A long text may fill several parts; the parts in use are numbered from 0.
+    used = Window.partitionBy(*keys).orderBy("_filled")
+    numbers = filled.select(*keys, "_filled").distinct().withColumn("part", F.row_number().over(used).cast("bigint") - 1)
+    placed = _join_null_safe(filled, numbers, [*keys, "_filled"]).drop("_filled")
     texts = df.select(*keys, *order, F.col(text).alias("_text"))
     return (
         _join_null_safe(texts, placed, [*keys, *order])

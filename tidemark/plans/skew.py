@@ -1,8 +1,9 @@
 """Joins that survive a key holding a large part of all rows.
 
-A side whose size is known to be small is broadcast, which needs no shuffle and knows no skew.
-Otherwise hot keys are salted.  A key is hot when it owns more than `share` of the rows, so there are at most `1 / share` hot keys
-whatever the data: that list, and only that list, is broadcast.  Rows of a hot key are spread over
+Adaptive execution broadcasts a side of measured small size and splits hot keys of plain joins, so most
+joins are left to it.  It cannot split a key when one side comes grouped by it; for those joins hot keys
+are salted.  A key is hot when it owns more than `share` of the rows, so there are at most `1 / share` hot
+keys whatever the data: that list, and only that list, is broadcast.  Rows of a hot key are spread over
 salts by a hash of the row; the other side repeats its few rows once per salt.
 """
 
@@ -42,41 +43,22 @@ def hot_keys(
     )
 
 
-def known_small(df: DataFrame, margin: int = 4) -> bool:
-    """Whether the planner's size of `df` is well below the session's broadcast limit.
-
-    The size comes from the files behind `df`; a table written before (`lineage.cut`) has an exact one.
-    Plans that multiply rows are never called small, and `margin` allows for compressed files.
-    """
-    try:
-        limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-        plan = df._jdf.queryExecution().optimizedPlan()
-    except AttributeError:  # a remote session does not show its plans
-        return False
-    size = plan.stats().sizeInBytes()
-    return size * margin <= limit and "Generate " not in plan.toString()
-
-
 def salted_join(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str],
     *,
     spread: Sequence[str],
+    hot: DataFrame,
     how: str = "inner",
     condition: Column | None = None,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join (inner or left) of a possibly skewed `big` with `small`, whole and exact.
 
-    `spread` names the columns of `big` whose hash picks the slice.  `condition` is an extra
-    predicate over columns present on one side only.  Without a list of `hot` keys, a `small` side of
-    known small size is broadcast; otherwise hot keys are counted.
+    `spread` names the columns of `big` whose hash picks the slice, `hot` the keys to slice as
+    `hot_keys` gives them.  `condition` is an extra predicate over columns present on one side only.
     """
     on = list(on)
-    if hot is None and known_small(small):
-        return _equi_join(big, F.broadcast(small), on, how, condition)
-    hot = hot_keys(big, on) if hot is None else hot
     slices = F.broadcast(hot)
     row_hash = F.xxhash64(*spread)
     # A null key matches nothing; spreading it keeps a left join's null group off one task.
@@ -95,10 +77,12 @@ def salted_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )
-    return _equi_join(left, right, [*on, "_salt"], how, condition).drop("_salt")
+    return equi_join(left, right, [*on, "_salt"], how, condition).drop("_salt")
 
 
-def _equi_join(left: DataFrame, right: DataFrame, on: list[str], how: str, condition: Column | None) -> DataFrame:
+def equi_join(
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", condition: Column | None = None
+) -> DataFrame:
     """Join on equal names, plus a condition over names present on one side only."""
     if condition is None:
         return left.join(right, on, how)

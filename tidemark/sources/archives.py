@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.schema import ARCHIVE_MEMBER
+from tidemark.sources.ids import with_ids
 
 _BATCH_CHARS = 8_000_000
 
@@ -73,7 +74,7 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_posts(members: DataFrame) -> DataFrame:
-    """One raw post per WRITING of the usable members."""
+    """One raw post per WRITING of the usable members; markup inside an element stays in its text as written."""
     return (
         members.where("usable")
         .select("path", "doc.ID", F.explode("doc.WRITING").alias("w"))
@@ -91,4 +92,5 @@ def rejected_members(members: DataFrame) -> DataFrame:
 
 
 def ingest_zip_xml(spark: SparkSession, path: str) -> DataFrame:
-    return raw_posts(read_members(spark, path))
+    """The raw posts of the archives, with ids."""
+    return with_ids(raw_posts(read_members(spark, path)))

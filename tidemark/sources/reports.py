@@ -14,7 +14,9 @@ REPORT_FILE = r"([^/]+)\.json$"
 
 
 def _from_name(pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), pattern, group)
+    # The path comes URI-encoded; a plus sign stands for itself in it.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(path, pattern, group)
 
 
 def _read(spark: SparkSession, path: str, struct, multi_line: bool) -> DataFrame:
@@ -22,14 +24,17 @@ def _read(spark: SparkSession, path: str, struct, multi_line: bool) -> DataFrame
 
 
 def read_eval_json(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    """Verdicts with the user from the file name; files without result and mapping are left out.
+    """Verdicts with the user from the file name; files without scores of both reports and both letters are left out.
 
-    That leaves out damaged files and a summary file that happens to match the name pattern.
+    That leaves out damaged files, empty objects and a summary file that happens to match the name pattern.
     """
     return (
         _read(spark, path, schema.VERDICT, multi_line)
         .select(_from_name(VERDICT_FILE).alias("subject_id"), "result", "mapping")
-        .where(F.col("result").isNotNull() & F.col("mapping").isNotNull())
+        .where(
+            (F.size("result.Report_A") > 0) & (F.size("result.Report_B") > 0)
+            & F.col("mapping.A").isNotNull() & F.col("mapping.B").isNotNull()
+        )
     )
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.functions.dates import DATE_FORMATS
 from tidemark.operators.clean import typed_posts
 from tidemark.schema import LABELS, POST_COLUMNS
+from tidemark.sources.ids import with_ids
 
 # Quotes inside a field are doubled, as CSV writers other than Spark's do by default.
 CSV = {"header": "true", "quote": '"', "escape": '"'}
@@ -22,9 +24,10 @@ def read_labels_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_posts_csv(
-    spark: SparkSession, path: str, *, multi_line: bool = True, numeric_subject: bool = True
+    spark: SparkSession, path: str, *, multi_line: bool = True, numeric_subject: bool = True,
+    date_formats: Sequence[str] = DATE_FORMATS,
 ) -> DataFrame:
-    """Classified posts from CSV, with our column names and types.
+    """Classified posts from CSV, with our column names and types, and an `id` where the files have none.
 
     Fields may hold line breaks, so a file is read by one task; write the result as Parquet once, or
     pass `multi_line=False` for files known to have none.  Unknown columns keep their stripped names.
@@ -37,7 +40,8 @@ def load_posts_csv(
         raise ValueError(f"missing columns {sorted(missing)} in {path}")
     if "predicted_label" in posts.columns:
         posts = posts.withColumn("predicted_label", F.col("predicted_label").try_cast("int"))
-    return typed_posts(posts, numeric_subject=numeric_subject)
+    posts = posts if "id" in posts.columns else with_ids(posts)
+    return typed_posts(posts, numeric_subject=numeric_subject, date_formats=date_formats)
 
 
 def export_sorted(posts: DataFrame, path: str, *, ties: Sequence[str] = (), mode: str = "overwrite") -> None:
