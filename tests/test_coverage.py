@@ -120,3 +120,20 @@ def test_pairs_are_not_emitted(spark, sides):
     distinct = lambda rows: len({(r[0], tuple(r[2])) for r in rows if r[0] < 8})
     assert maxima.count() == distinct(full) + distinct(sample)
     assert maxima.where(F.col("side") == "full").agg(F.sum("copies")).first()[0] == len(full) - 1
+
+
+@pytest.mark.parametrize("bad", [[1.0, 0.0], [1.0, float("nan"), 0.0, 0.0], [1.0, None, 0.0, 0.0]])
+def test_odd_vectors_raise(spark, bad):
+    full = frame(spark, [(1, 1, [1.0, 0.0, 0.0, 0.0]), (1, 2, bad)])
+    sample = frame(spark, [(1, 3, [1.0, 1.0, 0.0, 0.0])])
+    with pytest.raises(Exception, match="different lengths|not finite|infinite"):
+        coverage.cosine_maxima(full, sample).collect()
+
+
+def test_narratives_may_be_lists(spark, posts):
+    p = posts([(1, 1, "2020-01-01", 0.1, 0.1, "a")])
+    listed = spark.createDataFrame([(1, ["one", "", "two"]), (2, None)], "subject_id bigint, base_analysis array<string>")
+    _, sample = coverage.text_sides(p, listed)
+    assert sorted(map(tuple, sample.collect())) == [(1, 0, "one"), (1, 2, "two")]
+    single = spark.createDataFrame([(1, "one"), (2, ""), (3, None)], "subject_id bigint, base_analysis string")
+    assert [tuple(r) for r in coverage.text_sides(p, single)[1].collect()] == [(1, 0, "one")]

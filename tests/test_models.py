@@ -203,12 +203,16 @@ def test_judge_prompts_hide_the_origin(spark):
 
 
 @pytest.mark.parametrize("n,length,limit", [(3, 10, 100), (300, 10, 100), (5, 1000, 100), (50, 1, 100)])
-def test_corpus_prompt_is_cut_like_the_whole_text(spark, n, length, limit):
-    docs = [(i, f"{i:03d}" + "x" * length) for i in range(n)]
+def test_corpus_prompts_hold_every_verdict(spark, n, length, limit):
+    # Two verdicts of every user, the last user's being equal.
+    docs = [(i, f"{i:03d}{k * (i < n - 1)}" + "x" * length) for i in range(n) for k in (1, 2)]
     df = spark.createDataFrame(docs, "subject_id int, document string").repartition(4)
-    whole = "[" + ", ".join(d for _, d in docs) + "]"
-    want = whole[:limit] + "... (truncated)" if len(whole) > limit else whole
-    assert prompts.corpus_summary_prompt(df, "{verdicts}", max_chars=limit).first().prompt == want
+    got = prompts.corpus_summary_prompts(df, "{verdicts}", max_chars=limit).orderBy("part").collect()
+    assert [r.part for r in got] == list(range(len(got))) and sum(r.n_verdicts for r in got) == 2 * n
+    assert ", ".join(r.prompt[1:-1] for r in got) == ", ".join(d for _, d in docs)
+    answers = spark.createDataFrame([(r.part, f"answer {r.part}") for r in got], "part bigint, response string")
+    merged = prompts.corpus_merge_prompts(answers, "{summaries}").collect()
+    assert [r.prompt for r in merged] == ["\n\n".join(f"answer {i}" for i in range(len(got)))]
 
 
 def test_topic_prompts_skip_empty_narratives(spark, posts):

@@ -7,10 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemark.operators import clean, risk, stats
+from tidemark.operators import clean, risk, stats, topics
 from tidemark.plans.lineage import cut, scratch_path
 from tidemark.plans.ordered import running_total, text_parts
-from tidemark.plans.skew import hot_keys, known_small, salted_join
+from tidemark.plans.skew import hot_keys, salted_join
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -80,20 +80,12 @@ def test_text_parts_keep_every_text_in_order(spark):
     assert {r.text for r in parts if r.subject_id is None} == {"nobody"}
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_known_small_side_is_broadcast_without_a_count(spark, how):
-    small = cut(spark.createDataFrame([(1, "a"), (1, "b"), (None, "n")], "k bigint, v string"))
-    assert known_small(small)
-    assert not known_small(small.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(9)))))
-    big = cut(skewed(spark))
-    got = salted_join(big, small, ["k"], spread=["id"], how=how)
-    assert "BroadcastHashJoin" in plan(got) and "Exchange hashpartitioning" not in plan(got)
-    assert sorted(map(str, got.collect())) == sorted(map(str, big.join(small, "k", how).collect()))
-
-
-def test_large_side_is_not_called_small(spark):
-    wide = cut(spark.range(400_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v")))
-    assert not known_small(wide)
+def test_parts_are_numbered_without_gaps(spark):
+    rows = [(1, i, "x" * n) for i, n in enumerate((25, 1, 1, 40, 2))] + [(2, 0, "y")]
+    parts = text_parts(spark.createDataFrame(rows, "k int, i int, text string"), ["k"], ["i"], max_chars=10)
+    assert sorted((r.k, r.part, r.n_texts) for r in parts.collect()) == [(1, 0, 1), (1, 1, 2), (1, 2, 1), (1, 3, 1), (2, 0, 1)]
+    whole = text_parts(spark.createDataFrame(rows, "k int, i int, text string"), [], ["k", "i"], max_chars=10)
+    assert sorted((r.part, r.n_texts) for r in whole.collect()) == [(0, 1), (1, 2), (2, 1), (3, 2)]
 
 
 def test_cut_reads_back_the_same_rows(spark):
@@ -139,6 +131,17 @@ def test_terms_are_read_once(spark):
     assert plan(df).split("Initial Plan")[0].count("FileScan") == 1
 
 
+def test_user_header_reads_posts_once(spark):
+    df = entry.queries()["user_header"](spark, SF_DIR)
+    assert plan(df).count("FileScan") == 1 and "Join" not in plan(df)
+
+
+def test_one_term_in_very_many_topics(spark):
+    rows = spark.range(20_000).select("id", F.col("id").alias("topic"), F.concat(F.lit("common w"), F.col("id") % 50).alias("text"))
+    got = topics.topic_term_counts(rows, min_rows=100).where("term = 'common'")
+    assert got.agg(F.count(F.lit(1)), F.min("term_total"), F.max("term_total")).first()[:] == (20_000, 20_000, 20_000)
+
+
 def test_no_pairwise_nested_loops(spark):
     for name in ("coverage_metrics", "topic_info", "series_by_segment"):
         p = plan(entry.queries()[name](spark, SF_DIR))

@@ -127,3 +127,9 @@ def test_histogram_counts_every_score(spark, posts):
     p = posts([(1, 1, "2020-01-01", 1.0, 0.0, "a"), (2, 1, "2020-01-01", 0.049, None, "a")])
     got = {(r.score, r.bin): r.posts for r in stats.score_histogram(p, bins=20).collect()}
     assert got == {("severe", 19): 1, ("severe", 0): 1, ("moderate", 0): 1}
+
+
+def test_no_posts_give_zeros_everywhere(spark, posts):
+    empty = posts([])
+    direct = tuple(stats.user_metrics(empty).first())
+    assert direct == (0, 0, 0.0) == tuple(rollup.global_statistics(empty)["user_metrics"].first())

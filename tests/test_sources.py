@@ -4,8 +4,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean
-from tidemark.sources import archives, tables
+from tidemark.functions.dates import coerce_date
+from tidemark.operators import clean, prompts, risk
+from tidemark.sources import archives, reports, tables
 
 
 def writing(date="2020-01-01", title="t", info="i", text="x"):
@@ -115,3 +116,35 @@ def test_results_of_one_user_sit_together(spark, tmp_path):
     assert back.count() == 2000
     files = back.groupBy("subject_id").agg(F.count_distinct(F.col("_metadata.file_path")).alias("n"))
     assert files.agg(F.max("n")).first()[0] <= 2
+
+
+def test_loaded_posts_have_ids(spark, tmp_path):
+    rows = [["7", "2020-01-02 03:04:05", "same"]] * 3 + [["7", "2020-01-02 03:04:05", "other"], ["", "", ""]]
+    with open(tmp_path / "posts.csv", "w", newline="", encoding="utf-8") as f:
+        csv.writer(f).writerows([["Subject ID", "Date", "Text"], *rows])
+    df = tables.load_posts_csv(spark, str(tmp_path / "posts.csv"))
+    first, again = (sorted((r.id, r.text or "") for r in df.repartition(n).collect()) for n in (1, 4))
+    assert first == again and len({i for i, _ in first}) == 5
+    posts = df.selectExpr("*", "0.5D AS prob_severe", "0.1D AS prob_moderate")
+    assert risk.recent_posts(posts, 10).where("subject_id = 7").count() == 4
+    assert prompts.base_prompts(posts).where("subject_id = 7").first().n_posts == 4
+
+
+def test_many_spellings_of_dates(spark):
+    given = ["2020-01-02 03:04:05", "2020-01-02T03:04", "2020/01/02", "1/2/2020", "1/2/2020 3:04", "2 Jan 2020", "Jan 2, 2020", "20200102", " 2020-01-02 "]
+    df = spark.createDataFrame([(g,) for g in given] + [("soon",), (None,), ("13/45/2020",)], "date string")
+    days = [str(r.day) for r in df.limit(len(given)).select(F.to_date(coerce_date(F.col("date"))).alias("day")).collect()]
+    assert days == ["2020-01-02"] * len(given)
+    assert tuple(clean.rejected_dates(df).first()) == (len(given) + 2, 2)
+
+
+def test_verdicts_need_scores_and_letters(spark, tmp_path):
+    whole = '{"result": {"Report_A": {"c": 1}, "Report_B": {"c": 2}, "Preferred_Report": "B"}, "mapping": {"A": "base", "B": "trajectory"}}'
+    files = {
+        "eval_u 4.json": whole, "eval_a+b.json": whole, "eval_1.json": "{}", "eval_2.json": '{"result": {}, "mapping": {}}',
+        "eval_3.json": whole.replace('"A": "base", ', ""), "eval_4.json": whole[:30], "eval_5.json": "",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_text(content)
+    got = reports.read_eval_json(spark, str(tmp_path / "eval_*.json"))
+    assert sorted(r.subject_id for r in got.collect()) == ["a+b", "u 4"]

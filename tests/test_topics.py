@@ -66,10 +66,10 @@ def test_labels_fall_back_to_name_and_number(spark):
     assert (centre.x, centre.y) == (2.0, 4.0)
 
 
-def test_plot_text_always_has_dots(spark):
+def test_plot_preview_always_has_dots(spark):
     df = spark.createDataFrame([("x" * 150,), ("short",)], "text string")
-    got = [r.text for r in topics.cluster_points(df).orderBy(F.desc(F.length("text"))).collect()]
-    assert got == ["x" * 100 + "...", "short..."]
+    got = [tuple(r) for r in topics.cluster_points(df).orderBy(F.desc(F.length("text"))).collect()]
+    assert got == [("x" * 150, "x" * 100 + "..."), ("short", "short...")]
 
 
 def test_user_text_is_one_part_for_ordinary_users(spark, posts):
