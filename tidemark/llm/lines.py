@@ -154,23 +154,23 @@ def shared_keys(found: DataFrame) -> DataFrame:
     return found.repartition("key").sortWithinPartitions("key", "line").mapInArrow(run, "key bigint, line bigint")
 
 
-def line_texts(docs: DataFrame, only: np.ndarray) -> DataFrame:
-    """`line, content` of the lines whose hash passes the filter, once a slice."""
+def occurrences(docs: DataFrame, only: np.ndarray) -> DataFrame:
+    """`doc_id, number, line, size, content` of every line that is not empty; content where the line's hash passes the filter."""
 
     def rows(batch: pa.RecordBatch):
         batch = batch.filter(batch["doc_id"].is_valid())
         for a, b in W.slices(batch["text"], SLICE) if batch.num_rows else ():
-            chars, _, _, s, e = lines_of(batch["text"].slice(a, b - a))
-            line, first = np.unique(_Hashes(chars).of(s, e), return_index=True)
-            some = _in_filter(only, line.view(np.int64))
-            first = first[some]
-            raw = chars.tobytes()
+            chars, doc, number, s, e = lines_of(batch["text"].slice(a, b - a))
+            line = _Hashes(chars).of(s, e).view(np.int64)
+            raw, content = chars.tobytes(), np.full(len(line), None, object)
+            for i in np.flatnonzero(_in_filter(only, line)).tolist():
+                content[i] = raw[4 * s[i] : 4 * e[i]].decode("utf-32-le")
             yield {
-                "line": W.signed(line[some]),
-                "content": pa.array([raw[4 * x : 4 * y].decode("utf-32-le") for x, y in zip(s[first].tolist(), e[first].tolist(), strict=True)], pa.string()),
+                "doc_id": batch["doc_id"].slice(a, b - a).take(pa.array(doc)), "number": number.astype(np.int32),
+                "line": line, "size": (e - s).astype(np.int32), "content": pa.array(content, pa.string()),
             }
 
-    return in_arrow(docs, rows, "line bigint, content string")
+    return in_arrow(docs, rows, "doc_id bigint, number int, line bigint, size int, content string")
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -216,95 +216,112 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(rows[-1] >> d & 1)
 
 
-def _links_among(names: np.ndarray, contents: list[str], side: np.ndarray | None) -> np.ndarray:
+def _links_among(contents: list[str], side: list[int] | None) -> np.ndarray:
     """For each place the smallest place it is linked to; with sides only across them."""
-    n = len(names)
-    labels = np.arange(n)
-    size = np.array([len(c) for c in contents])
-    bag = np.zeros((n, 64), np.int16)
-    for i, c in enumerate(contents):
-        bag[i] = np.bincount(np.frombuffer(c.encode("utf-32-le"), np.uint32) & 63, minlength=64)
+    n = len(contents)
+    labels, size = np.arange(n), np.array([len(c) for c in contents])
+    if n > 16:
+        bag = np.stack([np.bincount(np.frombuffer(c.encode("utf-32-le"), np.uint32) & 31, minlength=32) for c in contents])
     for i in range(n - 1):
-        edits = allowed(np.minimum(size[i], size[i + 1 :]))
-        # An edit changes the counts of two characters at most.
-        near = (np.abs(size[i + 1 :] - size[i]) <= edits) & (labels[i + 1 :] != labels[i])
-        if side is not None:
-            near &= side[i + 1 :] != side[i]
-        some = np.flatnonzero(near)
-        if not len(some):
-            continue
-        some = some[np.abs(bag[i + 1 :][some] - bag[i]).sum(1) <= 2 * edits[some]]
-        for j in (some + i + 1).tolist():
-            if labels[i] != labels[j] and within(contents[i], contents[j], int(allowed(min(size[i], size[j])))):
-                _join(labels, np.array([i]), np.array([j]))
+        some = range(i + 1, n)
+        if n > 16:
+            # An edit changes the counts of two characters at most.
+            far = np.abs(size[i + 1 :] - size[i]) > MOST
+            near = np.flatnonzero(~far & (labels[i + 1 :] != labels[i]))
+            some = (near[np.abs(bag[i + 1 :][near] - bag[i]).sum(1) <= 2 * MOST] + i + 1).tolist()
+        for j in some:
+            if labels[i] != labels[j] and (side is None or side[i] != side[j]):
+                shorter = min(len(contents[i]), len(contents[j]))
+                if within(contents[i], contents[j], (shorter >= SHORT) + (shorter >= LONG)):
+                    _join(labels, np.array([i]), np.array([j]))
     return labels
 
 
-def line_links(docs: DataFrame) -> DataFrame:
-    """`u, v`: links between hashes of different lines, enough to connect whatever is linked."""
-    shared = cut(shared_keys(keys(docs)), "shared-keys")
-    wanted = shared.select(F.col("line").alias("doc_id"))
-    contents = line_texts(docs, id_filter(wanted)).join(shared.select("line").distinct(), "line").dropDuplicates(["line", "content"])
-    contents = cut(contents, "line-texts")
+def _compare(batches):
+    """Links of each group of `key, x, y` in rows sorted by them, one group at a time."""
+    held = None
+
+    def groups(table: pa.Table, last: bool):
+        """Whole groups of a table, and what may go on in the next batch."""
+        at = [table[c].to_numpy() for c in ("key", "x", "y")]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in at])
+        edges = [*np.flatnonzero(new).tolist(), table.num_rows]
+        return list(zip(edges[:-1], edges[1:], strict=True))[: None if last else -1], edges[-1 if last else -2]
+
+    def links(table: pa.Table, ranges):
+        u, v = [], []
+        names, x, y, side = (table[c].to_numpy() for c in ("line", "x", "y", "side"))
+        contents = table["content"].to_pylist()
+        for a, b in ranges:
+            across = x[a] != y[a]
+            if b - a > 1:
+                labels = _links_among(contents[a:b], side[a:b].tolist() if across else None)
+                node = np.flatnonzero(labels != np.arange(b - a))
+                u += names[a:b][node].tolist()
+                v += names[a:b][labels[node]].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None and held.num_rows else table
+            ranges, end = groups(table, False)
+            yield links(table, ranges)
+            held = table.slice(end)
+    if held is not None and held.num_rows:
+        yield links(held, groups(held, True)[0])
+
+
+def line_links(shared: DataFrame, contents: DataFrame) -> DataFrame:
+    """`u, v`: links between different lines of `key, line` that share a key, enough to connect whatever is linked.
+
+    `contents` has the `line, content` of all of them.
+    """
     # Entries with the same lines need one comparison only.
     sets = shared.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64(F.lit(1), "line")).alias("mixed")
     )
     once = cut(sets.groupBy("n", "total", "mixed").agg(F.min("key").alias("key")).select("key", "n"), "keys")
     member = shared.join(once, "key").withColumn("blocks", F.ceil(F.col("n") / F.lit(CROWD)).cast("int"))
-    # A crowded entry is dealt into blocks of lines, and every two blocks meet in a task of their own.
+    # A crowded entry is dealt into blocks of lines, and every two blocks meet in a group of their own.
     block = F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")
     paired = (
         member.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "line", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     )
+    met = paired.join(contents, "line").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return met.mapInArrow(_compare, "u bigint, v bigint").distinct()
 
-    def compare(group):
-        import pandas as pd
-
-        across = group["x"].iloc[0] != group["y"].iloc[0]
-        names, side = group["line"].to_numpy(), group["side"].to_numpy()
-        labels = _links_among(names, group["content"].tolist(), side if across else None)
-        node = np.flatnonzero(labels != np.arange(len(labels)))
-        return pd.DataFrame({"u": names[node], "v": names[labels[node]]})
 
-    met = paired.join(contents, "line")
-    return met.groupBy("key", "x", "y").applyInPandas(compare, "u bigint, v bigint").distinct()
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """`doc_id, number, line, size` of every line that is not empty."""
-
-    def rows(batch: pa.RecordBatch):
-        batch = batch.filter(batch["doc_id"].is_valid())
-        for a, b in W.slices(batch["text"], SLICE) if batch.num_rows else ():
-            chars, doc, number, s, e = lines_of(batch["text"].slice(a, b - a))
-            yield {
-                "doc_id": batch["doc_id"].slice(a, b - a).take(pa.array(doc)), "number": number.astype(np.int32),
-                "line": W.signed(_Hashes(chars).of(s, e)), "size": (e - s).astype(np.int32),
-            }
-
-    return in_arrow(docs, rows, "doc_id bigint, number int, line bigint, size int")
+def classed_lines(docs: DataFrame) -> DataFrame:
+    """`doc_id, number, size, class`: every line that is not empty and the smallest hash it is linked to."""
+    shared = cut(shared_keys(keys(docs)), "shared-keys")
+    found = cut(occurrences(docs, id_filter(shared.select(F.col("line").alias("doc_id")))), "occurrences")
+    contents = cut(
+        found.where("content IS NOT NULL").select("line", "content").join(shared.select("line").distinct(), "line").dropDuplicates(["line", "content"]),
+        "line-texts",
+    )
+    roots = components(line_links(shared, contents)).withColumnRenamed("node", "line")
+    return cut(
+        found.drop("content").join(roots, "line", "left").select("doc_id", "number", "size", F.coalesce("root", "line").alias("class")), "classes"
+    )
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(classed: DataFrame) -> DataFrame:
     """`doc_id, number, size, first_doc`: lines whose class has an earlier occurrence, and where its first one is."""
-    roots = components(line_links(docs))
-    named = cut(
-        occurrences(docs).join(roots.withColumnRenamed("node", "line"), "line", "left")
-        .select("doc_id", "number", "size", F.coalesce("root", "line").alias("class")), "occurrences"
-    )
     first = cut(
-        named.groupBy("class").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count(F.lit(1)).alias("n"))
+        classed.groupBy("class").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("class", F.col("first.doc_id").alias("first_doc"), F.col("first.number").alias("first_number")), "first-lines"
     )
-    return named.join(first, "class").where("doc_id <> first_doc OR number <> first_number").select("doc_id", "number", "size", "first_doc")
+    return classed.join(first, "class").where("doc_id <> first_doc OR number <> first_number").select("doc_id", "number", "size", "first_doc")
 
 
 def removals(docs: DataFrame, max_share: float = 0.5) -> DataFrame:
     """`doc_id, n_lines, n_repeated, removed, first_docs`: per document, the line numbers to remove and their first documents."""
-    repeated = cut(repeated_lines(docs), "repeated-lines")
-    whole = occurrences(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("size").alias("size"))
+    classed = classed_lines(docs)
+    repeated = cut(repeated_lines(classed), "repeated-lines")
+    whole = classed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("size").alias("size"))
     per_doc = repeated.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_repeated"), F.sum("size").alias("repeated_size"),
         F.array_sort(F.collect_set("number")).alias("numbers"), F.array_sort(F.collect_set("first_doc")).alias("first"),

@@ -89,10 +89,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+class _Powers(dict):
+    """Powers of a base by base, as long as they were ever asked for; functions sent to tasks take none along."""
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_POWERS = _Powers()
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first `n` powers of a base, not to be written to."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 def word_hashes(w: Words) -> np.ndarray:
