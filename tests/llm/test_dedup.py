@@ -123,10 +123,10 @@ def test_paths_name_their_source(spark):
     rng = random.Random(3)
     words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
     rows = [(1, " ".join(words[:120])), (2, " ".join(words[60:200])), (3, "x " + " ".join(words[:200]))]
-    docs = spans.texts(table(spark, rows))
-    got = {tuple(r) for r in spans.repeated_paths(docs, spans.packed(docs)).select("doc_id", "source", "start", "n_windows", "source_start").collect()}
+    rows += [(4, rows[1][1])]
+    got = {tuple(r) for r in spans.repeated_paths(table(spark, rows)).select("doc_id", "source", "start", "n_windows", "source_start").collect()}
     # Document 2 shares words 60 to 120 with document 1; document 3 first those of 1, then those of 2.
-    assert got == {(2, 1, 0, 11, 60), (3, 1, 1, 71, 0), (3, 2, 72, 80, 11)}
+    assert got == {(2, 1, 0, 11, 60), (3, 1, 1, 71, 0), (3, 2, 72, 80, 11), (4, 2, 0, None, 0)}
 
 
 def test_repeated_spans_of_nothing(no_docs):

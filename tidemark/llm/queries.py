@@ -77,7 +77,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted", "plain", "fuzzy")
+    return found.select("doc_id", "held_out", "score", "predicted", "words", "misspelled", "stems")
 
 
 @_query

@@ -10,7 +10,8 @@ Texts meet the lexicon as their distinct words: the sorted words and the trie of
 together with a Levenshtein automaton of one error (none for short terms, none in the first letter),
 so whole ranges of words are dropped at once.  Each hit then weighs by its context: less inside
 quotation marks or after a reporting verb, more beside a second person.  A logistic model over the
-weights of plain and of misspelled hits, fitted on the sample, gives the score.
+weights of words, of misspelled words and of stems, each bent after the first hit, is fitted on the
+sample and gives the score.
 
 Texts without words have no hits; null texts are empty texts.
 """
@@ -49,6 +50,7 @@ STEMS = (4, 5, 6)
 FUZZY = 5
 QUOTED, ADDRESSED = 0.4, 1.25
 MOST = 6.0
+EVIDENCE = ("words", "misspelled", "stems")
 REMEMBERED = 400_000
 _STEM = np.uint64(0x5BD1E9955BD1E995)
 
@@ -104,8 +106,8 @@ def _step(states: dict[Node, int], c: str) -> dict[Node, int]:
     return out
 
 
-def intersect(vocabulary: list[str], root: Node) -> dict[int, int]:
-    """Of a sorted list, the places of words that the lexicon accepts: 1 exactly, 2 with one error."""
+def intersect(vocabulary: list[str], root: Node, exact: frozenset[str] = frozenset()) -> dict[int, int]:
+    """Of a sorted list, the places of words that the lexicon accepts: 1 exactly, 2 with one error, 3 by a stem."""
     found: dict[int, int] = {}
 
     def accepted(states: dict[Node, int]) -> int:
@@ -126,7 +128,8 @@ def intersect(vocabulary: list[str], root: Node) -> dict[int, int]:
                 found[low] = kind
             low += 1
         if any(node.stem and errors == 0 for node, errors in states.items()):
-            found.update(dict.fromkeys(range(low, high), 1))
+            for i in range(low, high):
+                found[i] = 1 if vocabulary[i] in exact else 3
             return
         while low < high:
             word = vocabulary[low]
@@ -145,11 +148,11 @@ class Matcher:
     """Finds the words of texts that the lexicon accepts; distinct words are looked up once."""
 
     def __init__(self, lexicon: Lexicon):
-        self.root = trie(lexicon)
+        self.root, self.exact = trie(lexicon), frozenset(lexicon.words)
         self.seen, self.kind = np.zeros(0, np.uint64), np.zeros(0, np.int8)
 
     def kinds(self, found: W.Words) -> np.ndarray:
-        """0, 1 or 2 for each word."""
+        """0, 1, 2 or 3 for each word."""
         h = W.word_hashes(found)
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.seen) > REMEMBERED:
@@ -162,7 +165,7 @@ class Matcher:
             for s, e, x in zip(found.start[new].tolist(), found.end[new].tolist(), h[new].tolist(), strict=True)
             if e - s <= 64
         )
-        hits = intersect([word for word, _ in named], self.root)
+        hits = intersect([word for word, _ in named], self.root, self.exact)
         kind = np.zeros(len(new), np.int8)
         if hits:
             hashes = np.array([named[i][1] for i in hits], np.uint64)
@@ -194,8 +197,8 @@ def context_weight(before: str, after: str) -> float:
 
 
 def evidence(rows: pa.Array, matcher: Matcher) -> np.ndarray:
-    """For each text the weights of its exact and of its misspelled hits, each at most MOST."""
-    out = np.zeros((len(rows), 2))
+    """For each text the weights of its words, its misspelled words and its stems, each at most MOST."""
+    out = np.zeros((len(rows), 3))
     for a, b in W.slices(rows):
         found = W.words(rows.slice(a, b - a), W.LETTERS, True)
         kind = matcher.kinds(found)
@@ -214,6 +217,11 @@ def evidence(rows: pa.Array, matcher: Matcher) -> np.ndarray:
     return np.minimum(out, MOST)
 
 
+def bent(x: np.ndarray) -> np.ndarray:
+    """Columns of a piecewise linear function of each column: up to 1, from 1 to 2, and beyond."""
+    return np.concatenate([np.minimum(x, 1), np.clip(x - 1, 0, 1), np.maximum(x - 2, 0)], axis=1)
+
+
 def _terms(found: W.Words):
     """Hash, text number and (start, end) of every word and of every stem of every longer word."""
     doc = found.doc()
@@ -244,16 +252,16 @@ def learn(labelled: DataFrame, start: tuple[str, ...] = INSULTS) -> Lexicon:
             yield {"term": W.signed(term), "n0": np.bincount(place, minlength=len(term)) - n1, "n1": n1}
 
     rows = cut(labelled, "labelled")
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).first()
-    toxic, clean = int(totals["toxic"] or 0), int(totals["n"] - (totals["toxic"] or 0))
+    totals = rows.agg(F.sum("label").alias("toxic")).first()
+    toxic = int(totals["toxic"] or 0)
     if not toxic:
         return Lexicon(tuple(start), ())
-    # Three texts at least, and a share of toxic ones far above the sample's own.
+    # Three toxic texts at least, and twenty for each clean one.
     counted = in_arrow(rows.select("text", "label"), count, "term bigint, n0 bigint, n1 bigint")
     candidates = (
         counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .where(F.col("n1") >= max(3, toxic // 200))
-        .where(F.col("n1") * F.lit(clean / toxic / 20 if clean else 1.0) >= F.col("n0")).toPandas()
+        .where(F.col("n1") >= F.lit(20) * F.col("n0")).toPandas()
     )
     wanted = np.sort(candidates["term"].to_numpy(np.int64))
     if not len(wanted):
@@ -328,36 +336,41 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, f
         matcher = Matcher(lexicon)
         for batch in batches:
             x = evidence(batch["text"], matcher)
-            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(x[:, 0]), pa.array(x[:, 1])], ["label", "plain", "fuzzy"])
+            yield pa.RecordBatch.from_arrays([batch["label"], *(pa.array(c) for c in x.T)], ["label", *EVIDENCE])
 
-    seen = rows.select("text", "label").mapInArrow(run, "label int, plain double, fuzzy double").toPandas()
+    seen = rows.select("text", "label").mapInArrow(run, "label int, " + ", ".join(f"{c} double" for c in EVIDENCE)).toPandas()
     if seen["label"].nunique() < 2:
-        return Model(lexicon, np.array([2.0, 1.0, -3.0]))
-    return Model(lexicon, logistic(seen[["plain", "fuzzy"]].to_numpy(), seen["label"].to_numpy(float), ridge=0.1))
+        return Model(lexicon, np.array([2.0, 1.0, 1.0] * 3 + [-3.0]))
+    return Model(lexicon, logistic(bent(seen[list(EVIDENCE)].to_numpy()), seen["label"].to_numpy(float), ridge=0.1))
+
+
+def scores(rows: pa.Array, matcher: Matcher, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence and score of each text."""
+    x = evidence(rows, matcher)
+    return x, probability(bent(x) @ model.scale[:-1] + model.scale[-1])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`doc_id, plain, fuzzy, score` of every row of `doc_id, text`."""
+    """`doc_id, words, misspelled, stems, score` of every row of `doc_id, text`."""
 
     def run(batches):
         matcher = Matcher(model.lexicon)
         for batch in batches:
-            x = evidence(batch["text"], matcher)
-            p = probability(x @ model.scale[:2] + model.scale[2])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(p)], ["doc_id", "plain", "fuzzy", "score"])
+            x, p = scores(batch["text"], matcher, model)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c) for c in x.T), pa.array(p)], ["doc_id", *EVIDENCE, "score"])
 
-    return docs.mapInArrow(run, "doc_id bigint, plain double, fuzzy double, score double")
+    return docs.mapInArrow(run, f"doc_id bigint, {', '.join(f'{c} double' for c in EVIDENCE)}, score double")
 
 
 def toxicity(
     documents: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, fold: int = 1,
     fit_rows: int = FIT_ROWS, doc_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> DataFrame:
-    """`doc_id, held_out, plain, fuzzy, score, predicted` of every document row."""
+    """`doc_id, held_out, words, misspelled, stems, score, predicted` of every document row."""
     docs = texts(documents, doc_col, text_col)
     model = fit(docs, labels, label_col, folds, fold, fit_rows)
     return score(docs, model).select(
-        "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "plain", "fuzzy", "score",
+        "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), *EVIDENCE, "score",
         F.when(F.col("score") >= F.lit(threshold), 1).otherwise(0).alias("predicted"),
     )
 
@@ -372,7 +385,6 @@ def without_toxic(
     def run(batches):
         matcher = Matcher(model.lexicon)
         for batch in batches:
-            x = evidence(batch[text_col], matcher)
-            yield batch.filter(pa.array(probability(x @ model.scale[:2] + model.scale[2]) < threshold))
+            yield batch.filter(pa.array(scores(batch[text_col], matcher, model)[1] < threshold))
 
     return documents.mapInArrow(run, documents.schema)
