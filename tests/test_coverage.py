@@ -114,6 +114,13 @@ def test_truths_stay_within_their_user(spark):
     assert [r.gt_label for r in got] == ["one", "two"]
 
 
+def test_strips_of_a_block_do_not_matter(spark, sides, monkeypatch):
+    full, sample = (frame(spark, s) for s in sides)
+    whole = sorted(map(tuple, coverage.best_match(full, sample).collect()))
+    monkeypatch.setattr(coverage, "STRIP", 7)
+    assert sorted(map(tuple, coverage.best_match(full, sample).collect())) == whole
+
+
 def test_pairs_are_not_emitted(spark, sides):
     full, sample = sides
     maxima = coverage.cosine_maxima(frame(spark, full), frame(spark, sample), block=8)

@@ -20,7 +20,10 @@ from tidemark.functions.text import preview
 from tidemark.plans.lineage import cut
 from tidemark.plans.skew import hot_keys, salted_join
 
-BLOCK = 1024
+# Vectors of a block: a block travels once for each block of the other side, so blocks are large.  A task
+# multiplies STRIP rows of a block at a time.
+BLOCK = 8192
+STRIP = 1024
 STEPS = 20
 
 
@@ -72,12 +75,19 @@ def _block_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             a, b = _unit_matrix(blocks["full"].values, f0, f1), _unit_matrix(blocks["sample"].values, s0, s1)
             if a.shape[1] != b.shape[1]:
                 raise ValueError("vectors of different lengths")
-            cos = a @ b.T
-            for side, axis, own, other in (("full", 1, (f0, f1), s0), ("sample", 0, (s0, s1), f0)):
-                # Blocks are in item order, so the first maximum is the lowest partner.
-                found[side].append(
-                    (np.full(own[1] - own[0], r), np.arange(*own), cos.max(axis=axis), cos.argmax(axis=axis) + other)
-                )
+            # Blocks are in item order, so the first maximum is the lowest partner.
+            rows, columns = [], (np.full(len(b), -np.inf), np.zeros(len(b), np.int64))
+            for i in range(0, len(a), STRIP):
+                cos = a[i: i + STRIP] @ b.T
+                rows.append((cos.max(axis=1), cos.argmax(axis=1) + s0))
+                top = cos.max(axis=0)
+                better = top > columns[0]
+                columns[0][better] = top[better]
+                columns[1][better] = cos.argmax(axis=0)[better] + i + f0
+            for side, own, best in (
+                ("full", (f0, f1), tuple(np.concatenate(x) for x in zip(*rows))), ("sample", (s0, s1), columns)
+            ):
+                found[side].append((np.full(own[1] - own[0], r), np.arange(*own), *best))
         for side, other in (("full", "sample"), ("sample", "full")):
             if not found[side]:
                 continue
