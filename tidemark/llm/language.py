@@ -2,8 +2,9 @@
 
 A text is the square roots of its counts of byte trigrams, letters lower-cased and everything else a
 space, scaled to length one.  Each step is a set of one-versus-rest linear support vector machines; a
-family of one language needs no second step.  They learn from a bounded sample of each language's rows
-(`fit_rows` a language, and at most `LANGUAGES` languages, the most frequent ones).
+family of one language needs no second step.  They learn from a bounded sample of each language's rows:
+`fit_rows` a language, fewer if there are so many languages that all would be more than ROWS, and at most
+`LANGUAGES` languages, the most frequent ones.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ FAMILIES = {
 }
 BUCKETS = 1 << 14
 FIT_ROWS = 1_200
+ROWS = 24_000
 LANGUAGES = 500
 GROUP_ROWS, GROUP_BYTES = 256, 1 << 20
 SHARP = 4.0
@@ -87,9 +89,11 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Step, dict[str, Step
     """Both steps from `doc_id, text, lang`; rows without a language or a letter teach nothing."""
     known = docs.where("lang IS NOT NULL").where(F.col("text").rlike("\\p{L}"))
     totals = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    share = F.lit(0.0)
-    for row in totals:
-        share = F.when(F.col("lang") == F.lit(row["lang"]), F.lit(min(1.0, fit_rows / row["n"]))).otherwise(share)
+    if not totals:
+        return Step([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)), {}
+    each = min(fit_rows, ROWS // len(totals))
+    shares = F.create_map(*[F.lit(x) for row in totals for x in (row["lang"], min(1.0, each / row["n"]))])
+    share = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0))
     chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share)
 
     def pack(batch: pa.RecordBatch):

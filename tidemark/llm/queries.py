@@ -80,6 +80,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "words", "misspelled", "stems")
 
 
+# Fixed value: the words that contamination is judged by, of texts with A-Z lowered.
+WORDS_SQL = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+SQL["op2_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+wanted AS (SELECT DISTINCT item_id, least(13, len(w)) AS size, w[p : p + least(13, len(w)) - 1] AS words
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM b WHERE len(w) > 0)),
+windows AS (SELECT doc_id, s.size, unnest(range(1, len(w) - s.size + 2)) AS p, w FROM d, (SELECT DISTINCT size FROM wanted) s
+  WHERE len(w) >= s.size),
+found AS (SELECT windows.doc_id, windows.p, wanted.size, wanted.item_id FROM windows JOIN wanted
+  ON wanted.size = windows.size AND wanted.words = windows.w[windows.p : windows.p + windows.size - 1]),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS place FROM found) GROUP BY 1),
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM found GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 @_query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(_table(spark, sf_dir, "documents"))
@@ -110,3 +131,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_lines", "n_repeated", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "first_docs"
     )
+
+
+SQL["op3_substring_dedup"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d)),
+later AS (SELECT doc_id, p FROM windows JOIN (SELECT words, min(doc_id) AS source FROM windows GROUP BY 1) USING (words) WHERE doc_id > source),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS place FROM later),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS words FROM (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d) ANTI JOIN gone USING (doc_id, place) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) USING (doc_id) LEFT JOIN kept USING (doc_id)"""

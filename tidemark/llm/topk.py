@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.lineage import cut
 
 BLOCK = 4096
-QUERIES = 1024
+QUERIES = 8192
 DEEPER = 128
 
 
