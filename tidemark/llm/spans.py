@@ -2,10 +2,11 @@
 
 Edges are runs of `window` words, nodes the runs one word shorter that two neighbouring edges share.  Only
 edges that can repeat are ever built: of each window one run of ANCHOR words is chosen by its content
-alone (the smallest hash), so equal windows choose equal anchors, and a window with an anchor of one
-document only is unique.  Neighbouring edges that lead to the same first document are then compacted
-into paths, and a path's coordinates in its source document, taken from the edge it begins with, tell
-where the words came from.
+alone (the smallest hash), so equal windows choose equal anchors, and a window whose anchor is in one
+text only is unique.  Equal texts are one text: all windows of a copy begin in the first document that
+has it.  Neighbouring edges that lead to the same first document are then compacted into paths, and a
+path's coordinates in its source document, taken from the edge it begins with, tell where the words
+came from.
 
 Words and runs are compared by hashes of theirs, 64 bits for anchors and 128 for windows.  Null texts have
 no words; rows that repeat an id count as one document, so nothing is removed for repeating only
@@ -26,8 +27,9 @@ from tidemark.llm.tables import in_arrow, texts
 from tidemark.plans.lineage import cut
 
 WINDOW = 50
-ANCHOR = 10
+ANCHOR = 20
 SLICE = 4 << 20
+WHOLE = (1 << 31) - 1
 _SECOND = np.uint64(0x165667B19E3779F9)
 
 
@@ -69,7 +71,7 @@ def _words(batch: pa.RecordBatch, a: int, b: int):
 
 
 def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`anchor, doc_id, place` of every chosen run."""
+    """`anchor, copy, doc_id, place` of every chosen run; `copy` is a hash of the whole text."""
 
     def rows(batch: pa.RecordBatch):
         batch = batch.filter(batch["doc_id"].is_valid())
@@ -77,11 +79,12 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             found, h, doc = _words(batch, a, b)
             at, run = _anchors(h, doc, window)
             yield {
-                "anchor": W.signed(run), "doc_id": batch["doc_id"].slice(a, b - a).take(pa.array(doc[at])),
+                "anchor": W.signed(run), "copy": batch["copy"].slice(a, b - a).take(pa.array(doc[at])),
+                "doc_id": batch["doc_id"].slice(a, b - a).take(pa.array(doc[at])),
                 "place": (at - found.first[doc[at]]).astype(np.int32),
             }
 
-    return in_arrow(docs, rows, "anchor bigint, doc_id bigint, place int")
+    return in_arrow(docs.withColumn("copy", F.xxhash64("text")), rows, "anchor bigint, copy bigint, doc_id bigint, place int")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -133,39 +136,65 @@ def edges(placed: DataFrame, window: int = WINDOW) -> DataFrame:
     return in_arrow(placed, rows, "edge bigint, check bigint, doc_id bigint, place int")
 
 
-def repeated_paths(docs: DataFrame, texts_packed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`doc_id, start, n_windows, source, source_start`: paths of windows that begin in an earlier document.
+def copies(docs: DataFrame) -> DataFrame:
+    """`doc_id, source`: documents whose whole text the smaller document `source` has."""
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", F.md5("text").alias("content"))
+    first = cut(
+        named.groupBy("content").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source < high").drop("high"),
+        "first-copies",
+    )
+    return named.join(first, "content").where("doc_id > source").select("doc_id", "source").distinct()
+
 
-    `source` is the smallest document id that holds each window of the path.
+def repeated_windows(docs: DataFrame, texts_packed: DataFrame, copied: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The graph, and `edge, check, doc_id, place, source`: its windows that begin in a smaller document.
+
+    `source` is the smallest document that holds the window.  Documents of `copied` are not in the graph.
     """
     found = anchors(docs, window)
     shared = cut(
-        found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"),
+        found.groupBy("anchor").agg(F.min("copy").alias("low"), F.max("copy").alias("high")).where("low < high").select("anchor"),
         "anchors",
     )
     places = found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    graph = cut(edges(texts_packed.join(places, "doc_id"), window), "edges")
+    graph = cut(edges(texts_packed.join(places.join(copied, "doc_id", "left_anti"), "doc_id"), window), "edges")
     first = cut(
         graph.groupBy("edge", "check").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"))
         .where("source < high").drop("high"),
         "sources",
     )
-    later = graph.join(first, ["edge", "check"]).where("doc_id > source").select("doc_id", "place", "source", "edge", "check").distinct()
+    later = graph.join(first, ["edge", "check"]).where("doc_id > source")
+    return graph, later.select("edge", "check", "doc_id", "place", "source").distinct()
+
+
+def paths(later: DataFrame) -> DataFrame:
+    """`doc_id, start, n_windows, source, edge, check`: runs of neighbouring windows with one source, and their first edge."""
     order = Window.partitionBy("doc_id").orderBy("place")
-    # Consecutive places that lead to one source are one path.
     step = (F.col("place") - F.lag("place").over(order) != 1) | (F.lag("source").over(order) != F.col("source"))
-    paths = (
+    return (
         later.withColumn("path", F.sum(F.coalesce(step, F.lit(True)).cast("int")).over(order))
         .groupBy("doc_id", "path", "source")
         .agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n_windows"), F.min_by(F.struct("edge", "check"), "place").alias("begin"))
+        .select("doc_id", "start", "n_windows", "source", "begin.edge", "begin.check")
     )
-    paths = cut(paths.select("doc_id", "start", "n_windows", "source", "begin.edge", "begin.check"), "paths")
+
+
+def repeated_paths(documents: DataFrame, window: int = WINDOW, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`doc_id, start, n_windows, source, source_start`: where documents repeat `source` and where in it the words stand.
+
+    A copy of a whole document has no number of windows, and begins at 0 in both.
+    """
+    docs = texts(documents, doc_col, text_col)
+    copied = cut(copies(docs), "copies")
+    graph, later = repeated_windows(docs, packed(docs), copied, window)
+    found = cut(paths(later), "paths")
     origin = (
-        paths.select("edge", "check", "source").distinct()
+        found.select("edge", "check", "source").distinct()
         .join(graph.select("edge", "check", F.col("doc_id").alias("source"), "place"), ["edge", "check", "source"])
         .groupBy("edge", "check", "source").agg(F.min("place").alias("source_start"))
     )
-    return paths.join(origin, ["edge", "check", "source"]).select("doc_id", "start", "n_windows", "source", "source_start")
+    whole = copied.select("doc_id", F.lit(0).alias("start"), F.lit(None).cast("bigint").alias("n_windows"), "source", F.lit(0).alias("source_start"))
+    return found.join(origin, ["edge", "check", "source"]).select("doc_id", "start", "n_windows", "source", "source_start").unionByName(whole)
 
 
 def without_repeats(documents: DataFrame, window: int = WINDOW, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,9 +210,13 @@ def repeats_digest(documents: DataFrame, window: int = WINDOW, doc_col: str = "d
 def _applied(documents: DataFrame, window: int, doc_col: str, text_col: str, digest: bool) -> DataFrame:
     docs = texts(documents, doc_col, text_col)
     small = packed(docs)
+    copied = cut(copies(docs), "copies")
+    _, later = repeated_windows(docs, small, copied, window)
+    end = (F.col("start") + F.col("n_windows") + F.lit(window - 1)).cast("int").alias("end")
+    whole = copied.select("doc_id", F.lit(0).alias("start"), F.lit(WHOLE).alias("end"))
     ranges = (
-        repeated_paths(docs, small, window).groupBy("doc_id")
-        .agg(F.collect_list("start").alias("starts"), F.collect_list(F.col("start") + F.col("n_windows") + F.lit(window - 1)).alias("ends"))
+        paths(later).select("doc_id", "start", end).unionByName(whole)
+        .groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     )
     name = "kept_sha256" if digest else "kept"
 
@@ -197,7 +230,7 @@ def _applied(documents: DataFrame, window: int, doc_col: str, text_col: str, dig
             for i in range(a, b):
                 low, high = int(found.first[i - a]), int(found.first[i - a + 1])
                 keep = np.ones(high - low, bool)
-                for x, y in zip(starts[i] or (), ends[i] or (), strict=True):
+                for x, y in zip(starts[i] or (), ends[i] or (), strict=True) if high - low >= window else ():
                     keep[x:y] = False
                 removed.append(int((~keep).sum()))
                 places = range(low, high) if not removed[-1] else (np.flatnonzero(keep) + low).tolist()
