@@ -1,6 +1,7 @@
 """Clusters, vectors, model surfaces and prompts."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import clusters, infer, judge, prompts
+from tidemark.plans.lineage import scratch_path
 
 
 def blobs(seed=3, small=0):
@@ -86,6 +88,17 @@ def test_long_chain_is_one_cluster(spark):
     assert {r.topic for r in got.values()} == {0}
 
 
+def test_earlier_rounds_are_deleted(spark):
+    rows = [(0, i, [i + 0.5, 0.5]) for i in range(40)]
+    points = spark.createDataFrame(rows, "label bigint, id bigint, coords array<double>")
+    base = scratch_path(spark, "x").rsplit("/", 1)[0]
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    out = clusters.density_cluster(points, width=1.0, min_points=1, min_cluster_size=2)
+    assert out.where("topic = 0").count() == 40
+    left = [name.split("-")[0] for name in set(os.listdir(base)) - before]
+    assert left.count("hooked") == 1
+
+
 def test_empty_and_null_points(spark):
     for width in (0.8, None):
         got = cluster(spark, [(0, 1, None), (0, 2, [1.0, 1.0]), (3, 4, None)], width=width)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.plans.lineage import cut
+from tidemark.plans.lineage import cut, drop
 from tidemark.plans.ordered import running_total
 from tidemark.plans.skew import hot_keys, salted_join
 
@@ -61,7 +61,7 @@ def _with_neighbours(cell: str) -> Column:
 
 def _components(cells: DataFrame, by: list[str]) -> DataFrame:
     """`_root`: the smallest cell of the connected component, cells joined by a common face."""
-    labels = cells.select(*by, "_cell", F.col("_cell").alias("_root"))
+    labels, before = cells.select(*by, "_cell", F.col("_cell").alias("_root")), None
     while True:
         # Every cell sends its label to itself and its neighbours; only cells that exist receive it.
         # A cell hears from at most two neighbours per axis, so no group is large.
@@ -74,6 +74,9 @@ def _components(cells: DataFrame, by: list[str]) -> DataFrame:
         # Changes are counted while the round is written.
         seen = Observation()
         hooked = cut(hooked.observe(seen, F.count_if(F.col("_new") != F.col("_old")).alias("changes")), "hooked")
+        if before is not None:
+            drop(before)
+        before = hooked
         # Jump to the label of the label.  A large component makes its label hot: it is joined in slices.
         in_use = hooked.select(*by, F.col("_new").alias("_cell")).distinct()
         targets = hooked.join(in_use, [*by, "_cell"], "left_semi").select(

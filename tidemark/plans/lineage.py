@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only on a local master."""
+    """The shared folder named by the session; where none is named, a temporary one, on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tidemark-")
     spark.sparkContext.setCheckpointDir(made)
@@ -30,9 +34,21 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """The rows written as a table in the shared folder and read back.
 
     It survives lost executors, ends the plan's growth, computes `df` once, and later steps read only
-    the columns they use.  Tables stay until the folder is cleaned.
+    the columns they use.  A table stays until `drop` or until the folder is cleaned.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that `cut` wrote and that nothing will read again, such as earlier rounds."""
+    for table in tables:
+        path = _written.pop(table, None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
