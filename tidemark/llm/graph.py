@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.lineage import cut
+from tidemark.plans.lineage import cut, drop
 
 
-def _towards_smallest(links: DataFrame, forward: bool) -> DataFrame:
-    """One half round: the neighbours of each node move to the smallest of them.
+def _towards_smallest(links: DataFrame, forward: bool, tables: list[DataFrame]) -> DataFrame:
+    """One half round: the neighbours of each node move to the smallest of them.  Adds the table it writes.
 
     `forward` moves larger neighbours of a node, otherwise the node with its smaller ones moves.
     """
@@ -19,6 +19,7 @@ def _towards_smallest(links: DataFrame, forward: bool) -> DataFrame:
         near = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     # The smallest is counted map-side and written, so that the join below can split a hub's links.
     smallest = cut(near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "smallest")
+    tables.append(smallest)
     met = near.join(smallest, "u")
     if forward:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -43,5 +44,6 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        before = state
-        links = cut(_towards_smallest(_towards_smallest(links, True), False), "links")
+        before, old = state, [links]
+        links = cut(_towards_smallest(_towards_smallest(links, True, old), False, old), "links")
+        drop(*old)
