@@ -28,7 +28,7 @@ DEEPER = 128
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """`vec_id, vector`: finite vectors with each component x as floor(scale * x)."""
-    numbers = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))).cast("int"))
+    numbers = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))).cast("bigint"))
     finite = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).where(finite).select(
         F.col(id_col).cast("bigint").alias("vec_id"), numbers.alias("vector")
@@ -43,7 +43,7 @@ def _dealt(vectors: DataFrame, rows: int) -> DataFrame:
     def pack(group):
         import pandas as pd
 
-        matrix = np.array(group["vector"].tolist(), np.int32)
+        matrix = np.array(group["vector"].tolist(), np.int64)
         order = np.argsort(matrix, axis=0, kind="stable").T.astype(np.int32)
         return pd.DataFrame({
             "block": [int(group["block"].iloc[0])], "ids": [group["vec_id"].to_numpy(np.int64).tobytes()],
@@ -108,7 +108,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK,
             out = [[], [], [], []]
             for ids, matrix, order, asked_ in zip(*(batch[c].to_pylist() for c in ("ids", "matrix", "order", "queries")), strict=True):
                 ids = np.frombuffer(ids, np.int64)
-                matrix = np.frombuffer(matrix, np.int32).reshape(len(ids), -1)
+                matrix = np.frombuffer(matrix, np.int64).reshape(len(ids), -1)
                 most = max(int(abs(x)) for q in asked_ for x in q["vector"]) * int(np.abs(matrix).max()) * matrix.shape[1]
                 # Sums of whole numbers are exact in floating point while they fit its digits.
                 matrix = matrix.astype(np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64)
