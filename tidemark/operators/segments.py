@@ -99,9 +99,13 @@ def phase_breaks(segs: DataFrame) -> DataFrame:
 
 def series_by_segment(series: DataFrame, segs: DataFrame) -> DataFrame:
     """Daily rows with their segment; a shared breakpoint day belongs to both segments."""
-    s = segs.select("subject_id", "seg_no", "start_date", "end_date")
-    return series.join(s, "subject_id").where(F.col("day").between(F.col("start_date"), F.col("end_date"))).drop(
-        "start_date", "end_date"
+    # A user has few segments: they meet each day as one list, and only the day's own one or two become rows.
+    lists = segs.groupBy("subject_id").agg(F.collect_list(F.struct("seg_no", "start_date", "end_date")).alias("_segs"))
+    own = F.filter("_segs", lambda s: F.col("day").between(s["start_date"], s["end_date"]))
+    return (
+        series.join(lists, "subject_id")
+        .withColumn("seg_no", F.explode(F.transform(own, lambda s: s["seg_no"])))
+        .drop("_segs")
     )
 
 
