@@ -120,6 +120,16 @@ def test_indicators_of_a_text():
         assert sorted(alone) == sorted(bucket[text == i])
 
 
+def test_stretches_of_a_text_do_not_matter(monkeypatch):
+    texts = pa.array(["Some words, and MORE words. " * 9, "", "kurz", None, "ähnlich aber länger " * 5])
+    whole, counted = quality.features(texts), language.counts(texts)
+    monkeypatch.setattr(quality, "STRETCH", 16)
+    monkeypatch.setattr(language, "STRETCH", 16)
+    again = quality.features(texts)
+    assert (whole[0] == again[0]).all() and (whole[1] == again[1]).all()
+    assert np.allclose(counted, language.counts(texts))
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, c in enumerate(a):

@@ -35,6 +35,7 @@ FIT_ROWS = 1_200
 ROWS = 24_000
 LANGUAGES = 500
 GROUP_ROWS, GROUP_BYTES = 256, 1 << 20
+STRETCH = 2 << 20
 SHARP = 4.0
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -51,15 +52,17 @@ class Step(NamedTuple):
 def counts(rows: pa.Array) -> np.ndarray:
     """A row of scaled trigram counts for each text."""
     data, offsets = W.bytes_of(rows)
-    out = np.zeros((len(rows), BUCKETS), np.float32)
-    if len(data) >= 3:
-        c = _FOLD[data].astype(np.uint32)
+    total = np.zeros(len(rows) * BUCKETS)
+    for low in range(0, len(data) - 2, STRETCH):
+        # Stretches of a long text overlap by what a run of three bytes needs.
+        c = _FOLD[data[low : low + STRETCH + 2]].astype(np.uint32)
         runs = c[:-2] | c[1:-1] << np.uint32(8) | c[2:] << np.uint32(16)
         bucket = (runs * np.uint32(2654435761)) >> np.uint32(18)
-        text = np.repeat(np.arange(len(rows)), np.diff(offsets))
+        text = np.repeat(np.arange(len(rows)), np.diff(np.clip(offsets, low, low + len(c))))
         # Runs of spaces tell nothing about a language.
         use = (text[:-2] == text[2:]) & ((c[:-2] != 0x20) | (c[1:-1] != 0x20)) & ((c[1:-1] != 0x20) | (c[2:] != 0x20))
-        out = np.sqrt(np.bincount((text[:-2] * BUCKETS + bucket)[use], minlength=len(rows) * BUCKETS)).reshape(len(rows), BUCKETS).astype(np.float32)
+        total += np.bincount((text[:-2] * BUCKETS + bucket)[use], minlength=len(total))
+    out = np.sqrt(total).reshape(len(rows), BUCKETS).astype(np.float32)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return out / np.maximum(norm, 1e-9)
 

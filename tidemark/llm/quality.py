@@ -24,6 +24,7 @@ BUCKETS = 1 << 16
 FIT_ROWS = 8_000
 # A group of texts has at most this many rows and, but for a single longer text, this many bytes.
 GROUP_ROWS, GROUP_BYTES = 128, 1 << 20
+STRETCH = 1 << 20
 
 
 class Model(NamedTuple):
@@ -51,16 +52,17 @@ def features(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Text numbers and the buckets that each text has, every pair once, sorted."""
     found = W.words(rows, W.VISIBLE, False)
     data, offsets = W.bytes_of(rows)
-    keys = []
-    if len(data) >= 4:
-        wide = data.astype(np.uint64)
+    seen = np.zeros(len(rows) * BUCKETS, bool)
+    for low in range(0, len(data) - 3, STRETCH):
+        # Stretches of a long text overlap by what a run of four bytes needs.
+        wide = data[low : low + STRETCH + 3].astype(np.uint64)
         runs = wide[:-3] | wide[1:-2] << np.uint64(8) | wide[2:-1] << np.uint64(16) | wide[3:] << np.uint64(24)
-        text = np.repeat(np.arange(len(rows)), np.diff(offsets))
+        text = np.repeat(np.arange(len(rows)), np.diff(np.clip(offsets, low, low + len(wide))))
         inside = text[:-3] == text[3:]
-        keys.append((text[:-3] * BUCKETS + _bucket(runs, 1))[inside])
+        seen[(text[:-3] * BUCKETS + _bucket(runs, 1))[inside]] = True
     if len(found.start):
         h, text = W.word_hashes(found), found.doc()
-        keys.append(text * BUCKETS + _bucket(h, 2))
+        seen[text * BUCKETS + _bucket(h, 2)] = True
         again = np.zeros(len(h), bool)
         again[1:] = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
         size = np.minimum(np.log2(found.end - found.start).astype(np.int64), 5)
@@ -70,12 +72,7 @@ def features(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(h) >= 3:
             runs = (shape[:-2] * 1024 + shape[1:-1]) * 1024 + shape[2:]
             same = text[:-2] == text[2:]
-            keys.append((text[:-2] * BUCKETS + _bucket(runs.astype(np.uint64), 3))[same])
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    flat = np.concatenate(keys)
-    seen = np.zeros(len(rows) * BUCKETS, bool)
-    seen[flat] = True
+            seen[(text[:-2] * BUCKETS + _bucket(runs.astype(np.uint64), 3))[same]] = True
     flat = np.flatnonzero(seen)
     return flat // BUCKETS, flat % BUCKETS
 
