@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
+from tidemark.llm.filters import id_filter, in_filter
 from tidemark.llm.tables import in_arrow, texts
 from tidemark.plans.lineage import cut
 
 WINDOW = 13
 # A list of terms goes to the tasks only up to this number (8 bytes each); without it all postings are stored.
 LISTED = 2_000_000
-FILTER_BITS = 1 << 26
 
 
 def benchmark_words(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +85,7 @@ def postings(docs: DataFrame, terms: np.ndarray | None, only: np.ndarray | None
         keep = np.array(batch["doc_id"].is_valid())
         if only is not None:
             ids = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
-            keep &= _in_filter(only, ids)
+            keep &= in_filter(only, ids)
         batch = batch.filter(pa.array(keep))
         for a, b in W.slices(batch["text"]) if batch.num_rows else ():
             found = W.words(batch["text"].slice(a, b - a), W.LETTERS, True)
@@ -99,47 +99,6 @@ def postings(docs: DataFrame, terms: np.ndarray | None, only: np.ndarray | None
     return in_arrow(docs, rows, "term bigint, doc_id bigint, pos int")
 
 
-def _spots(ids: np.ndarray) -> np.ndarray:
-    return W.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)
-
-
-def _in_filter(only: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = _spots(ids)
-    return (only[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def id_filter(df: DataFrame) -> np.ndarray:
-    """A bit for the hash of each `doc_id`: FILTER_BITS / 8 bytes however many ids there are.
-
-    It only spares work: an id that passes by accident is dropped by the next join.
-    """
-    size = FILTER_BITS // 8
-
-    def bits(batches):
-        own = np.zeros(size, np.uint8)
-        for batch in batches:
-            at = _spots(batch["doc_id"].to_numpy(zero_copy_only=False))
-            np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        chunk = np.flatnonzero(own.reshape(-1, 1024).any(1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(chunk, pa.int32()), pa.array([own[i * 1024 : i * 1024 + 1024].tobytes() for i in chunk.tolist()], pa.binary())],
-            ["chunk", "bits"],
-        )
-
-    # Parts are put together by hashed chunk before the driver sees each chunk once.
-    def merged(group):
-        import pandas as pd
-
-        whole = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group["bits"]])
-        return pd.DataFrame({"chunk": [int(group["chunk"].iloc[0])], "bits": [whole.tobytes()]})
-
-    parts = df.select("doc_id").distinct().mapInArrow(bits, "chunk int, bits binary")
-    out = np.zeros(size, np.uint8)
-    for row in parts.groupBy("chunk").applyInPandas(merged, "chunk int, bits binary").toLocalIterator():
-        out[row["chunk"] * 1024 : row["chunk"] * 1024 + 1024] = np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
 def _probes(words: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     """`item, first, off1, term1, off2, term2`: the two rarest places of each window, by count, then place."""
     counted = words.join(counts, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))

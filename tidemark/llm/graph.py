@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +48,19 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         before, old = state, [links]
         links = cut(_towards_smallest(_towards_smallest(links, True, old), False, old), "links")
         drop(*old)
+
+
+def unite(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Unites the groups of `i` and `j`; labels stay the smallest place of each group."""
+    while len(i):
+        x, y = labels[i], labels[j]
+        apart = x != y
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        if not len(i):
+            return
+        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = labels[labels]
+            if np.array_equal(up, labels):
+                break
+            labels[:] = up

@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.decontaminate import _in_filter, id_filter
-from tidemark.llm.graph import components
-from tidemark.llm.simhash import _join
+from tidemark.llm.filters import id_filter, in_filter
+from tidemark.llm.graph import components, unite
 from tidemark.llm.tables import in_arrow, texts
 from tidemark.plans.lineage import cut
 
@@ -163,7 +162,7 @@ def occurrences(docs: DataFrame, only: np.ndarray) -> DataFrame:
             chars, doc, number, s, e = lines_of(batch["text"].slice(a, b - a))
             line = _Hashes(chars).of(s, e).view(np.int64)
             raw, content = chars.tobytes(), np.full(len(line), None, object)
-            for i in np.flatnonzero(_in_filter(only, line)).tolist():
+            for i in np.flatnonzero(in_filter(only, line)).tolist():
                 content[i] = raw[4 * s[i] : 4 * e[i]].decode("utf-32-le")
             yield {
                 "doc_id": batch["doc_id"].slice(a, b - a).take(pa.array(doc)), "number": number.astype(np.int32),
@@ -233,7 +232,7 @@ def _links_among(contents: list[str], side: list[int] | None) -> np.ndarray:
             if labels[i] != labels[j] and (side is None or side[i] != side[j]):
                 shorter = min(len(contents[i]), len(contents[j]))
                 if within(contents[i], contents[j], (shorter >= SHORT) + (shorter >= LONG)):
-                    _join(labels, np.array([i]), np.array([j]))
+                    unite(labels, np.array([i]), np.array([j]))
     return labels
 
 
