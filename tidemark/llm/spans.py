@@ -28,7 +28,7 @@ from tidemark.plans.lineage import cut
 
 WINDOW = 50
 ANCHOR = 20
-SLICE = 4 << 20
+SLICE = 2 << 20
 WHOLE = (1 << 31) - 1
 _SECOND = np.uint64(0x165667B19E3779F9)
 
@@ -164,17 +164,20 @@ def repeated_windows(docs: DataFrame, texts_packed: DataFrame, copied: DataFrame
         "sources",
     )
     later = graph.join(first, ["edge", "check"]).where("doc_id > source")
-    return graph, later.select("edge", "check", "doc_id", "place", "source").distinct()
+    return graph, later.select("edge", "check", "doc_id", "place", "source")
 
 
 def paths(later: DataFrame) -> DataFrame:
-    """`doc_id, start, n_windows, source, edge, check`: runs of neighbouring windows with one source, and their first edge."""
+    """`doc_id, start, n_windows, source, edge, check`: runs of neighbouring windows with one source, and their first edge.
+
+    A place that rows of a repeated id name twice counts once.
+    """
     order = Window.partitionBy("doc_id").orderBy("place")
-    step = (F.col("place") - F.lag("place").over(order) != 1) | (F.lag("source").over(order) != F.col("source"))
+    step = (F.col("place") - F.lag("place").over(order) > 1) | (F.lag("source").over(order) != F.col("source"))
     return (
         later.withColumn("path", F.sum(F.coalesce(step, F.lit(True)).cast("int")).over(order))
         .groupBy("doc_id", "path", "source")
-        .agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n_windows"), F.min_by(F.struct("edge", "check"), "place").alias("begin"))
+        .agg(F.min("place").alias("start"), (F.max("place") - F.min("place") + 1).cast("bigint").alias("n_windows"), F.min_by(F.struct("edge", "check"), "place").alias("begin"))
         .select("doc_id", "start", "n_windows", "source", "begin.edge", "begin.check")
     )
 
