@@ -2,9 +2,9 @@
 
 A text becomes indicators of its n-grams: runs of four bytes, words, and runs of three word shapes
 (case, kind of first and last character, length, whether the word repeats the one before).  Each is
-scaled by the logarithm of how much more often it stands in texts of one class, counted over all rows
-that may be learned from, and a linear hinge-loss model is fitted on the scaled indicators of a bounded
-sample of those rows (`fit_rows`).  Its margin is scaled to a probability on the same sample.
+scaled by the logarithm of how much more often it stands in texts of one class, and a linear hinge-loss
+model is fitted on the scaled indicators; its margin is scaled to a probability.  All of it learns from
+a bounded sample of labelled rows: about `count_rows` give the counts, about `fit_rows` of them the model.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import words as W
 from tidemark.llm.linear import balanced, hinge, logistic, probability
 from tidemark.llm.tables import held_out, in_arrow, sample, texts
+from tidemark.plans.lineage import cut
 
 BUCKETS = 1 << 16
-FIT_ROWS = 8_000
+COUNT_ROWS, FIT_ROWS = 24_000, 8_000
 # A group of texts has at most this many rows and, but for a single longer text, this many bytes.
 GROUP_ROWS, GROUP_BYTES = 128, 1 << 20
 STRETCH = 1 << 20
@@ -109,7 +110,7 @@ def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from `doc_id, text, label` (0 or 1); without rows of both classes it knows only their share."""
+    """A model from `doc_id, text, label` (0 or 1), a bounded table; without both classes it knows only their share."""
     n0, n1, rows0, rows1 = class_counts(labelled)
     share = (rows1 + 1) / (rows0 + rows1 + 2)
     if not rows0 or not rows1:
@@ -123,7 +124,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             raw = bucket.astype("<u2").tobytes()
             yield {"label": batch["label"].slice(a, b - a), "buckets": pa.array([raw[2 * x : 2 * y] for x, y in zip(edge, edge[1:], strict=False)], pa.binary())}
 
-    chosen = sample(labelled, "doc_id", fit_rows, F.lit(rows0 + rows1))
+    chosen = sample(labelled, "doc_id", fit_rows, F.lit(rows0 + rows1), "fit")
     packed = in_arrow(chosen.select("text", "label"), pack, "label int, buckets binary").toArrow()
     rows = []
     for raw in packed["buckets"].to_pylist():
@@ -152,23 +153,28 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     return in_arrow(df, rows, "doc_id bigint, score double")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, id_col: str = "doc_id") -> DataFrame:
-    """`doc_id, text, label` of the rows that may be learned from; the largest label of an id counts."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int) -> DataFrame:
+    """`doc_id, text, label` of about `rows` of the rows that may be learned from; the largest label of an id counts.
+
+    Both sides are sampled before they meet, so that few texts are shuffled however many there are.
+    """
     known = (
-        labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
+        labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .where("label IN (0, 1)").where(~held_out(F.col("doc_id"), folds, fold))
         .groupBy("doc_id").agg(F.max("label").alias("label"))
     )
-    return docs.where(~held_out(F.col("doc_id"), folds, fold)).join(known, "doc_id")
+    total = F.lit(known.count())
+    return sample(docs, "doc_id", rows, total).join(sample(known, "doc_id", rows, total), "doc_id")
 
 
 def quality(
     documents: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, fold: int = 0,
-    fit_rows: int = FIT_ROWS, doc_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    count_rows: int = COUNT_ROWS, fit_rows: int = FIT_ROWS,
+    doc_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> DataFrame:
     """`doc_id, held_out, score, predicted` of every document row; null texts are scored as empty ones."""
     docs = texts(documents, doc_col, text_col)
-    model = fit(labelled_texts(docs, labels, label_col, folds, fold), fit_rows)
+    model = fit(cut(labelled_sample(docs, labels, label_col, folds, fold, count_rows), "labelled"), fit_rows)
     return score(docs, model).select(
         "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score",
         F.when(F.col("score") >= F.lit(threshold), 1).otherwise(0).alias("predicted"),

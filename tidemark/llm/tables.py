@@ -35,7 +35,10 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == F.lit(fold), F.lit(True))
 
 
-def sample(df: DataFrame, id_col: str, rows: int, total: Column) -> DataFrame:
-    """About `rows` of the `total` rows, always the same ones: those with the smallest hash of the id."""
+def sample(df: DataFrame, id_col: str, rows: int, total: Column, salt: str = "sample") -> DataFrame:
+    """About `rows` of the `total` rows, always the same ones: those with the smallest hash of the id.
+
+    A sample of a sample needs a salt of its own.
+    """
     share = F.least(F.lit(1.0), F.lit(float(rows)) / F.greatest(total, F.lit(1)).cast("double"))
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share)
+    return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(id_col)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share)

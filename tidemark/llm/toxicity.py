@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.linear import logistic, probability
-from tidemark.llm.quality import labelled_texts
-from tidemark.llm.tables import held_out, in_arrow, sample, texts
+from tidemark.llm.quality import labelled_sample
+from tidemark.llm.tables import held_out, in_arrow, texts
 from tidemark.plans.lineage import cut
 
 # A start for languages without labels; learned terms are added to it.
@@ -323,13 +323,7 @@ class Model(NamedTuple):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, fit_rows: int = FIT_ROWS) -> Model:
     """Lexicon and scaling from about `fit_rows` labelled rows of `doc_id, text`."""
-    eligible = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias(label))
-    eligible = eligible.where(F.col(label).isin(0, 1)).where(~held_out(F.col("doc_id"), folds, fold))
-    total = F.lit(eligible.select("doc_id").distinct().count())
-    # Sampled before they meet, so that few texts are shuffled.
-    rows = cut(
-        labelled_texts(sample(docs, "doc_id", fit_rows, total), sample(eligible, "doc_id", fit_rows, total), label, folds, fold), "fit"
-    )
+    rows = cut(labelled_sample(docs, labels, label, folds, fold, fit_rows), "fit")
     lexicon = learn(rows)
 
     def run(batches):
