@@ -297,10 +297,9 @@ def classed_lines(docs: DataFrame) -> DataFrame:
     """`doc_id, number, size, class`: every line that is not empty and the smallest hash it is linked to."""
     shared = cut(shared_keys(keys(docs)), "shared-keys")
     found = cut(occurrences(docs, id_filter(shared.select(F.col("line").alias("doc_id")))), "occurrences")
-    contents = cut(
-        found.where("content IS NOT NULL").select("line", "content").join(shared.select("line").distinct(), "line").dropDuplicates(["line", "content"]),
-        "line-texts",
-    )
+    # Distinct first: a line that many documents have is one row before it is shuffled.
+    contents = found.where("content IS NOT NULL").select("line", "content").distinct()
+    contents = cut(contents.join(shared.select("line").distinct(), "line"), "line-texts")
     roots = components(line_links(shared, contents)).withColumnRenamed("node", "line")
     return cut(
         found.drop("content").join(roots, "line", "left").select("doc_id", "number", "size", F.coalesce("root", "line").alias("class")), "classes"
