@@ -36,20 +36,31 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without repeated lines, but for their first occurrences, in documents that are no copies themselves."""
-    gone = lines.removals(lines.texts(docs)).where(F.size("removed") > 0).select(F.col("doc_id").alias("_doc"), "removed")
+def _without_lines(docs: DataFrame, spare_copies: bool) -> DataFrame:
+    """`docs` without repeated lines but for their first occurrences, and `_doc`, null where nothing is removed."""
+    found = lines.removals(lines.texts(docs), None, spare_copies)
+    gone = found.where(F.size("removed") > 0).select(F.col("doc_id").alias("_doc"), "removed", (F.size("removed") == F.col("n_lines")).alias("_all"))
     met = docs.join(gone, F.col("doc_id") == F.col("_doc"), "left")
     text = F.when(F.col("_doc").isNotNull(), lines.without_lines(F.col("text"), F.col("removed"))).otherwise(F.col("text"))
     changed = {"text": text}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("_doc").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return met.withColumns(changed).select(docs.columns)
+    return met.withColumns(changed)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without repeated lines, but for their first occurrences, in documents that are no copies line by line."""
+    return _without_lines(docs, True).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates: the one with the smallest id."""
-    return _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+    """One document of each group of SimHash near-duplicates, the one with the smallest id, and no line twice.
+
+    A copy that the stage before spared stays clear of its first document's fingerprint if that one lost
+    lines; so lines are compared once more, and a document that has none of its own is gone.
+    """
+    left = cut(_without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id")), "near-kept")
+    return _without_lines(left, False).where("NOT coalesce(_all, false)").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import graph, lines, simhash, spans
+from tidemark.llm import graph, lines, queries, simhash, spans
 from tidemark.llm import words as W
 
 from .conftest import table
@@ -223,6 +223,26 @@ def test_crowded_entries_are_cut_into_blocks(spark, monkeypatch):
     assert Counter(map(tuple, got)) == Counter(repeated(some, 0.9))
 
 
+def test_repeated_lines_whatever_their_share(spark, rows):
+    some = short(rows)
+    head, foot = "the head of every page of that site", "the foot of every page of that site"
+    some += [(2000 + i, f"{head}\nown {i ** 9}\n{foot}") for i in range(6)] + [(2100, f"{foot}\n{head}"), (2101, f"{head}\nown {2 ** 9}\n{foot}")]
+    got = lines.dedup_lines(table(spark, some), None).select("doc_id", "text", "n_removed").collect()
+    assert Counter(map(tuple, got)) == Counter(repeated(some, 1.0))
+    assert {r["doc_id"]: r["n_removed"] for r in got if (r["doc_id"] or 0) >= 2000} == {2000: 0, **{2001 + i: 2 for i in range(5)}, 2100: 2, 2101: 3}
+    # Spared are whole copies, and nothing else.
+    spared = {r["doc_id"]: len(r["removed"]) for r in lines.removals(lines.texts(table(spark, some)), None, True).collect()}
+    assert (spared[2001], spared[2100], spared[2101]) == (2, 2, 0)
+
+
+def test_query_removes_every_repeated_line(spark, tmp_path):
+    head = "the head of every page of that site, longer than what follows"
+    rows = [(i, f"{head}\nown {i ** 9}", "en", "s", 1) for i in range(4)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_repeated"], r["n_removed"]) for r in got} == {0: (0, 0), 1: (1, 1), 2: (1, 1), 3: (1, 1)}
+
+
 def test_lines_of_all_rows(docs, rows, no_docs):
     got = lines.dedup_lines(docs).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)

@@ -53,6 +53,18 @@ def test_stages(spark, corpus):
     assert {r["doc_id"] for r in final} == set(clean) and all(r["same"] and len(r["ids"]) == r["n_tokens"] for r in final)
 
 
+def test_no_line_is_left_twice(spark, tmp_path):
+    rng = random.Random(12)
+    head, foot = sentence(rng, 25), sentence(rng, 25)
+    own = [sentence(rng, 12) for _ in range(6)]
+    docs = [(i, f"{head}\n{x}\n{foot}") for i, x in enumerate(own)] + [(50, f"{head}\n{own[3]}\n{foot}"), (51, f"{foot}\n{head}")]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id bigint, text string, n_chars bigint")
+    once = spark.createDataFrame(corpus_pipeline.line_dedup(spark, df, "").collect(), df.schema)
+    assert {r["doc_id"]: r["text"].count("\n") + bool(r["text"]) for r in once.collect()} == {0: 3, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 50: 3, 51: 0}
+    left = [x for r in corpus_pipeline.near_dedup(spark, once, "").collect() for x in r["text"].split("\n") if x]
+    assert sorted(left) == sorted([head, foot, *own])
+
+
 def test_run_and_registration(spark, corpus):
     path, docs, _ = corpus
     got = entry.queries()["pipeline"](spark, path)

@@ -9,9 +9,9 @@ lengths and places where a match is possible.  Lines that share an entry are com
 bit-parallel edit distance, in blocks where an entry is crowded; a task returns a spanning forest of
 its links.  Equal lines are one line all along.
 
-A class of linked lines keeps its first occurrence, by document id and line number.  A document in which
-repeated lines are more than `max_share` of the characters is a copy as a whole and is left to document
-deduplication.  Empty lines, null texts and rows without an id are never touched; rows that repeat an
+A class of linked lines keeps its first occurrence, by document id and line number.  With `max_share` a document
+in which repeated lines are more than that share of the characters is left as it is; with None there is no such
+limit.  `spare_copies` leaves only documents whose lines, one by one, are those of an earlier document.  Empty lines, null texts and rows without an id are never touched; rows that repeat an
 id count as one document's.  Lines are told apart by a 64-bit hash of theirs.
 """
 
@@ -315,20 +315,36 @@ def repeated_lines(classed: DataFrame) -> DataFrame:
     return classed.join(first, "class").where("doc_id <> first_doc OR number <> first_number").select("doc_id", "number", "size", "first_doc")
 
 
-def removals(docs: DataFrame, max_share: float = 0.5) -> DataFrame:
+def removals(docs: DataFrame, max_share: float | None = 0.5, spare_copies: bool = False) -> DataFrame:
     """`doc_id, n_lines, n_repeated, removed, first_docs`: per document, the line numbers to remove and their first documents."""
     classed = classed_lines(docs)
     repeated = cut(repeated_lines(classed), "repeated-lines")
-    whole = classed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("size").alias("size"))
+    whole = classed.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("size").alias("size"),
+        F.sum(F.xxhash64("number", "class").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64(F.lit(1), "number", "class")).alias("mixed"),
+    )
+    own = F.lit(True)
+    if max_share is not None:
+        own = F.col("repeated_size") <= F.lit(max_share) * F.col("size")
+    if spare_copies:
+        whole = cut(whole, "line-sets")
+        same = ["n_lines", "total", "mixed"]
+        first = cut(
+            whole.groupBy(*same).agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source < high").drop("high"),
+            "first-line-sets",
+        )
+        copied = whole.join(first, same).where("doc_id > source").select("doc_id", F.lit(True).alias("copied"))
+        whole = whole.join(copied, "doc_id", "left")
+        own = own & F.col("copied").isNull()
     per_doc = repeated.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_repeated"), F.sum("size").alias("repeated_size"),
         F.array_sort(F.collect_set("number")).alias("numbers"), F.array_sort(F.collect_set("first_doc")).alias("first"),
     )
-    own = F.col("repeated_size") <= F.lit(max_share) * F.col("size")
+    gone = own & F.col("numbers").isNotNull()
     return whole.join(per_doc, "doc_id", "left").select(
         "doc_id", "n_lines", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"),
-        F.when(own, F.col("numbers")).otherwise(F.array().cast("array<int>")).alias("removed"),
-        F.when(own, F.col("first")).otherwise(F.array().cast("array<bigint>")).alias("first_docs"),
+        F.when(gone, F.col("numbers")).otherwise(F.array().cast("array<int>")).alias("removed"),
+        F.when(gone, F.col("first")).otherwise(F.array().cast("array<bigint>")).alias("first_docs"),
     )
 
 
@@ -340,7 +356,7 @@ def without_lines(text, removed):
 
 
 def dedup_lines(
-    documents: DataFrame, max_share: float = 0.5, doc_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, max_share: float | None = 0.5, doc_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """`doc_id, text, n_lines, n_repeated, n_removed, first_docs` of every document row, repeated lines gone."""
     docs = texts(documents, doc_col, text_col)

@@ -127,7 +127,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 @_query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(_table(spark, sf_dir, "documents"))
+    found = dedup_lines(_table(spark, sf_dir, "documents"), max_share=None)
     return found.select(
         "doc_id", "n_lines", "n_repeated", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "first_docs"
     )

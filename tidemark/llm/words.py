@@ -101,7 +101,7 @@ _POWERS = _Powers()
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """The first `n` powers of a base, not to be written to."""
-    if len(_POWERS.get(base, ())) < n:
+    if base not in _POWERS or len(_POWERS[base]) < n:
         out = np.full(n, base, np.uint64)
         out[:1] = 1
         _POWERS[base] = np.multiply.accumulate(out)
