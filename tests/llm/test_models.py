@@ -95,6 +95,33 @@ def test_families_come_first():
     assert language.family_of("de") == language.family_of("en") == "germanic" and language.family_of("qq") == "qq"
 
 
+def test_languages_of_a_family_meet_in_pairs():
+    rng = np.random.default_rng(3)
+    names = ["da", "no", "sv"]
+    x = np.zeros((90, language.BUCKETS), np.float32)
+    x[:, :12] = rng.normal(size=(90, 12))
+    # The middle one lies between the others: no line tells it from both at once.
+    wanted = [names[i % 3] for i in range(90)]
+    x[:, 0] += np.array([-6.0, 0.0, 6.0], np.float32)[np.arange(90) % 3]
+    rows = [(np.arange(12), r[:12].astype(float)) for r in x]
+    duels = language._one_versus_one(rows, names, wanted)
+    assert duels.pairs.tolist() == [[0, 1], [0, 2], [1, 2]] and duels.weight.shape[1] == 3
+    best, sure = language._vote(duels, x)
+    assert share(range(90), lambda i: names[best[i]] == wanted[i]) > 0.95 and ((sure > 0) & (sure <= 1)).all()
+    # Each machine is the one that the rows of its two languages alone give.
+    two = [i for i in range(90) if wanted[i] != "no"]
+    y = np.array([1.0 if wanted[i] == "da" else -1.0 for i in two])
+    w = linear.hinge([rows[i] for i in two], y, language.BUCKETS, linear.balanced(y, 4.0))
+    assert np.allclose(duels.weight[:, 1], w[:-1], atol=1e-6) and np.isclose(duels.bias[1], w[-1])
+
+
+def test_equal_votes_go_by_margins():
+    # A circle: each name beats one other, the second by most.
+    duels = language.Duels(["a", "b", "c"], np.array([[0, 1], [0, 2], [1, 2]]), np.zeros((language.BUCKETS, 3), np.float32), np.array([1.0, -2.0, 3.0]))
+    best, _ = language._vote(duels, np.zeros((2, language.BUCKETS), np.float32))
+    assert best.tolist() == [1, 1]
+
+
 def test_hinge_loss_reaches_its_minimum():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(120, 5))

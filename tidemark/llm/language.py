@@ -1,8 +1,10 @@
 """Language of documents in two steps: first its family, then the language within the family.
 
 A text is the square roots of its counts of byte trigrams, letters lower-cased and everything else a
-space, scaled to length one.  Each step is a set of one-versus-rest linear support vector machines; a
-family of one language needs no second step.  They learn from a bounded sample of each language's rows:
+space, scaled to length one.  The family is chosen by one-versus-rest linear support vector machines, the
+language by one machine for each two languages of the family, learned from the rows of those two only: each
+machine has a vote, and equal votes are told apart by the sum of margins.  A family of one language needs no
+second step.  They learn from a bounded sample of each language's rows:
 `fit_rows` a language, fewer if there are so many languages that all would be more than ROWS, and at most
 `LANGUAGES` languages, the most frequent ones.
 """
@@ -49,6 +51,13 @@ class Step(NamedTuple):
     bias: np.ndarray
 
 
+class Duels(NamedTuple):
+    names: list[str]
+    pairs: np.ndarray  # two places in names for each machine, the first one is for margins above 0
+    weight: np.ndarray  # a column for each machine
+    bias: np.ndarray
+
+
 def counts(rows: pa.Array) -> np.ndarray:
     """A row of scaled trigram counts for each text."""
     data, offsets = W.bytes_of(rows)
@@ -88,7 +97,19 @@ def _one_versus_rest(rows, names: list[str], wanted: list[str]) -> Step:
     return Step(names, weight.astype(np.float32), bias)
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Step, dict[str, Step]]:
+def _one_versus_one(rows, names: list[str], wanted: list[str]) -> Duels:
+    pairs = np.array([(a, b) for a in range(len(names)) for b in range(a + 1, len(names))], np.int64).reshape(-1, 2)
+    weight, bias = np.zeros((BUCKETS, len(pairs)), np.float32), np.zeros(len(pairs))
+    found = np.array(wanted)
+    for k, (a, b) in enumerate(pairs.tolist()):
+        own = np.flatnonzero((found == names[a]) | (found == names[b]))
+        y = np.where(found[own] == names[a], 1.0, -1.0)
+        w = hinge([rows[i] for i in own.tolist()], y, BUCKETS, balanced(y, 4.0))
+        weight[:, k], bias[k] = w[:-1], w[-1]
+    return Duels(names, pairs, weight, bias)
+
+
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Step, dict[str, Duels]]:
     """Both steps from `doc_id, text, lang`; rows without a language or a letter teach nothing."""
     known = docs.where("lang IS NOT NULL").where(F.col("text").rlike("\\p{L}"))
     totals = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
@@ -121,7 +142,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Step, dict[str, Step
     for family in first.names:
         own = [i for i, f in enumerate(families) if f == family]
         names = sorted({languages[i] for i in own})
-        second[family] = _one_versus_rest([rows[i] for i in own], names, [languages[i] for i in own])
+        second[family] = _one_versus_one([rows[i] for i in own], names, [languages[i] for i in own])
     return first, second
 
 
@@ -134,7 +155,26 @@ def _choose(step: Step, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, p[np.arange(len(x)), best] / p.sum(1)
 
 
-def predict(docs: DataFrame, model: tuple[Step, dict[str, Step]]) -> DataFrame:
+def _vote(duels: Duels, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The name of each row with most votes, and its mean probability against the others."""
+    if len(duels.names) == 1:
+        return np.zeros(len(x), np.int64), np.ones(len(x))
+    margin = (x @ duels.weight + duels.bias).astype(np.float64)
+    n = len(duels.names)
+    votes, sums, sure = np.zeros((len(x), n)), np.zeros((len(x), n)), np.zeros((len(x), n))
+    for (a, b), m in zip(duels.pairs.tolist(), margin.T, strict=True):
+        votes[:, a] += m >= 0
+        votes[:, b] += m < 0
+        sums[:, a] += m
+        sums[:, b] -= m
+        p = probability(m * SHARP)
+        sure[:, a] += p
+        sure[:, b] += 1 - p
+    best = np.where(votes == votes.max(1, keepdims=True), sums, -np.inf).argmax(1)
+    return best, sure[np.arange(len(x)), best] / (n - 1)
+
+
+def predict(docs: DataFrame, model: tuple[Step, dict[str, Duels]]) -> DataFrame:
     """`doc_id, lang_pred, score` of every row of `doc_id, text`."""
     first, second = model
 
@@ -147,7 +187,7 @@ def predict(docs: DataFrame, model: tuple[Step, dict[str, Step]]) -> DataFrame:
                 for k, own in enumerate(first.names):
                     here = np.flatnonzero(family == k)
                     if len(here):
-                        best, part = _choose(second[own], x[here])
+                        best, part = _vote(second[own], x[here])
                         name[here] = np.array(second[own].names, object)[best]
                         score[here] = sure[here] * part
             letters = batch["letters"].slice(a, b - a).to_numpy(zero_copy_only=False)
