@@ -129,6 +129,23 @@ def test_paths_name_their_source(spark):
     assert got == {(2, 1, 0, 11, 60), (3, 1, 1, 71, 0), (3, 2, 72, 80, 11), (4, 2, 0, None, 0)}
 
 
+def test_paths_follow_branches_of_their_source(spark):
+    rng = random.Random(8)
+    p, x, y = ([f"w{rng.randrange(10**9)}" for _ in range(n)] for n in (70, 60, 65))
+    source = [*p, *x, *p, *y]
+    rows = [(1, " ".join(source)), (2, " ".join(["a", *p, *y])), (3, " ".join([*y, "b", *p, *x])), (4, "same " * 120), (5, "same " * 60 + "end")]
+    got = [tuple(r) for r in spans.repeated_paths(table(spark, rows)).select("doc_id", "source", "start", "n_windows", "source_start").collect()]
+    words = {i: t.split() for i, t in rows}
+    covered = {}
+    for doc, src, start, n, there in got:
+        assert words[doc][start : start + n + 49] == words[src][there : there + n + 49]
+        covered.setdefault(doc, []).extend(range(start, start + n))
+    # The 21 windows within P by its first place; those that reach into Y by the place of P Y.
+    assert {r for r in got if r[0] == 2} == {(2, 1, 1, 21, 0), (2, 1, 22, 65, 130 + 21)}
+    assert {r for r in got if r[0] == 3} == {(3, 1, 0, 16, 200), (3, 1, 66, 81, 0)}
+    assert sorted(covered[5]) == list(range(11))
+
+
 def test_repeated_spans_of_nothing(no_docs):
     assert spans.without_repeats(no_docs).collect() == []
 

@@ -1,12 +1,15 @@
-"""Long runs of words that an earlier document already has, found in a de Bruijn graph of the corpus.
+"""Long runs of words that an earlier document already has, found by windows of the corpus that repeat.
 
-Edges are runs of `window` words, nodes the runs one word shorter that two neighbouring edges share.  Only
-edges that can repeat are ever built: of each window one run of ANCHOR words is chosen by its content
-alone (the smallest hash), so equal windows choose equal anchors, and a window whose anchor is in one
-text only is unique.  Equal texts are one text: all windows of a copy begin in the first document that
-has it.  Neighbouring edges that lead to the same first document are then compacted into paths, and a
-path's coordinates in its source document, taken from the edge it begins with, tell where the words
-came from.
+A window is a run of `window` words.  Only windows that can repeat are ever built: of each one run of
+ANCHOR words is chosen by its content alone (the smallest hash), so equal windows choose equal anchors,
+and a window whose anchor is in one text only is unique.  Equal texts are one text: all windows of a copy
+begin in the first document that has it.  What is removed is every word of a window that a smaller document
+has; no nodes or branches of a graph are needed for that.
+
+Where words came from is told by `repeated_paths`: each window carries its first place in its source
+document, neighbouring windows whose place in the source is equally far from their own are one path, and
+so a path ends where the source goes on differently.  The words of both documents are compared over each
+path at last.
 
 Words and runs are compared by hashes of theirs, 64 bits for anchors and 128 for windows.  Null texts have
 no words; rows that repeat an id count as one document, so nothing is removed for repeating only
@@ -147,9 +150,9 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, texts_packed: DataFrame, copied: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The graph, and `edge, check, doc_id, place, source`: its windows that begin in a smaller document.
+    """All windows that may repeat, and `edge, check, doc_id, place, source`: those that begin in a smaller document.
 
-    `source` is the smallest document that holds the window.  Documents of `copied` are not in the graph.
+    `source` is the smallest document that holds the window.  Documents of `copied` have no windows.
     """
     found = anchors(docs, window)
     shared = cut(
@@ -168,7 +171,7 @@ def repeated_windows(docs: DataFrame, texts_packed: DataFrame, copied: DataFrame
 
 
 def paths(later: DataFrame) -> DataFrame:
-    """`doc_id, start, n_windows, source, edge, check`: runs of neighbouring windows with one source, and their first edge.
+    """`doc_id, start, n_windows, source`: runs of neighbouring windows with one source.
 
     A place that rows of a repeated id name twice counts once.
     """
@@ -177,27 +180,77 @@ def paths(later: DataFrame) -> DataFrame:
     return (
         later.withColumn("path", F.sum(F.coalesce(step, F.lit(True)).cast("int")).over(order))
         .groupBy("doc_id", "path", "source")
-        .agg(F.min("place").alias("start"), (F.max("place") - F.min("place") + 1).cast("bigint").alias("n_windows"), F.min_by(F.struct("edge", "check"), "place").alias("begin"))
-        .select("doc_id", "start", "n_windows", "source", "begin.edge", "begin.check")
+        .agg(F.min("place").alias("start"), (F.max("place") - F.min("place") + 1).cast("bigint").alias("n_windows"))
+        .select("doc_id", "start", "n_windows", "source")
+    )
+
+
+def aligned(placed: DataFrame) -> DataFrame:
+    """`doc_id, start, n_windows, source, source_start` of `doc_id, place, source, source_place`: runs equally far from their source."""
+    shifted = placed.withColumn("shift", F.col("place") - F.col("source_place")).distinct()
+    same = ["doc_id", "source", "shift"]
+    order = Window.partitionBy(*same).orderBy("place")
+    step = F.coalesce(F.col("place") - F.lag("place").over(order) > 1, F.lit(True))
+    return (
+        shifted.withColumn("path", F.sum(step.cast("int")).over(order)).groupBy(*same, "path")
+        .agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n_windows"), F.min("source_place").alias("source_start"))
+        .select("doc_id", "start", "n_windows", "source", "source_start")
     )
 
 
+def confirmed(found: DataFrame, texts_packed: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of `aligned` over which document and source have the same words."""
+    lists = found.groupBy("doc_id", "source").agg(F.collect_list(F.struct("start", "n_windows", "source_start")).alias("paths"))
+    source = texts_packed.select(F.col("doc_id").alias("source"), F.col("packed").alias("source_packed"))
+
+    def words_of(text: pa.Array) -> list[bytes]:
+        of = W.words(text, W.VISIBLE, False)
+        raw = of.data.tobytes()
+        return [raw[a:b] for a, b in zip(of.start.tolist(), of.end.tolist(), strict=True)]
+
+    def rows(batch: pa.RecordBatch):
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            own = words_of(_unpacked(row))
+            other = words_of(_unpacked(pa.RecordBatch.from_arrays([row["source_packed"]], ["packed"])))
+            ok = []
+            for x in row["paths"][0].as_py():
+                size = x["n_windows"] + window - 1
+                a, b = own[x["start"] : x["start"] + size], other[x["source_start"] : x["source_start"] + size]
+                if len(a) == size and a == b:
+                    ok.append(x)
+            if ok:
+                yield {
+                    "doc_id": pa.array([row["doc_id"][0].as_py()] * len(ok), pa.int64()),
+                    "start": pa.array([x["start"] for x in ok], pa.int32()), "n_windows": pa.array([x["n_windows"] for x in ok], pa.int64()),
+                    "source": pa.array([row["source"][0].as_py()] * len(ok), pa.int64()),
+                    "source_start": pa.array([x["source_start"] for x in ok], pa.int32()),
+                }
+
+    # Rows that repeat an id may have different texts: one that has the words is enough.
+    both = lists.join(texts_packed, "doc_id").join(source, "source")
+    return in_arrow(both, rows, "doc_id bigint, start int, n_windows bigint, source bigint, source_start int").distinct()
+
+
 def repeated_paths(documents: DataFrame, window: int = WINDOW, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id, start, n_windows, source, source_start`: where documents repeat `source` and where in it the words stand.
 
-    A copy of a whole document has no number of windows, and begins at 0 in both.
+    Every path has its words at `source_start`; a passage that the source has more than once is told by its
+    first place there.  A copy of a whole document has no number of windows, and begins at 0 in both.
     """
     docs = texts(documents, doc_col, text_col)
     copied = cut(copies(docs), "copies")
-    graph, later = repeated_windows(docs, packed(docs), copied, window)
-    found = cut(paths(later), "paths")
-    origin = (
-        found.select("edge", "check", "source").distinct()
-        .join(graph.select("edge", "check", F.col("doc_id").alias("source"), "place"), ["edge", "check", "source"])
-        .groupBy("edge", "check", "source").agg(F.min("place").alias("source_start"))
+    small = cut(packed(docs), "packed")
+    graph, later = repeated_windows(docs, small, copied, window)
+    later = cut(later, "later")
+    wanted = later.select("edge", "check", "source").distinct()
+    origin = cut(
+        graph.select("edge", "check", F.col("doc_id").alias("source"), "place").join(wanted, ["edge", "check", "source"], "left_semi")
+        .groupBy("edge", "check", "source").agg(F.min("place").alias("source_place")), "origins"
     )
+    found = aligned(later.join(origin, ["edge", "check", "source"]).select("doc_id", "place", "source", "source_place"))
     whole = copied.select("doc_id", F.lit(0).alias("start"), F.lit(None).cast("bigint").alias("n_windows"), "source", F.lit(0).alias("source_start"))
-    return found.join(origin, ["edge", "check", "source"]).select("doc_id", "start", "n_windows", "source", "source_start").unionByName(whole)
+    return confirmed(found, small, window).unionByName(whole)
 
 
 def without_repeats(documents: DataFrame, window: int = WINDOW, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
