@@ -171,7 +171,7 @@ def prompt_corpus_summary(spark, d):
 
 def document_vectors(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return clusters.embed_text(docs, num_features=256)
+    return clusters.project_text(docs)
 
 
 @query("embed_text")

@@ -3,11 +3,13 @@
 import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from registry import infer as queries
 from tidemark.operators import clusters, infer, judge, prompts
 from tidemark.plans.lineage import scratch_path
 
@@ -143,6 +145,29 @@ def test_text_vectors(spark):
     assert got[1] @ got[3] < 0.99 and not got[4].any()
 
 
+def test_projected_vectors_keep_products(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"term{i}" for i in range(6000)]
+    bags = [[words[rng.randrange(200 * i, 200 * i + 200)] for _ in range(300)] for i in range(24)]
+    bags += [[*bags[i][:150], *(rng.choice(words[5000:]) for _ in range(150))] for i in range(6)]
+    df = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bags)] + [(100, "a I ?"), (101, None), (102, " ".join(reversed(bags[0])))], "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: np.array(r.vector) for r in queries.embed_text(spark, str(tmp_path)).collect()}
+    assert not got[100].any() and not got[101].any() and np.allclose(got[102], got[0])
+    n, counts = 33, [dict(Counter(b)) for b in bags]
+    df_ = Counter(t for c in counts for t in c) + Counter(set(bags[0]))
+    exact = [{t: c * math.log((n + 1) / (df_[t] + 1)) for t, c in bag.items()} for bag in counts]
+    size = [math.sqrt(sum(v * v for v in e.values())) for e in exact]
+    off = []
+    for i in range(30):
+        assert np.isclose(np.linalg.norm(got[i]), 1.0, atol=1e-5)
+        for j in range(i):
+            want = sum(v * exact[j].get(t, 0.0) for t, v in exact[i].items()) / (size[i] * size[j])
+            off.append(got[i] @ got[j] - want)
+    # Texts without a word in common have products near 0, where 256 buckets give them up to 0.46.
+    assert max(map(abs, off)) < 0.25 and np.mean(np.square(off)) < 0.07**2
+
+
 def test_components_explain_most_variance(spark):
     rnd = np.random.default_rng(0)
     basis = np.linalg.qr(rnd.normal(size=(12, 3)))[0]
