@@ -8,13 +8,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.audit_sql import DIVERGENCE_SQL, SECRETS_SQL, SPELLING_SQL
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.divergence import divergence
 from tidemark.llm.language import languages
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.pieces import round_trip
 from tidemark.llm.quality import quality
+from tidemark.llm.secrets import secret_digest
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.spans import repeats_digest
+from tidemark.llm.spelling import corpus_words, spelling_groups
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.topk import scaled, top_k
 from tidemark.llm.toxicity import toxicity
@@ -143,3 +147,27 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS words FROM (
   SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d) ANTI JOIN gone USING (doc_id, place) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
 FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@_query
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(_table(spark, sf_dir, "documents"))
+
+
+SQL["op11_secrets"] = SECRETS_SQL
+
+
+@_query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(corpus_words(_table(spark, sf_dir, "documents")))
+
+
+SQL["op12_spelling"] = SPELLING_SQL
+
+
+@_query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
+SQL["op13_divergence"] = DIVERGENCE_SQL
