@@ -163,7 +163,9 @@ def distance(a, b):
         new = [i + 1]
         for j, d in enumerate(b):
             new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
-        row = new
+            if i and j and a[i - 1] == d and c == b[j - 1]:
+                new[-1] = min(new[-1], before[j - 1] + 1)
+        before, row = row, new
     return row[-1]
 
 
@@ -173,7 +175,7 @@ def test_lexicon_meets_words_like_brute_force():
     rng = random.Random(1)
     letters = "abcd"
     make = lambda low, high: "".join(rng.choice(letters) for _ in range(rng.randrange(low, high)))
-    lexicon = toxicity.Lexicon(tuple({make(3, 8) for _ in range(12)}), ("dda", "cabb"))
+    lexicon = toxicity.Lexicon(tuple({make(3, 8) for _ in range(12)}), ("dda", "cabb", "bcadd"))
     vocabulary = sorted({make(1, 9) for _ in range(6000)} | set(lexicon.words) | {"", "dda", "ddaz"})
     got = toxicity.intersect(vocabulary, toxicity.trie(lexicon), frozenset(lexicon.words))
 
@@ -182,17 +184,25 @@ def test_lexicon_meets_words_like_brute_force():
             return 1
         if any(word.startswith(s) and len(word) > len(s) for s in lexicon.stems):
             return 3
-        return 2 if any(len(t) >= 5 and word[:1] == t[0] and distance(t[1:], word[1:]) <= 1 for t in lexicon.words) else 0
+        if any(len(t) >= 5 and word[:1] == t[0] and distance(t[1:], word[1:]) <= 1 for t in lexicon.words):
+            return 2
+        begins = [word[:i] for i in range(1, len(word))]
+        return 3 if any(len(s) >= 5 and b[0] == s[0] and b[-1] == s[-1] and distance(s[1:], b[1:]) <= 1 for s in lexicon.stems for b in begins) else 0
 
     assert got == {i: kind(w) for i, w in enumerate(vocabulary) if kind(w)}
     assert len(got) > 50
 
 
 def test_quotation_weighs_less():
-    plain, quoted = toxicity.context_weight("this is ", " of them"), toxicity.context_weight('they shouted "what an ', '" at noon')
-    assert quoted < plain < toxicity.context_weight("for you are such a ", "!")
-    assert toxicity.context_weight("the man said ", " twice") < plain
-    assert toxicity.context_weight('"done" and then ', ' "more"') == plain
+    def weight(before, after):
+        raw, s = (before + "X" + after).encode(), len(before.encode())
+        inside = toxicity.quoted(toxicity.marks(raw), *(np.array([x]) for x in (0, s, s + 1, len(raw))))
+        return toxicity.context_weight(before, after, bool(inside[0]))
+
+    plain, quoted = weight("this is ", " of them"), weight('they shouted "what an ', '" at noon')
+    assert quoted < plain < weight("for you are such a ", "!")
+    assert weight("the man said ", " twice") < plain
+    assert weight('"done" and then ', ' "more"') == plain
 
 
 def test_misspelled_terms_are_hits():
@@ -203,6 +213,24 @@ def test_misspelled_terms_are_hits():
     assert toxicity.evidence(rows, matcher).max() == toxicity.MOST
 
 
+def test_long_words_and_far_quotation_marks():
+    matcher = toxicity.Matcher(toxicity.Lexicon(("idiot",), ("worthle",)))
+    far = 'they wrote "' + "and so on " * 30 + "idiot" + " and on" * 60 + '" there'
+    rows = pa.array(["worthle" + "x" * 100, far, far.replace('"', ""), far.replace("and so", "and\nso"), "idoit", "1diot idiiot", "日本" * 40 + "idiot"])
+    found = toxicity.evidence(rows, matcher)
+    assert found[0, 2] == 1 and found[1, 0] == toxicity.QUOTED and found[2, 0] == 1 and found[3, 0] == 1
+    assert found[4, 1] == 1 and found[5, 1] == 1 and not found[6].any()
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language, "ROWS", 2)
+    words = {"aa": "kilo lima mike", "bb": "xaver yps zett", "cc": "foo bar qux", "de": "das ist ein satz", "nl": "dit is een zin"}
+    rows = [(i, f"{words[g]} " * (i % 4 + 1), g) for i, g in enumerate(g for g in words for _ in range(12))]
+    got = language.languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    truth = {i: g for i, _, g in rows}
+    assert share(got, lambda r: r.lang_pred == truth[r.doc_id]) == 1.0
+
+
 def test_copied_texts_teach_no_words(spark):
     import random
 

@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import decontaminate, topk
 
 from .conftest import WORDS, sentence, table
@@ -158,3 +160,20 @@ def test_top_k_of_nothing(spark):
 
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert topk.top_k(topk.scaled(empty), F.col("vec_id") == 0).collect() == []
+
+
+def test_top_k_of_odd_vectors(spark):
+    kind = "vec_id bigint, embedding array<double>"
+    ragged = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], kind)
+    with pytest.raises(Exception, match="different lengths"):
+        topk.top_k(topk.scaled(ragged), F.col("vec_id") == 0).collect()
+    with pytest.raises(Exception, match="too large"):
+        topk.scaled(spark.createDataFrame([(0, [1e300])], kind)).collect()
+    big = 2.0**30
+    vectors = spark.createDataFrame([(0, [big, -big]), (1, [-big, -big]), (2, [big / 2, big]), (3, [0.5, 0.25])], kind)
+    with pytest.raises(Exception, match="too (large|big)"):
+        topk.top_k(topk.scaled(vectors.where("vec_id < 2").withColumn("embedding", F.transform("embedding", lambda x: x * 64))), F.col("vec_id") == 0).collect()
+    small = vectors.withColumn("embedding", F.transform("embedding", lambda x: x / 256))
+    got = [(r.vec_id, r.score) for r in topk.top_k(topk.scaled(small), F.col("vec_id") == 0).orderBy("rank").collect()]
+    exact = [(1, 0), (3, 2**30 * 0 - 2**30 * 0), (2, 2**60 // 2 - 2**60)]
+    assert got == sorted(exact, key=lambda r: (-r[1], r[0]))

@@ -38,11 +38,9 @@ def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
     )
     words = read.select("lang", "source", terms(F.col("text")).alias("w"))
     # Each occurrence is a row, and each different term of a document another: both sums combine map-side.
-    each = F.concat(
-        F.transform("w", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs"))),
-        F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs"))),
-    )
-    rows = words.select("lang", "source", F.inline(each)).where("term <> ''")
+    both = words.select("lang", "source", F.size("w").alias("k"), F.posexplode(F.concat("w", F.array_distinct("w"))).alias("at", "term"))
+    occurs = F.col("at") < F.col("k")
+    rows = both.where("term <> ''").select("lang", "source", "term", F.when(occurs, 1).otherwise(0).alias("n"), F.when(occurs, 0).otherwise(1).alias("docs"))
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 

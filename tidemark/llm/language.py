@@ -4,9 +4,12 @@ A text is the square roots of its counts of byte trigrams, letters lower-cased a
 space, scaled to length one.  The family is chosen by one-versus-rest linear support vector machines, the
 language by one machine for each two languages of the family, learned from the rows of those two only: each
 machine has a vote, and equal votes are told apart by the sum of margins.  A family of one language needs no
-second step.  They learn from a bounded sample of each language's rows:
-`fit_rows` a language, fewer if there are so many languages that all would be more than ROWS, and at most
-`LANGUAGES` languages, the most frequent ones.
+second step.  They learn from a bounded sample of each language's rows: `fit_rows` a language, fewer if all
+would be more than ROWS rows or FIT_BYTES bytes as packed, but always some FEWEST rows; no language is left out.
+
+Null and empty texts, and texts without a letter, are `und` with score 0.  Rows without an id are predicted and
+never learned from; rows that repeat an id are predicted each.  An empty table gives no rows, and without any
+known language every text is `und`.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ FAMILIES = {
 BUCKETS = 1 << 14
 FIT_ROWS = 1_200
 ROWS = 24_000
-LANGUAGES = 500
+FEWEST = 8
+FIT_BYTES = 256 << 20
 GROUP_ROWS, GROUP_BYTES = 256, 1 << 20
 STRETCH = 2 << 20
 SHARP = 4.0
@@ -112,11 +116,14 @@ def _one_versus_one(rows, names: list[str], wanted: list[str]) -> Duels:
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Step, dict[str, Duels]]:
     """Both steps from `doc_id, text, lang`; rows without a language or a letter teach nothing."""
     known = docs.where("lang IS NOT NULL").where(F.col("text").rlike("\\p{L}"))
-    totals = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    # A row takes up to six bytes for each of its trigrams, or for each bucket.
+    size = F.sum(F.least(F.octet_length("text"), F.lit(BUCKETS)).cast("bigint") * 6)
+    totals = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), size.alias("size")).orderBy(F.desc("n"), "lang").collect()
     if not totals:
         return Step([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)), {}
-    each = min(fit_rows, ROWS // len(totals))
-    shares = F.create_map(*[F.lit(x) for row in totals for x in (row["lang"], min(1.0, each / row["n"]))])
+    each, room = min(fit_rows, ROWS // len(totals)), FIT_BYTES / len(totals)
+    wanted = {row["lang"]: max(FEWEST / row["n"], min(each / row["n"], room / row["size"])) for row in totals}
+    shares = F.create_map(*[F.lit(x) for lang, share in wanted.items() for x in (lang, min(1.0, share))])
     share = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0))
     chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share)
 

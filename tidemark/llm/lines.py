@@ -1,4 +1,4 @@
-"""Repeated lines, exact or with a few edits, removed from documents that have a text of their own.
+"""Repeated lines, exact or with a few edits, removed but for their first occurrences.
 
 Lines are the stretches between line feeds without white space at their ends.  Two lines are linked if
 they are equal or at most `allowed(shorter)` edits apart: 0 below 10 characters, 1 below 20, else 2.
@@ -9,9 +9,9 @@ lengths and places where a match is possible.  Lines that share an entry are com
 bit-parallel edit distance, in blocks where an entry is crowded; a task returns a spanning forest of
 its links.  Equal lines are one line all along.
 
-A class of linked lines keeps its first occurrence, by document id and line number.  With `max_share` a document
-in which repeated lines are more than that share of the characters is left as it is; with None there is no such
-limit.  `spare_copies` leaves only documents whose lines, one by one, are those of an earlier document.  Empty lines, null texts and rows without an id are never touched; rows that repeat an
+A class of linked lines keeps its first occurrence, by document id and line number, whatever the share of repeated
+lines in a document.  A caller may set `max_share` to leave documents alone in which they are more than that share
+of the characters.  `spare_copies` leaves only documents whose lines, one by one, are those of an earlier document.  Empty lines, null texts and rows without an id are never touched; rows that repeat an
 id count as one document's.  Lines are told apart by a 64-bit hash of theirs.
 """
 
@@ -315,7 +315,7 @@ def repeated_lines(classed: DataFrame) -> DataFrame:
     return classed.join(first, "class").where("doc_id <> first_doc OR number <> first_number").select("doc_id", "number", "size", "first_doc")
 
 
-def removals(docs: DataFrame, max_share: float | None = 0.5, spare_copies: bool = False) -> DataFrame:
+def removals(docs: DataFrame, max_share: float | None = None, spare_copies: bool = False) -> DataFrame:
     """`doc_id, n_lines, n_repeated, removed, first_docs`: per document, the line numbers to remove and their first documents."""
     classed = classed_lines(docs)
     repeated = cut(repeated_lines(classed), "repeated-lines")
@@ -356,7 +356,7 @@ def without_lines(text, removed):
 
 
 def dedup_lines(
-    documents: DataFrame, max_share: float | None = 0.5, doc_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, max_share: float | None = None, doc_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """`doc_id, text, n_lines, n_repeated, n_removed, first_docs` of every document row, repeated lines gone."""
     docs = texts(documents, doc_col, text_col)

@@ -7,7 +7,8 @@ need be looked up, and pairs that meet there are verified by their edit distance
 
 Words are taken as they are; null, empty and repeated words have no place in a table of counts, and `variants` joins
 none of them (repeats are summed).  An empty table gives no rows, words below `MIN_LETTERS` are refused, words of
-any length are compared whole.  A word that very many others are near to is only ever counted map-side.
+any length are compared whole.  Words beyond LONG letters, for which a row for each place would grow with the square of the
+length, are looked up by their halves instead: an edit leaves one of them as it is.  A word that very many others are near to is only ever counted map-side.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 MIN_LETTERS = 6
 SHORTEST, LONGEST = 2, 6
+LONG = 128
 # A gram in more places is extended; one that is full length and in more places than CROWDED has its list split.
 FREQUENT = 32
 CROWDED = 256
@@ -95,6 +97,23 @@ def postings(words: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     return per_word.select("word", "n", F.inline(first))
 
 
+def _alike_in_half(words: DataFrame) -> DataFrame:
+    """`a, an, word, n`: pairs of words of `word, n` that share the first or second half of the shorter one."""
+
+    def halves(size: Column) -> Column:
+        first = F.floor(size / 2).cast("int")
+        return F.array(
+            F.struct(F.lit("<").alias("side"), size.alias("length"), F.left("word", first).alias("half")),
+            F.struct(F.lit(">").alias("side"), size.alias("length"), F.right("word", size - first).alias("half")),
+        )
+
+    length = F.length("word")
+    own = words.select("word", "n", F.inline(halves(length)))
+    asking = words.select(F.col("word").alias("a"), F.col("n").alias("an"), F.inline(F.concat(halves(length), halves(length - 1))))
+    met = asking.join(own, ["side", "length", "half"]).where((F.length("a") > F.length("word")) | (F.col("a") < F.col("word")))
+    return met.select("a", "an", "word", "n")
+
+
 def _one_edit(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1) == 1
 
@@ -108,7 +127,8 @@ def variants(words: DataFrame, frequent: int = FREQUENT, crowded: int = CROWDED)
     """
     words = words.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
     words = words.select(F.when(F.length("word") < MIN_LETTERS, F.raise_error(F.lit("a word is too short"))).otherwise(F.col("word")).alias("word"), "n")
-    listed = cut(postings(words, frequent), "postings")
+    # A word of LONG + 1 letters may have a variant on either side.
+    listed = cut(postings(words.where(F.length("word") <= LONG + 1), frequent), "postings")
     length, size = F.length("word"), F.length("gram")
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
     head, tail = F.substring(marked, F.lit(1), F.col("place")), F.substring(marked, F.col("place") + size + F.lit(1), length + F.lit(2))
@@ -132,6 +152,7 @@ def variants(words: DataFrame, frequent: int = FREQUENT, crowded: int = CROWDED)
         "a", "an", "gram", "same", (F.col("place") + F.col("on")).alias("place"), (F.col("length") + F.col("longer")).alias("length")
     )
     met = asking.join(keyed, ["gram", "same", "place", "length"]).where((F.length("a") < F.col("length")) | (F.col("a") < F.col("word")))
+    met = met.select("a", "an", "word", "n").unionByName(_alike_in_half(words.where(F.length("word") > LONG)))
     pairs = cut(met.where(_one_edit(F.col("a"), F.col("word"))).select("a", "an", F.col("word").alias("b"), F.col("n").alias("bn")).distinct(), "variants")
     there = pairs.select(F.col("a").alias("word"), F.col("an").alias("n"), F.col("b").alias("near"), F.col("bn").alias("near_n"))
     back = pairs.select(F.col("b").alias("word"), F.col("bn").alias("n"), F.col("a").alias("near"), F.col("an").alias("near_n"))

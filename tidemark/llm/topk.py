@@ -8,7 +8,8 @@ values of all lists, is below its kth score.  Ties go to the smaller id, so it g
 be equal.  Scores of the blocks are then merged by query.
 
 Vectors that are null, hold a null or a component that is not finite, or lack an id take no part.
-All vectors must have the same length.  Rows that repeat an id are candidates each; a query is not
+Vectors of different lengths are refused with an error, and so are components of 2^53 or more and scores
+that do not fit 64 bits; all other scores are exact.  Rows that repeat an id are candidates each; a query is not
 compared with rows of its own id.
 """
 
@@ -28,7 +29,9 @@ DEEPER = 128
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """`vec_id, vector`: finite vectors with each component x as floor(scale * x)."""
-    numbers = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))).cast("bigint"))
+    # Beyond this a number with a point no longer tells whole numbers apart.
+    whole = lambda x: F.when(F.abs(x) < F.lit(float(1 << 53)), F.floor(x)).otherwise(F.raise_error(F.lit("a component is too large")).cast("bigint"))
+    numbers = F.transform(F.col(vector_col).cast("array<double>"), lambda x: whole(x * F.lit(float(scale))).cast("bigint"))
     finite = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).where(finite).select(
         F.col(id_col).cast("bigint").alias("vec_id"), numbers.alias("vector")
@@ -43,6 +46,8 @@ def _dealt(vectors: DataFrame, rows: int) -> DataFrame:
     def pack(group):
         import pandas as pd
 
+        if group["vector"].str.len().nunique() > 1:
+            raise ValueError("vectors of different lengths")
         matrix = np.array(group["vector"].tolist(), np.int64)
         order = np.argsort(matrix, axis=0, kind="stable").T.astype(np.int32)
         return pd.DataFrame({
@@ -73,13 +78,14 @@ def threshold_search(matrix: np.ndarray, order: np.ndarray, ids: np.ndarray, que
         fresh = np.flatnonzero(met != seen)
         seen = met
         looked += len(fresh)
-        found = (matrix[fresh] @ wanted).astype(np.int64)
+        found = (matrix[fresh] @ wanted).astype(np.int64)  # an error where whole numbers of any size do not fit
         own = ids[fresh] != query_id
         rows, scores = np.concatenate([rows, fresh[own]]), np.concatenate([scores, found[own]])
         best = np.lexsort((ids[rows], -scores))[:k]
         rows, scores = rows[best], scores[best]
         if len(rows) == k:
-            bound = int(sum(matrix[lists[:, depth - 1], used].astype(np.int64) * query[used])) if len(used) else 0
+            last = matrix[lists[:, depth - 1], used]
+            bound = sum(int(x) * int(q) for x, q in zip(last.tolist(), query[used].tolist(), strict=True))
             if bound < scores[-1]:
                 break
     return rows, scores, looked
@@ -109,9 +115,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK,
             for ids, matrix, order, asked_ in zip(*(batch[c].to_pylist() for c in ("ids", "matrix", "order", "queries")), strict=True):
                 ids = np.frombuffer(ids, np.int64)
                 matrix = np.frombuffer(matrix, np.int64).reshape(len(ids), -1)
+                if any(len(q["vector"]) != matrix.shape[1] for q in asked_):
+                    raise ValueError("vectors of different lengths")
                 most = max(int(abs(x)) for q in asked_ for x in q["vector"]) * int(np.abs(matrix).max()) * matrix.shape[1]
-                # Sums of whole numbers are exact in floating point while they fit its digits.
-                matrix = matrix.astype(np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64)
+                # Sums of whole numbers are exact in floating point while they fit its digits; the largest ones need Python's.
+                matrix = matrix.astype(np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object)
                 order = np.frombuffer(order, np.int32).reshape(-1, len(ids))
                 for query in asked_:
                     rows, scores, looked = threshold_search(matrix, order, ids, np.array(query["vector"], np.int64), query["vec_id"], k)

@@ -7,13 +7,20 @@ taken, those texts then count half, and so on, so that the other words of a much
 taken for insults.
 
 Texts meet the lexicon as their distinct words: the sorted words and the trie of the lexicon are walked
-together with a Levenshtein automaton of one error (none for short terms, none in the first letter),
-so whole ranges of words are dropped at once.  Each hit then weighs by its context: less inside
+together with a Levenshtein automaton of one error: a letter more, less or other, or two neighbours swapped.
+Terms and stems below FUZZY letters allow none, no first letter may be wrong (`1diot` and `omron` are no hits), and
+the last letter of a stem must be right, as stems begin many words.  Whole ranges of words are dropped at once.  Each hit then weighs by its context: less inside
 quotation marks or after a reporting verb, more beside a second person.  A logistic model over the
 weights of words, of misspelled words and of stems, each bent after the first hit, is fitted on the
 sample and gives the score.
 
-Texts without words have no hits; null texts are empty texts.
+Quotation marks count from the start of the line, however long it is; reporting verbs and second persons within
+CONTEXT bytes.  Words of any length are looked up.  Evidence of one kind saturates: weights beyond a sum of MOST
+tell no more.
+
+Texts without words have no hits; null texts are empty texts.  Rows without an id are scored and never learned
+from; rows that repeat an id are scored each; an empty table gives no rows, and without labels the given list
+and fixed scaling are used.
 """
 
 from __future__ import annotations
@@ -50,6 +57,7 @@ STEMS = (4, 5, 6)
 FUZZY = 5
 QUOTED, ADDRESSED = 0.4, 1.25
 MOST = 6.0
+CONTEXT = 160
 EVIDENCE = ("words", "misspelled", "stems")
 REMEMBERED = 400_000
 _STEM = np.uint64(0x5BD1E9955BD1E995)
@@ -63,37 +71,48 @@ class Lexicon(NamedTuple):
 class Node:
     """A place in the lexicon's trie."""
 
-    __slots__ = ("next", "word", "stem", "size", "fuzzy")
+    __slots__ = ("next", "letter", "word", "stem", "size", "fuzzy")
 
-    def __init__(self, size: int):
+    def __init__(self, letter: str, size: int):
         self.next: dict[str, Node] = {}
+        self.letter, self.size = letter, size
         self.word = self.stem = self.fuzzy = False
-        self.size = size
 
 
 def trie(lexicon: Lexicon) -> Node:
-    root = Node(0)
+    root = Node("", 0)
     for kind, terms in (("word", lexicon.words), ("stem", lexicon.stems)):
         for term in terms:
             path = [root]
             for c in term:
-                path.append(path[-1].next.setdefault(c, Node(path[-1].size + 1)))
+                path.append(path[-1].next.setdefault(c, Node(c, path[-1].size + 1)))
             setattr(path[-1], kind, True)
-            if kind == "word" and len(term) >= FUZZY:
+            if len(term) >= FUZZY:
                 for node in path:
                     node.fuzzy = True
     return root
 
 
-def _step(states: dict[Node, int], c: str) -> dict[Node, int]:
+class Swap(NamedTuple):
+    """Between two swapped characters: where the second leads, if it is the one wanted."""
+
+    to: Node
+    wanted: str
+
+
+def _step(states: dict[Node | Swap, int], c: str) -> dict[Node | Swap, int]:
     """The automaton's states after one more character of the word."""
-    out: dict[Node, int] = {}
+    out: dict[Node | Swap, int] = {}
 
-    def reach(node: Node, errors: int) -> None:
+    def reach(node: Node | Swap, errors: int) -> None:
         if out.get(node, 2) > errors:
             out[node] = errors
 
     for node, errors in states.items():
+        if isinstance(node, Swap):
+            if c == node.wanted:
+                reach(node.to, 1)
+            continue
         if c in node.next:
             reach(node.next[c], errors)
         if errors == 0 and node.size and node.fuzzy:
@@ -103,6 +122,8 @@ def _step(states: dict[Node, int], c: str) -> dict[Node, int]:
                     reach(child, 1)  # another character
                     if c in child.next:
                         reach(child.next[c], 1)  # a character too few
+                        if child.next[c].fuzzy and child.letter != c:
+                            reach(Swap(child.next[c], child.letter), 1)  # two characters swapped
     return out
 
 
@@ -110,9 +131,11 @@ def intersect(vocabulary: list[str], root: Node, exact: frozenset[str] = frozens
     """Of a sorted list, the places of words that the lexicon accepts: 1 exactly, 2 with one error, 3 by a stem."""
     found: dict[int, int] = {}
 
-    def accepted(states: dict[Node, int]) -> int:
+    def accepted(states: dict[Node | Swap, int]) -> int:
         best = 0
         for node, errors in states.items():
+            if isinstance(node, Swap):
+                continue
             if node.word and errors == 0:
                 return 1
             if node.word and node.size >= FUZZY:
@@ -121,15 +144,25 @@ def intersect(vocabulary: list[str], root: Node, exact: frozenset[str] = frozens
                 best = 2  # the last character is missing
         return best
 
-    def walk(low: int, high: int, depth: int, states: dict[Node, int]) -> None:
+    def stem(states: dict[Node | Swap, int], last: str) -> int | None:
+        """The errors of a stem that ends here; one with an error ends in a letter of its own, not in the error."""
+        return min(
+            (errors for node, errors in states.items() if not isinstance(node, Swap) and node.stem
+             and (errors == 0 or (node.size >= FUZZY and node.letter == last))),
+            default=None,
+        )
+
+    def walk(low: int, high: int, depth: int, states: dict[Node | Swap, int]) -> None:
         kind = accepted(states)
+        begun = stem(states, vocabulary[low][depth - 1]) if depth else None
         while low < high and len(vocabulary[low]) == depth:
             if kind:
                 found[low] = kind
             low += 1
-        if any(node.stem and errors == 0 for node, errors in states.items()):
+        if begun is not None:
             for i in range(low, high):
-                found[i] = 1 if vocabulary[i] in exact else 3
+                found[i] = 1 if begun == 0 and vocabulary[i] in exact else 3
+        if begun == 0:
             return
         while low < high:
             word = vocabulary[low]
@@ -163,7 +196,6 @@ class Matcher:
         named = sorted(
             (raw[s:e].decode("utf-8", "replace"), x)
             for s, e, x in zip(found.start[new].tolist(), found.end[new].tolist(), h[new].tolist(), strict=True)
-            if e - s <= 64
         )
         hits = intersect([word for word, _ in named], self.root, self.exact)
         kind = np.zeros(len(new), np.int8)
@@ -182,15 +214,47 @@ class Matcher:
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+# Quotation marks in UTF-8.
+_OPENING, _CLOSING, _ENDING = ("|".join(c).encode() for c in ("“«„", "”»", "”»“"))
+
+
+class Marks(NamedTuple):
+    """Places of line feeds and quotation marks in the bytes of some texts."""
+
+    feed: np.ndarray
+    plain: np.ndarray
+    opening: np.ndarray
+    closing: np.ndarray
+    ending: np.ndarray  # closing ones, and the mark that ends a quotation in some languages and opens it in others
+
+
+def marks(raw: bytes) -> Marks:
+    found = ([m.start() for m in re.finditer(p, raw)] for p in (b"\n", b'"', _OPENING, _CLOSING, _ENDING))
+    return Marks(*(np.array(x, np.int64) for x in found))
+
+
+def quoted(at: Marks, low: np.ndarray, start: np.ndarray, end: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether each stretch lies in a quotation of its line, wherever in it; `low` and `high` are the text's ends."""
+
+    def count(places, a, b):
+        return np.searchsorted(places, b) - np.searchsorted(places, a)
+
+    def last(places, a, b):
+        i = np.searchsorted(places, b)
+        return np.where(count(places, a, b) > 0, np.append(places, -1)[i - 1], -1)
+
+    low = np.maximum(low, last(at.feed, low, start) + 1)
+    feeds = np.append(at.feed, np.iinfo(np.int64).max)
+    high = np.minimum(high, feeds[np.searchsorted(at.feed, end)])
+    plain = (count(at.plain, low, start) % 2 == 1) & (count(at.plain, end, high) > 0)
+    return plain | ((last(at.opening, low, start) > last(at.closing, low, start)) & (count(at.ending, end, high) > 0))
 
 
-def context_weight(before: str, after: str) -> float:
-    """The weight of a hit between two stretches of text."""
+def context_weight(before: str, after: str, in_quotes: bool) -> float:
+    """The weight of a hit, inside a quotation or not, between the stretches of text beside it."""
     line = before.rpartition("\n")[2]
-    plain = line.count('"') % 2 == 1 and '"' in after.partition("\n")[0]
-    paired = max(line.rfind(c) for c in "“«„") > max(line.rfind(c) for c in "”»") and any(c in after for c in "”»“")
     near = [w.lower() for w in _WORD.findall(line)[-6:]]
-    weight = QUOTED if plain or paired or REPORTING & set(near) else 1.0
+    weight = QUOTED if in_quotes or REPORTING & set(near) else 1.0
     if SECOND & {*near, *(w.lower() for w in _WORD.findall(after.partition("\n")[0])[:3])}:
         weight *= ADDRESSED
     return weight
@@ -207,13 +271,14 @@ def evidence(rows: pa.Array, matcher: Matcher) -> np.ndarray:
             continue
         data, offsets = W.bytes_of(rows.slice(a, b - a))
         doc = np.searchsorted(found.first, hits, "right") - 1
-        for i, d in zip(hits.tolist(), doc.tolist(), strict=True):
+        said = quoted(marks(data.tobytes()), offsets[doc], found.start[hits], found.end[hits], offsets[doc + 1])
+        for i, d, q in zip(hits.tolist(), doc.tolist(), said.tolist(), strict=True):
             if out[a + d, kind[i] - 1] >= MOST:
                 continue
             s, e = int(found.start[i]), int(found.end[i])
-            before = data[max(int(offsets[d]), s - 160) : s].tobytes().decode("utf-8", "ignore")
-            after = data[e : min(int(offsets[d + 1]), e + 160)].tobytes().decode("utf-8", "ignore")
-            out[a + d, kind[i] - 1] += context_weight(before, after)
+            before = data[max(int(offsets[d]), s - CONTEXT) : s].tobytes().decode("utf-8", "ignore")
+            after = data[e : min(int(offsets[d + 1]), e + CONTEXT)].tobytes().decode("utf-8", "ignore")
+            out[a + d, kind[i] - 1] += context_weight(before, after, q)
     return np.minimum(out, MOST)
 
 
