@@ -25,6 +25,7 @@ from tidemark.plans.skew import hot_keys, salted_join
 BLOCK = 8192
 STRIP = 1024
 STEPS = 20
+DIGITS = 12
 
 
 def _distinct_vectors(items: DataFrame, key: str, item: str, vector: str) -> DataFrame:
@@ -78,7 +79,8 @@ def _block_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             # Blocks are in item order, so the first maximum is the lowest partner.
             rows, columns = [], (np.full(len(b), -np.inf), np.zeros(len(b), np.int64))
             for i in range(0, len(a), STRIP):
-                cos = a[i: i + STRIP] @ b.T
+                # The last digits of a product depend on the shapes multiplied; rounded, equal ones stay equal.
+                cos = np.round(a[i: i + STRIP] @ b.T, DIGITS)
                 rows.append((cos.max(axis=1), cos.argmax(axis=1) + s0))
                 top = cos.max(axis=0)
                 better = top > columns[0]
