@@ -1,12 +1,15 @@
 """Model surfaces with simple stand-ins, prompts, vectors and clusters."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registry.base import POSTS_SQL, every, posts, query, r6, table
 from registry.judge import VERDICTS_SQL, verdicts
 from registry.narratives import REPORTS_SQL, base_reports, phase_narratives, trajectory_reports
 from registry.segments import segments_sql, series
-from tidemark.operators import clusters, infer, judge, prompts, reports, risk, segments, topics
+from registry.topics import STOPS
+from tidemark.operators import clusters, density, factors, infer, judge, prompts, reports, risk, segments, spectral, topics
+from tidemark.plans import nearest
 from tidemark.plans.lineage import cut
 
 P = f"WITH {POSTS_SQL} "
@@ -170,13 +173,41 @@ def prompt_corpus_summary(spark, d):
 
 
 def document_vectors(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return clusters.project_text(docs)
+    return factors.factor_text(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+SIGNS = ", ".join(f"({k}, {pow(factors.STEP, k + 1, factors.PRIME)})" for k in range(factors.SPREAD))
 
 
-@query("embed_text")
+@query(
+    "embed_text",
+    f"""WITH bytes AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+      CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+    found AS (SELECT doc_id AS id, term, count(*) AS tf FROM (
+      SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents)
+      WHERE term NOT IN ({STOPS}) GROUP BY ALL),
+    names AS (SELECT term, hex(encode(term)) AS hx FROM (SELECT DISTINCT term FROM found)),
+    placed AS (SELECT term, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(hx), 2), lambda k:
+      CAST('0x' || substr(hx, k, 2) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % {factors.PLACES} AS place FROM names, bytes),
+    counts AS (SELECT id, place, sum(tf) AS tf FROM found JOIN placed USING (term) GROUP BY ALL),
+    weights AS (SELECT place, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)) AS w FROM counts GROUP BY 1),
+    signed AS (SELECT id, k, CAST(tf AS DOUBLE) * w AS x, (place * m + k) % {factors.PRIME} AS h
+      FROM counts JOIN weights USING (place), (VALUES {SIGNS}) s(k, m)),
+    sums AS (SELECT id, CAST(k * 64 + h % 64 AS BIGINT) AS place, sum(CASE WHEN (h // 64) % 2 = 0 THEN x ELSE -x END) AS v FROM signed GROUP BY ALL),
+    norms AS (SELECT id, sqrt(sum(v * v)) AS norm FROM sums GROUP BY 1)
+    SELECT id, place, round(CAST(CAST(v / norm AS FLOAT) AS DOUBLE), 5) AS entry FROM sums JOIN norms USING (id)
+    WHERE norm > 0 AND round(CAST(CAST(v / norm AS FLOAT) AS DOUBLE), 5) <> 0""",
+)
 def embed_text(spark, d):
-    return document_vectors(spark, d).select("id", "vector")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    # The entries that are not zero.
+    entries = factors.project_text(docs).select("id", F.posexplode("vector").alias("place", "entry"))
+    return entries.select("id", F.col("place").cast("bigint").alias("place"), F.round(F.col("entry").cast("double"), 5).alias("entry")).where("entry <> 0")
+
+
+@query("factor_text")
+def factor_text(spark, d):
+    return document_vectors(spark, d)
 
 
 @query("reduce_dims")
@@ -185,6 +216,52 @@ def reduce_dims(spark, d):
     return clusters.reduce_dims(cut(document_vectors(spark, d), "vectors"), k=5).select("id", "coords")
 
 
+def plane(spark, d):
+    """The vectors of the tables as points of a plane, with the corpus they belong to."""
+    at = F.array(every("embedding", 2, 0), every("embedding", 2, 1))
+    return table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), at.alias("coords"))
+
+
+@query(
+    "nearest_neighbours",
+    """WITH e AS (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    pts AS (SELECT label, vec_id, list_sum(list_filter(v, lambda x, i: i % 2 = 1)) AS x, list_sum(list_filter(v, lambda x, i: i % 2 = 0)) AS y FROM e),
+    d AS (SELECT a.label, a.vec_id AS point, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance
+      FROM pts a JOIN pts b ON a.label = b.label AND a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY label, point ORDER BY distance) AS rank FROM d)
+    SELECT label, point, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM r WHERE rank <= 7""",
+)
+def nearest_neighbours(spark, d):
+    points = plane(spark, d).select("label", F.col("id").alias("point"), F.lit(1).alias("weight"), "coords")
+    place = Window.partitionBy("label", "point").orderBy("distance")
+    found = nearest.nearest(points, 7, ["label"]).withColumn("rank", F.row_number().over(place))
+    return found.select("label", "point", "rank", r6("distance"))
+
+
+@query("varying_density_cluster")
+def varying_density_cluster(spark, d):
+    """Clusters of each label's points; see the tests for the same from all pairs."""
+    return density.varying_density_cluster(plane(spark, d), by=["label"], min_cluster_size=8, min_samples=5, neighbours=15).select(
+        "label", "id", "topic", r6("strength")
+    )
+
+
+@query("neighbour_places")
+def neighbour_places(spark, d):
+    """The vectors of the tables on a plane that keeps neighbours."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return spectral.neighbour_places(vectors, k=2)
+
+
+@query("document_density_topics")
+def document_density_topics(spark, d):
+    """Texts to factors to places that keep neighbours to clusters of varying density."""
+    vectors = cut(document_vectors(spark, d), "vectors")
+    fewer = cut(clusters.reduce_dims(vectors, k=8).select("id", "coords"), "coords")
+    places = cut(spectral.neighbour_places(fewer, k=5, column="coords", out="places"), "places")
+    return density.varying_density_cluster(places, coords="places").select("id", "topic", "strength")
+
+
 WIDTH, DENSE, SMALLEST = 0.375, 2, 4
 
 
@@ -205,11 +282,8 @@ WIDTH, DENSE, SMALLEST = 0.375, 2, 4
     FROM pts LEFT JOIN cells USING (label, cx, cy)""",
 )
 def density_cluster(spark, d):
-    points = table(spark, d, "embeddings").select(
-        "label", F.col("vec_id").alias("id"), F.array(every("embedding", 2, 0), every("embedding", 2, 1)).alias("coords")
-    )
     return clusters.density_cluster(
-        points, by=["label"], width=WIDTH, min_points=DENSE, min_cluster_size=SMALLEST
+        plane(spark, d), by=["label"], width=WIDTH, min_points=DENSE, min_cluster_size=SMALLEST
     ).select("label", "id", "topic", r6("strength"))
 
 

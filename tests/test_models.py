@@ -3,14 +3,14 @@
 import math
 import os
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from registry import infer as queries
-from tidemark.operators import clusters, infer, judge, prompts
+from tidemark.operators import clusters, factors, infer, judge, prompts
 from tidemark.plans.lineage import scratch_path
 
 
@@ -138,22 +138,14 @@ def test_components_by_brute_force(spark):
             assert got[i].topic == want
 
 
-def test_text_vectors(spark):
-    df = spark.createDataFrame([(1, "cats chase mice"), (2, "cats chase mice"), (3, "stocks fell"), (4, "a I ?")], "id int, text string")
-    got = {r.id: np.array(r.vector) for r in clusters.embed_text(df, num_features=64).collect()}
-    assert np.allclose(got[1], got[2]) and np.isclose(np.linalg.norm(got[1]), 1.0, atol=1e-6)
-    assert got[1] @ got[3] < 0.99 and not got[4].any()
-
-
-def test_projected_vectors_keep_products(spark, tmp_path):
+def test_projected_vectors_keep_products(spark):
     rng = random.Random(5)
     words = [f"term{i}" for i in range(6000)]
     bags = [[words[rng.randrange(200 * i, 200 * i + 200)] for _ in range(300)] for i in range(24)]
     bags += [[*bags[i][:150], *(rng.choice(words[5000:]) for _ in range(150))] for i in range(6)]
-    df = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bags)] + [(100, "a I ?"), (101, None), (102, " ".join(reversed(bags[0])))], "doc_id bigint, text string")
-    df.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.id: np.array(r.vector) for r in queries.embed_text(spark, str(tmp_path)).collect()}
-    assert not got[100].any() and not got[101].any() and np.allclose(got[102], got[0])
+    df = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bags)] + [(100, "a I ?"), (101, None), (102, " ".join(reversed(bags[0])))], "id bigint, text string")
+    got = {r.id: np.array(r.vector) for r in factors.project_text(df).collect()}
+    assert not got[100].any() and not got[101].any() and (got[102] == got[0]).all()
     n, counts = 33, [dict(Counter(b)) for b in bags]
     df_ = Counter(t for c in counts for t in c) + Counter(set(bags[0]))
     exact = [{t: c * math.log((n + 1) / (df_[t] + 1)) for t, c in bag.items()} for bag in counts]
@@ -164,10 +156,49 @@ def test_projected_vectors_keep_products(spark, tmp_path):
         for j in range(i):
             want = sum(v * exact[j].get(t, 0.0) for t, v in exact[i].items()) / (size[i] * size[j])
             off.append(got[i] @ got[j] - want)
-    # Texts without a word in common have products near 0, where 256 buckets give them up to 0.46.
+    # Texts without a word in common have products near 0.
     assert max(map(abs, off)) < 0.25 and np.mean(np.square(off)) < 0.07**2
 
 
+def dense_rows(texts, places):
+    found = [[zlib.crc32(w.encode()) % places for w in (t or "").split()] for t in texts]
+    counts, rows = np.zeros(places), np.zeros((len(texts), places))
+    for own in found:
+        for p in set(own):
+            counts[p] += 1
+    for i, own in enumerate(found):
+        for p in own:
+            rows[i, p] += 1
+    rows *= np.log((len(texts) + 1) / (counts + 1))
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(size > 0, size, 1)
+
+
+@pytest.mark.parametrize("fan_in, entries", [(64, 1 << 16), (2, 50)])
+def test_factors_are_the_best_ones(spark, monkeypatch, fan_in, entries):
+    monkeypatch.setattr(factors, "FAN_IN", fan_in)
+    monkeypatch.setattr(factors, "ENTRIES", entries)
+    rng = random.Random(1)
+    words = [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words[(i % 4) * 8 :][:20]) for _ in range(rng.randrange(60))) for i in range(200)] + [None, "a I ?"]
+    texts += [texts[5]] * 300
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(9)
+    got = {r.id: np.array(r.vector, np.float64) for r in factors.factor_text(df, rank=10, oversample=34, places=1 << 12, unit=False).collect()}
+    u, s, _ = np.linalg.svd(dense_rows([t if t != "a I ?" else "" for t in texts], 1 << 12), full_matrices=False)
+    best = u[:, :10] * s[:10]
+    found = np.array([got[i] for i in range(len(texts))])
+    assert np.abs(found @ found.T - best @ best.T).max() < 1e-6
+    assert all((got[i] == got[5]).all() for i in range(202, 502)) and not got[200].any()
+
+
+def test_factors_of_little(spark):
+    df = spark.createDataFrame([(1, "cats chase mice"), (2, "cats chase mice"), (3, "stocks fell"), (4, None)], "id bigint, text string")
+    got = {r.id: np.array(r.vector) for r in factors.factor_text(df, places=1 << 10).collect()}
+    assert len(got[1]) == 64 and (got[1] == got[2]).all() and abs(got[1] @ got[3]) < 1e-6 and not got[4].any()
+    assert np.isclose(np.linalg.norm(got[3]), 1.0, atol=1e-6)
+    assert factors.factor_text(df.where("id < 0"), places=1 << 10).collect() == []
+
+
 def test_components_explain_most_variance(spark):
     rnd = np.random.default_rng(0)
     basis = np.linalg.qr(rnd.normal(size=(12, 3)))[0]

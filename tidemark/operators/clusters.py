@@ -1,76 +1,23 @@
-"""Text vectors, dimension reduction and density clusters.
+"""Principal components of vectors, and clusters as connected dense grid cells.
 
-These play the roles of a sentence embedder, a manifold projection and a hierarchical density
-clusterer with parts that scale: hashed TF-IDF, PCA, and connected dense grid cells.  The numbers
-differ from such models; vectors from any model can be passed in instead (see `operators.infer`).
-TF-IDF is hashed into few buckets (`embed_text`) or of all terms, reduced by a random projection (`project_text`).
+Both cost little beside `operators.spectral`, whose coordinates keep neighbours, and `operators.density`, whose
+clusters may differ in density.  Vectors come from `operators.factors` or from any model (see `operators.infer`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
+from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidemark.functions import text as tx
 from tidemark.plans.lineage import cut, drop
 from tidemark.plans.ordered import running_total
 from tidemark.plans.skew import hot_keys, salted_join
 
 
-def embed_text(posts: DataFrame, num_features: int = 512, column: str = "text") -> DataFrame:
-    """`vector`: unit-length hashed TF-IDF of the terms of a text.
-
-    Fitting reads the texts once and keeps one number per feature; texts without terms get zeros.
-    """
-    words = posts.withColumn("_terms", tx.terms(column))
-    counted = HashingTF(numFeatures=num_features, inputCol="_terms", outputCol="_tf").transform(words)
-    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted).transform(counted)
-    unit = Normalizer(inputCol="_tfidf", outputCol="_unit").transform(weighted)
-    return unit.withColumn("vector", vector_to_array("_unit", "float32")).drop("_terms", "_tf", "_tfidf", "_unit")
-
-
-SPREAD = 8
-
-
-def project_text(posts: DataFrame, dims: int = 512, column: str = "text") -> DataFrame:
-    """`vector`: TF-IDF of all terms of a text, each told apart by 64 bits, in a sparse random projection to unit length.
-
-    Every term has a random sign at SPREAD of the `dims` places, so products of vectors keep their expected
-    value, and differ from it by about 1 / sqrt(dims).  Texts without terms get zeros.
-    """
-    if dims % SPREAD or dims < SPREAD:
-        raise ValueError(f"dims must be a multiple of {SPREAD}")
-    width = dims // SPREAD
-    # Stored: the numbers of rows must stay.
-    rows = cut(posts.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    counted = cut(
-        rows.select("_row", F.explode(F.transform(tx.terms(column), lambda t: F.xxhash64(t))).alias("_term"))
-        .groupBy("_row", "_term").agg(F.count(F.lit(1)).alias("_tf")), "counted"
-    )
-    seen = cut(counted.groupBy("_term").agg(F.count(F.lit(1)).alias("_df")), "terms")
-    weight = F.col("_tf") * F.log(F.lit(rows.count() + 1.0) / (F.col("_df") + 1))
-    # Exact sums: they must not depend on the order of rows.
-    weighted = counted.join(seen, "_term").select("_row", "_term", weight.cast("decimal(28,12)").alias("_w"))
-    block = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.col("_term")).alias("h"))))
-    spread = weighted.select("_row", "_w", block.alias("_b")).select(
-        "_row", (F.col("_b.k") * width + F.pmod(F.shiftright("_b.h", 1), F.lit(width))).cast("int").alias("_at"),
-        F.when(F.col("_b.h").bitwiseAND(F.lit(1)) == 0, F.col("_w")).otherwise(-F.col("_w")).alias("_w"),
-    )
-    sums = spread.groupBy("_row", "_at").agg(F.sum("_w").cast("double").alias("_w"))
-    lists = sums.groupBy("_row").agg(
-        F.map_from_entries(F.collect_list(F.struct("_at", "_w"))).alias("_all"), F.sqrt(F.sum((F.col("_w") * F.col("_w")).cast("decimal(38,12)")).cast("double")).alias("_norm")
-    )
-    value = lambda i: F.coalesce(F.try_element_at("_all", i), F.lit(0.0))
-    unit = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (value(i) / F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(1.0)).cast("float"))
-    vectors = lists.select("_row", unit.alias("vector"))
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), dims)
-    return rows.join(vectors, "_row", "left").withColumn("vector", F.coalesce("vector", zeros)).drop("_row")
-
-
 def reduce_dims(vectors: DataFrame, k: int = 5, column: str = "vector", out: str = "coords") -> DataFrame:
     """`out`: the first `k` principal components of the unit vectors.
 

@@ -189,6 +189,8 @@ def _core(sketched: DataFrame, basis: np.ndarray, weights: np.ndarray) -> np.nda
     of each stripe goes on.
     """
     places, k = len(weights), basis.shape[1]
+    if not k:
+        return np.zeros((0, 0))
 
     def add(batches):
         total = np.zeros((places, k))

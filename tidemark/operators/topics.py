@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.plans.lineage import cut
 from tidemark.plans.ordered import text_parts
 from tidemark.plans.skew import MIN_ROWS, hot_keys, salted_join
 
@@ -40,12 +41,11 @@ def topic_term_counts(
     Topics and terms of more than `min_rows` rows may be joined in slices.
     """
     by = list(by)
-    # The joins below imply these filters; stated here, all uses of the counts have equal plans
-    # and share one shuffle, so texts are read and tokenised once.
     terms = tokenize(posts, [*by, "topic"], stop_words)
     for name in terms.columns:
         terms = terms.where(F.col(name).isNotNull())
-    counts = terms.groupBy(*by, "topic", "term").agg(F.count(F.lit(1)).alias("n"))
+    # Stored: totals and hot keys are counted from the counts, and texts are read and tokenised once.
+    counts = cut(terms.groupBy(*by, "topic", "term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
     topic_key = [*by, "topic"]
     # A topic may hold a third of all terms, and a term may be in every one of very many topics, so both
     # totals are joined back in slices.

@@ -120,15 +120,27 @@ class _Best:
             return
         point, weight = rows.field("point").to_numpy(), rows.field("weight").to_numpy()
         y = _matrix(rows.field("coords"))
+        yy = (y * y).sum(1)
         for low in range(0, len(self.x), STRIP):
             strip = slice(low, low + STRIP)
-            d = squares(self.x[strip], y)
-            d[self.own[strip][:, None] == point[None, :]] = np.inf
-            some = np.flatnonzero((d < self.d[strip][:, -1:]).any(1))
+            x = self.x[strip]
+            xx = (x * x).sum(1)
+            # A product tells roughly which pairs may be near; only those get their distance.
+            rough = xx[:, None] + yy[None, :] - 2 * (x @ y.T)
+            may = rough <= self.d[strip][:, -1:] + 1e-12 * (xx.max() + yy.max())
+            may &= self.own[strip][:, None] != point[None, :]
+            some = np.flatnonzero(may.any(1))
             if not len(some):
                 continue
+            i, j = np.nonzero(may[some])
+            exact = np.zeros(len(i))
+            for u, v in zip(x[some].T, y.T, strict=True):
+                apart = u[i] - v[j]
+                exact += apart * apart
+            d = np.full((len(some), len(y)), np.inf)
+            d[i, j] = exact
             at = some + low
-            every = np.concatenate([self.d[at], d[some]], axis=1)
+            every = np.concatenate([self.d[at], d], axis=1)
             near = np.argpartition(every, self.k - 1, axis=1)[:, : self.k]
             near = np.take_along_axis(near, np.argsort(np.take_along_axis(every, near, 1), axis=1, kind="stable"), 1)
             self.d[at] = np.take_along_axis(every, near, 1)
