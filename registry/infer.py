@@ -10,7 +10,7 @@ from registry.segments import segments_sql, series
 from registry.topics import STOPS
 from tidemark.operators import clusters, density, factors, infer, judge, prompts, reports, risk, segments, spectral, topics
 from tidemark.plans import nearest
-from tidemark.plans.lineage import cut
+from tidemark.plans.lineage import cut, scratch_path
 
 P = f"WITH {POSTS_SQL} "
 
@@ -78,6 +78,19 @@ def complete_prompts(spark, d):
     return infer.complete_prompts(work, make_echo).select("id", "response", "error")
 
 
+@query(
+    "complete_with_ledger",
+    """SELECT event_id AS id, CASE WHEN event_type LIKE '%v%' THEN NULL ELSE upper(event_type || ' ' || props) END AS response,
+    CASE WHEN event_type LIKE '%v%' THEN 'ValueError: no answer' END AS error FROM events""",
+)
+def complete_with_ledger(spark, d):
+    work = posts(spark, d).select("id", F.replace("text", F.lit("v"), F.lit("z")).alias("prompt"))
+    ledger, options = scratch_path(spark, "ledger"), {"attempts": 2, "wait": 0.0}
+    # A run over some prompts, and another over all, which calls only what has no answer yet.
+    infer.complete_with_ledger(work.where("id % 2 = 0"), make_echo, ledger, **options)
+    return infer.complete_with_ledger(work, make_echo, ledger, **options).select("id", "response", "error")
+
+
 PART = 1500
 LINES_SQL = P + f""", lines AS (SELECT *, '[' || strftime(date, '%Y-%m-%d %H:%M:%S') || '] ' || text AS line FROM posts),
 filled AS (SELECT *, floor(coalesce(sum(length(line) + 1) OVER (PARTITION BY subject_id ORDER BY date, id

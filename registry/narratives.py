@@ -106,3 +106,26 @@ def parse_llm_json(spark, d):
         F.when(F.col("parsed").isNotNull(), F.size("parsed.neutraltopics")).cast("bigint").alias("neutral"),
         F.col("error").isNotNull().alias("failed"),
     )
+
+
+@query(
+    "parse_reply_json",
+    TOPICS_SQL + """SELECT subject_id, CASE WHEN subject_id % 6 <> 3 THEN count(*) FILTER (valence = 'positive') END AS positive,
+    CASE WHEN subject_id % 6 <> 3 THEN count(*) FILTER (valence = 'neutral') END AS neutral,
+    CASE WHEN subject_id % 6 = 3 THEN 'no object in the reply' END AS error FROM flat GROUP BY 1""",
+)
+def parse_reply_json(spark, d):
+    good = F.to_json(F.struct("positivetopics", "neutraltopics", "negativetopics"))
+    kind = F.col("subject_id") % 6
+    # Replies with prose, fences and other braces around the object; one kind is cut off.
+    reply = (
+        F.when(kind == 0, F.concat(F.lit("Here you are: "), good, F.lit(" I hope that helps {really}.")))
+        .when(kind == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+        .when(kind == 3, F.left(good, F.length(good) - 5))
+        .when(kind == 4, F.concat(F.lit('Given {text} and "so" on: '), good))
+        .when(kind == 5, F.concat(F.lit("An open { brace.\n```\n"), good, F.lit("```\nDone.")))
+        .otherwise(good)
+    )
+    parsed = reports.parse_reply_json(topic_lists(spark, d).select("subject_id", reply.alias("reply")), TOPIC_LISTS)
+    sizes = [F.when(F.col("parsed").isNotNull(), F.size(f"parsed.{n}topics")).cast("bigint").alias(n) for n in ("positive", "neutral")]
+    return parsed.select("subject_id", *sizes, "error")

@@ -121,6 +121,32 @@ def test_strips_of_a_block_do_not_matter(spark, sides, monkeypatch):
     assert sorted(map(tuple, coverage.best_match(full, sample).collect())) == whole
 
 
+def clustered(seed, n, items=0):
+    """Vectors in tight groups of directions, some equal, some zero, some far from all."""
+    rnd = np.random.default_rng(seed)
+    centres = np.random.default_rng(99).normal(size=(16, 8))
+    rows = [(0, items + i, (centres[i % 16] + 0.03 * rnd.normal(size=8)).tolist()) for i in range(n)]
+    rows += [(0, items + n + i, rows[i][2]) for i in range(20)]
+    rows += [(0, items + n + 20, [0.0] * 8), (0, items + n + 21, (-centres[3]).tolist()), (0, items + n + 22, (2 * np.array(rows[5][2])).tolist())]
+    return rows + [(1, i, rnd.normal(size=8).tolist()) for i in range(30)]
+
+
+def test_blocks_too_far_apart_are_left_out(spark, monkeypatch):
+    full, sample = clustered(1, 400), clustered(2, 300, 10_000)
+    sides = frame(spark, full), frame(spark, sample)
+    whole = sorted(map(tuple, coverage.cosine_maxima(*sides).collect()))
+    monkeypatch.setattr(coverage, "CELL", 6)
+    pairs = coverage.block_pairs(*sides, block=16)
+    assert sorted(map(tuple, coverage.cosine_maxima(*sides, block=16).collect())) == whole
+    products = pairs.where("key = 0").agg(F.sum(F.size("full") * F.size("sample"))).first()[0]
+    assert products < 0.35 * 401 * 301
+    # In no direction more than another, hardly a pair can be left out, and the result is the same.
+    rnd = np.random.default_rng(3)
+    even = [frame(spark, [(0, i, rnd.normal(size=8).tolist()) for i in range(n)]) for n in (150, 90)]
+    direct = sorted(map(tuple, coverage.cosine_maxima(*even).collect()))
+    assert sorted(map(tuple, coverage.cosine_maxima(*even, block=16).collect())) == direct
+
+
 def test_pairs_are_not_emitted(spark, sides):
     full, sample = sides
     maxima = coverage.cosine_maxima(frame(spark, full), frame(spark, sample), block=8)

@@ -234,6 +234,54 @@ def test_embed_is_unit_length(spark, make_lengths):
     assert np.isclose(np.linalg.norm(infer.embed(df, make_lengths).first().vector), 1.0, atol=1e-6)
 
 
+def test_a_run_that_ends_goes_on_where_it_was(spark, tmp_path):
+    calls, broken = str(tmp_path / "calls"), str(tmp_path / "broken")
+    os.makedirs(calls)
+
+    def make():
+        def complete(p):
+            with open(f"{calls}/{p}", "a") as f:
+                f.write("x")
+            if p == "p17" and os.path.exists(broken):
+                raise SystemExit("the worker is gone")
+            if p.startswith("bad"):
+                raise RuntimeError("no")
+            return p[::-1]
+
+        return complete
+
+    rows = [(i, f"p{i}") for i in range(40)] + [(50, "p3"), (51, "bad"), (52, None)]
+    df = spark.createDataFrame(rows, "id int, prompt string")
+    options = {"attempts": 2, "wait": 0.0, "wave": 5, "parallelism": 1}
+    open(broken, "w").close()
+    with pytest.raises(Exception):
+        infer.complete_with_ledger(df, make, str(tmp_path / "ledger"), **options)
+    known = {r.response[::-1] for r in infer._ledger(spark, str(tmp_path / "ledger")).where("response IS NOT NULL").collect()}
+    assert known and "p17" not in known
+    os.remove(broken)
+    times = lambda p: os.path.getsize(f"{calls}/{p}") if os.path.exists(f"{calls}/{p}") else 0
+    before = {p: times(p) for p in known}
+    got = {r.id: (r.response, r.error) for r in infer.complete_with_ledger(df, make, str(tmp_path / "ledger"), **options).collect()}
+    assert all(got[i] == (p[::-1], None) for i, p in rows[:41]) and got[51] == (None, "RuntimeError: no") and got[52] == (None, None)
+    # What was committed is not called again; only the broken wave is.
+    assert {p: times(p) for p in known} == before and set(before.values()) == {1}
+    assert sum(times(f"p{i}") > 1 for i in range(40)) <= 15 and times("p3") <= 2
+    again = infer.complete_with_ledger(df, make, str(tmp_path / "ledger"), **options)
+    assert again.count() == len(rows) and {p: times(p) for p in known} == before
+
+
+def test_calls_are_no_more_than_allowed(spark, tmp_path):
+    import time
+
+    def make():
+        return lambda p: p
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(12)], "id int, prompt string")
+    started = time.time()
+    assert infer.complete_with_ledger(df, make, str(tmp_path / "ledger"), parallelism=2, per_second=6.0).where("response = prompt").count() == 12
+    assert time.time() - started > 1.4
+
+
 def test_failed_completions_keep_their_row(spark):
     def make():
         def complete(p):

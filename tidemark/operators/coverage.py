@@ -2,9 +2,10 @@
 
 The reference quantity is the row and column maxima of a similarity matrix.  The matrix is never
 built and its pairs are never emitted: distinct vectors of a key are packed into blocks of bounded
-size, every pair of blocks is one row of an ordinary join, and a task multiplies the two small
+size, pairs of blocks are rows of an ordinary join, and a task multiplies the two small
 matrices of a row and returns only the maxima, which an ordinary aggregate combines.  Copies collapse
-before the product, so a group of equal vectors costs one entry however large it is.
+before the product, so a group of equal vectors costs one entry however large it is.  Blocks of large keys
+hold vectors that are near one pivot, and pairs of blocks that are too far apart to hold a maximum are left out.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import preview
+from tidemark.functions.vectors import l2_normalise
 from tidemark.plans.lineage import cut
 from tidemark.plans.skew import hot_keys, salted_join
 
@@ -24,6 +26,9 @@ from tidemark.plans.skew import hot_keys, salted_join
 # multiplies STRIP rows of a block at a time.
 BLOCK = 8192
 STRIP = 1024
+# Vectors of larger keys are dealt to about one pivot for CELL vectors, and at most PIVOTS.
+CELL = 2048
+PIVOTS = 2048
 STEPS = 20
 DIGITS = 12
 
@@ -108,6 +113,136 @@ def _block_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def _with_cells(vectors: DataFrame, pivots: DataFrame, item_type: str, key_type: str, entry: str) -> DataFrame:
+    """`vectors` of `key, side, item, copies, vector` with the nearest pivot of their key and how far it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                rows, centres = batch["rows"].slice(r, 1).flatten(), batch["pivots"].slice(r, 1).flatten()
+                x = _unit_matrix(rows, 0, len(rows))
+                p = _unit_matrix(pa.StructArray.from_arrays([centres], ["vector"]), 0, len(centres))
+                if x.shape[1] != p.shape[1]:
+                    raise ValueError("vectors of different lengths")
+                far, cell = [], []
+                for i in range(0, len(x), STRIP):
+                    d = _chords(x[i: i + STRIP], p)
+                    cell.append(d.argmin(axis=1).astype(np.int32))
+                    far.append(d.min(axis=1))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([batch["key"][r].as_py()] * len(rows), batch["key"].type),
+                        *[rows.field(c) for c in ("side", "item", "copies", "vector")],
+                        pa.array(np.concatenate(cell)), pa.array(np.concatenate(far)),
+                    ],
+                    names=["key", "side", "item", "copies", "vector", "cell", "far"],
+                )
+
+    sizes = vectors.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("_parts"))
+    packed = (
+        vectors.join(sizes, "key")
+        .withColumn("_part", F.pmod(F.xxhash64("vector"), F.col("_parts")).cast("int"))
+        .groupBy("key", "_part").agg(F.collect_list(F.struct("side", "item", "copies", "vector")).alias("rows"))
+    )
+    return packed.join(pivots, "key").select("key", "rows", "pivots").mapInArrow(
+        run, f"key {key_type}, side string, item {item_type}, copies bigint, vector {entry}, cell int, far double"
+    )
+
+
+def _chords(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distances of unit vectors (or zero ones) through the ball."""
+    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(squares, 0))
+
+
+def _near_cells(cells: DataFrame, pivots: DataFrame) -> DataFrame:
+    """`key, mine, theirs`: cells of the full side and of the sample that may hold a maximum of each other.
+
+    Vectors of two cells are no farther apart than `most` and no nearer than `least`, by the triangle inequality.  The
+    maximum of any vector of a cell is within the least `most` of the cell, so a pair that is farther for
+    both of its cells is not needed.
+    """
+    places = pivots.select("key", F.posexplode("pivots").alias("cell", "_p"))
+    unit = l2_normalise(F.col("_p"))
+    sides = cut(cells.join(places, ["key", "cell"]).select("key", "side", "cell", "reach", unit.alias("at")), "cells")
+    mine = sides.where("side = 'full'").select("key", F.col("cell").alias("mine"), F.col("reach").alias("r"), F.col("at").alias("p"))
+    theirs = sides.where("side = 'sample'").select("key", F.col("cell").alias("theirs"), F.col("reach").alias("s"), F.col("at").alias("q"))
+    squares = F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    between = mine.join(theirs, "key").select("key", "mine", "theirs", F.sqrt(squares).alias("d"), "r", "s")
+    # Lengths through the ball and products are rounded differently; the room covers products that are rounded to
+    # the same digits.
+    room = F.lit(1e-7)
+    most = F.col("d") + F.col("r") + F.col("s") + room
+    least = F.greatest(F.col("d") - F.col("r") - F.col("s") - room, F.lit(0.0))
+    bounded = between.withColumn("_most", most).withColumn("_least", least)
+    for side in ("mine", "theirs"):
+        bounded = bounded.withColumn(f"_{side}", F.min("_most").over(Window.partitionBy("key", side)))
+    # A vector of zeros has no direction: its product is 0 with any, which is no length through the ball.
+    return bounded.where(
+        (F.col("_least") * F.col("_least") <= F.greatest("_mine", "_theirs") * F.greatest("_mine", "_theirs") + F.lit(1e-10))
+    ).select("key", "mine", "theirs")
+
+
+def block_pairs(
+    full: DataFrame, sample: DataFrame, *, key: str = "key", item: str = "item", vector: str = "vector", block: int = BLOCK
+) -> DataFrame:
+    """`key, full, sample`: the pairs of blocks that must be multiplied to find all maxima of both sides.
+
+    Keys of one block on each side are one pair.  The distinct vectors of larger keys are dealt to the nearest of some
+    pivots, and blocks of two cells meet only if they can hold a maximum.  Zero vectors are blocks of their
+    own that meet all others.
+    """
+    key_type, item_type = full.schema[key].dataType.simpleString(), full.schema[item].dataType.simpleString()
+    entry = "array<double>"
+    f_blocks = _block_counts(full, key, vector, "full", block)
+    s_blocks = _block_counts(sample, key, vector, "sample", block)
+    # Only keys present on both sides go on.
+    blocks = cut(f_blocks.join(s_blocks, key).withColumn("_large", F.col("_full_blocks") * F.col("_sample_blocks") > 1), "block-counts")
+
+    def of(side: DataFrame, large: bool) -> DataFrame:
+        wanted = blocks.where(F.col("_large") == large).select(key)
+        # Hot keys are found from the per-key counts, not from the vectors.
+        hot = hot_keys(blocks.withColumn("_n", F.col("_n_full") + F.col("_n_sample")), [key], rows=F.col("_n"))
+        kept = salted_join(_distinct_vectors(side, key, item, vector), wanted, [key], spread=["item"], hot=hot)
+        return kept.select(F.col(key).alias("key"), "item", "copies", F.col("vector").cast(entry).alias("vector"))
+
+    def packed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("item", "copies", "vector"))).alias(name))
+
+    pairs = packed(of(full, False), ["key"], "full").join(packed(of(sample, False), ["key"], "sample"), "key").select("key", "full", "sample")
+    if blocks.where("_large").isEmpty():
+        return pairs
+    both = cut(
+        of(full, True).withColumn("side", F.lit("full")).unionByName(of(sample, True).withColumn("side", F.lit("sample"))), "vectors"
+    )
+    empty = F.coalesce(F.forall("vector", lambda x: x == 0), F.lit(False))
+    points = both.where(~empty)
+    chance = F.pmod(F.xxhash64(F.lit("pivot"), "vector"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sizes = points.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(chance).alias("_first"))
+    share = F.least(F.ceil(F.col("_n") / CELL), F.lit(PIVOTS)) / F.col("_n")
+    chosen = points.join(sizes, "key").where((chance <= share) | (chance == F.col("_first"))).select("key", "vector").distinct()
+    pivots = cut(chosen.groupBy("key").agg(F.array_sort(F.collect_list("vector")).alias("pivots")), "pivots")
+    placed = _with_cells(points, pivots, item_type, key_type, entry)
+    zeros = both.where(empty).select("key", "side", "item", "copies", "vector", F.lit(-1).alias("cell"), F.lit(0.0).alias("far"))
+    placed = cut(placed.unionByName(zeros), "placed")
+    cells = placed.groupBy("key", "side", "cell").agg(F.max("far").alias("reach"), F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_slices"))
+    cells = cut(cells, "cell-sizes")
+    nearby = _near_cells(cells.where("cell >= 0"), pivots)
+    # Zero vectors meet everything, and what has only zeros on the other side, or may be nearest to them, too.
+    own = {s: cells.where(F.col("side") == s).select("key", F.col("cell").alias(c)) for s, c in (("full", "mine"), ("sample", "theirs"))}
+    for side, other, mine, theirs in (("full", "sample", "mine", "theirs"), ("sample", "full", "theirs", "mine")):
+        with_zeros = own[side].where(F.col(mine) == -1).join(own[other], "key").select("key", "mine", "theirs")
+        nearby = nearby.unionByName(with_zeros)
+    nearby = nearby.distinct()
+    sliced = placed.join(cells.select("key", "side", "cell", "_slices"), ["key", "side", "cell"]).withColumn(
+        "_slice", F.pmod(F.xxhash64("vector"), F.col("_slices")).cast("int")
+    )
+    left = packed(sliced.where("side = 'full'"), ["key", "cell", "_slice"], "full").select("key", F.col("cell").alias("mine"), "full")
+    right = packed(sliced.where("side = 'sample'"), ["key", "cell", "_slice"], "sample").select("key", F.col("cell").alias("theirs"), "sample")
+    met = left.join(nearby, ["key", "mine"]).join(right, ["key", "theirs"]).select("key", "full", "sample")
+    return pairs.unionByName(met)
+
+
 def cosine_maxima(
     full: DataFrame,
     sample: DataFrame,
@@ -126,27 +261,7 @@ def cosine_maxima(
     """
     key_type = full.schema[key].dataType.simpleString()
     item_type = full.schema[item].dataType.simpleString()
-    f_blocks = _block_counts(full, key, vector, "full", block)
-    s_blocks = _block_counts(sample, key, vector, "sample", block)
-    # Only keys present on both sides go on.
-    blocks = f_blocks.join(s_blocks, key)
-
-    def packed(side: DataFrame, counts: DataFrame, own: str, other: str) -> DataFrame:
-        # Hot keys are found from the per-key counts, not from the vectors.
-        hot = hot_keys(counts, [key], rows=F.col(f"_n_{own}"))
-        placed = salted_join(_distinct_vectors(side, key, item, vector), blocks, [key], spread=["item"], hot=hot)
-        # A block holds about `block` vectors, however many its key has.
-        return (
-            placed.withColumn(f"_{own}", F.pmod(F.xxhash64("vector"), F.col(f"_{own}_blocks")).cast("int"))
-            .groupBy(F.col(key).alias("key"), f"_{own}", f"_{other}_blocks")
-            .agg(F.array_sort(F.collect_list(F.struct("item", "copies", "vector"))).alias(own))
-            .withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(f"_{other}_blocks") - 1)))
-            .drop(f"_{other}_blocks")
-        )
-
-    pairs = packed(full, f_blocks, "full", "sample").join(
-        packed(sample, s_blocks, "sample", "full"), ["key", "_full", "_sample"]
-    )
+    pairs = block_pairs(full, sample, key=key, item=item, vector=vector, block=block)
     parts = pairs.select("key", "full", "sample").mapInArrow(
         _block_maxima,
         f"key {key_type}, side string, item {item_type}, copies bigint, cosine double, partner {item_type}",

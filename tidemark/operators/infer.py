@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import scores
 from tidemark.functions.vectors import l2_normalise
+from tidemark.plans.lineage import cut
 
 
 def batch_infer(
@@ -103,3 +104,80 @@ def complete_prompts(
 
     source = prompts if parallelism is None else prompts.repartition(parallelism)
     return source.mapInPandas(run, schema)
+
+
+LEDGER = "hash string, response string, error string, attempts int"
+
+
+def _ledger(spark, path: str) -> DataFrame:
+    """What a ledger holds; nothing before its first wave is written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    known = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(LEDGER).parquet(path) if known else spark.createDataFrame([], LEDGER)
+
+
+def complete_with_ledger(
+    prompts: DataFrame,
+    make_complete: Callable[[], Callable[[str], str]],
+    ledger: str,
+    *,
+    column: str = "prompt",
+    out: str = "response",
+    attempts: int = 3,
+    wait: float = 1.0,
+    wave: int = 10_000,
+    parallelism: int = 8,
+    per_second: float | None = None,
+) -> DataFrame:
+    """`out` and `error` as `complete_prompts` gives them, from a table of answers that is kept and added to.
+
+    Only prompts without an answer in `ledger` (a path that all executors reach) are called, equal ones once.  They go in
+    waves of about `wave`; a wave's answers are committed together, so a run that ends in the middle and is started
+    again repeats no earlier wave.  A failed call is tried `attempts` times, waiting `wait` seconds and then twice as
+    long each time; what failed in the end is tried again by the next run.  Calls in flight are at most `parallelism`,
+    and together no more than `per_second`.  A null prompt is not called and has neither answer nor error.
+    """
+    spark = prompts.sparkSession
+    key = F.sha2(F.col(column), 256)
+    # The share of each task in what may be called each second.
+    gap = parallelism / per_second if per_second else 0.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        complete, free = make_complete(), 0.0
+
+        def one(prompt):
+            nonlocal free
+            for tried in range(1, attempts + 1):
+                time.sleep(max(0.0, free - time.monotonic()))
+                free = time.monotonic() + gap
+                try:
+                    return complete(prompt), None, tried
+                except Exception as e:  # one failed call must not fail the others
+                    error = f"{type(e).__name__}: {e}"
+                if tried < attempts:
+                    time.sleep(wait * 2 ** (tried - 1))
+            return None, error, attempts
+
+        for batch in batches:
+            done = [one(p) for p in batch["prompt"]]
+            yield pd.DataFrame({
+                "hash": batch["hash"], "response": pd.Series([d[0] for d in done], dtype=object, index=batch.index),
+                "error": pd.Series([d[1] for d in done], dtype=object, index=batch.index), "attempts": pd.Series([d[2] for d in done], dtype="int32", index=batch.index),
+            })
+
+    wanted = prompts.where(F.col(column).isNotNull()).select(key.alias("hash"), F.col(column).alias("prompt")).groupBy("hash").agg(F.first("prompt").alias("prompt"))
+    answered = _ledger(spark, ledger).where("response IS NOT NULL").select("hash")
+    # Stored: while answers come in, what is left to ask must stay as it is.
+    left = cut(wanted.join(answered, "hash", "left_anti"), "open-prompts")
+    waves = max(1, -(-left.count() // wave))
+    number = F.pmod(F.xxhash64("hash"), F.lit(waves))
+    for i in range(waves):
+        some = left.where(number == i)
+        if not some.isEmpty():
+            some.repartition(parallelism).mapInPandas(run, LEDGER).write.mode("append").parquet(ledger)
+    # The answer, or else the latest error; a prompt may have failed in several runs.
+    told = _ledger(spark, ledger).groupBy("hash").agg(F.max("response").alias(out), F.max_by("error", "attempts").alias("error"))
+    told = told.withColumn("error", F.when(F.col(out).isNull(), F.col("error")))
+    return prompts.withColumn("_hash", key).join(told.withColumnRenamed("hash", "_hash"), "_hash", "left").drop("_hash")

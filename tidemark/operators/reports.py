@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,3 +73,65 @@ def parse_llm_json(replies: DataFrame, struct: T.StructType, column: str = "repl
         .withColumn("error", F.when(~good, F.lit("reply is not the expected JSON")))
         .drop("_p")
     )
+
+
+# Fixed value: a fenced block of a reply, with or without a language.
+FENCE = "```[A-Za-z]*\\s*([\\s\\S]*?)```"
+
+
+def json_objects(text: Column) -> Column:
+    """Every outermost balanced `{...}` of a text, in order; braces and quotes inside JSON strings do not count.
+
+    A brace that is never closed hides what follows it.
+    """
+    none = F.array().cast("array<struct<low:int,high:int>>")
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("low"), none.alias("found")
+    )
+
+    def step(s: Column, c: Column) -> Column:
+        at = s["at"] + F.lit(1)
+        opens = ~s["quoted"] & (c == "{")
+        closes = ~s["quoted"] & (c == "}") & (s["depth"] > 0)
+        depth = s["depth"] + opens.cast("int") - closes.cast("int")
+        # Outside of an object a quotation mark is prose.
+        marks = (c == '"') & ~s["escaped"] & (s["depth"] > 0)
+        low = F.when(opens & (s["depth"] == 0), at).otherwise(s["low"])
+        ends = closes & (depth == 0)
+        return F.struct(
+            depth.alias("depth"), F.when(marks, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
+            (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"), at.alias("at"), low.alias("low"),
+            F.when(ends, F.concat(s["found"], F.array(F.struct(low.alias("low"), at.alias("high"))))).otherwise(s["found"]).alias("found"),
+        )
+
+    spans = F.aggregate(F.split(text, ""), start, step, lambda s: s["found"])
+    return F.transform(spans, lambda p: F.substring(text, p["low"], p["high"] - p["low"] + F.lit(1)))
+
+
+def parse_reply_json(replies: DataFrame, struct: T.StructType, column: str = "reply") -> DataFrame:
+    """`parsed`: the first object of a reply that is JSON of `struct`, whatever prose or fences are around it.
+
+    Fenced blocks come first, then the whole reply.  Without such an object `parsed` is null and `error` tells whether
+    there was no object or none of the expected kind.
+    """
+    reply = F.coalesce(F.col(column), F.lit(""))
+    fenced = F.flatten(F.transform(F.regexp_extract_all(reply, F.lit(FENCE), F.lit(1)), json_objects))
+    with_raw = T.StructType([*struct.fields, T.StructField("_corrupt_record", T.StringType())])
+
+    def read(text: Column) -> Column:
+        return F.from_json(text, with_raw, {"mode": "PERMISSIVE"})
+
+    # A field at least: any other object in braces is not what was asked for.
+    def fits(text: Column) -> Column:
+        some = F.array_contains(F.array(*[read(text)[f.name].isNotNull() for f in struct.fields]), True)
+        return read(text)["_corrupt_record"].isNull() & some
+
+    found = replies.withColumn("_all", F.concat(fenced, json_objects(reply)))
+    found = found.withColumn("_text", F.try_element_at(F.filter("_all", fits), F.lit(1)))
+    fields = F.struct(*[read(F.col("_text"))[f.name].alias(f.name) for f in struct.fields])
+    error = F.when(F.size("_all") == 0, "no object in the reply").otherwise("no object of the expected kind")
+    return (
+        found.withColumn("parsed", F.when(F.col("_text").isNotNull(), fields))
+        .withColumn("error", F.when(F.col("_text").isNull(), error))
+        .drop("_all", "_text")
+    )
