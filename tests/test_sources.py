@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import coerce_date
 from tidemark.operators import clean, prompts, risk
-from tidemark.sources import archives, reports, tables
+from tidemark.sources import archives, records, reports, tables
 
 
 def writing(date="2020-01-01", title="t", info="i", text="x"):
@@ -148,3 +148,33 @@ def test_verdicts_need_scores_and_letters(spark, tmp_path):
         (tmp_path / name).write_text(content)
     got = reports.read_eval_json(spark, str(tmp_path / "eval_*.json"))
     assert sorted(r.subject_id for r in got.collect()) == ["a+b", "u 4"]
+
+
+@pytest.mark.parametrize("size", ["64", "700", "100000"])
+def test_csv_in_parts_is_read_as_a_whole(spark, tmp_path, size):
+    import random
+
+    rng = random.Random(int(size))
+    pieces = ["plain", 'a "quoted" word', "line\nbreak", "two\n\nbreaks\n", "comma, here", "", " padded ", '"', '""', "x" * 300, "é\n日本", "\n", '","', "cr\r\nlf"]
+    for name, ending in (("a", "\n"), ("b", "\r\n")):
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator=ending)
+            w.writerow(["id", " Text", 'odd "name"'])
+            for i in range(150):
+                w.writerow([i, rng.choice(pieces) + rng.choice(pieces), rng.choice(pieces)])
+            if name == "a":
+                w.writerow([999, "very long " + "line\n" * 400, "end"])
+                f.write("\n\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = records.read_csv(spark, str(tmp_path), tables.CSV)
+        assert got.columns == ["id", " Text", 'odd "name"']
+        parts = spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions()
+        rows = sorted(map(tuple, got.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert parts > {"64": 50, "700": 5, "100000": 0}[size]
+    whole = spark.read.options(**tables.CSV).option("multiLine", "true").csv(str(tmp_path))
+    assert rows == sorted(map(tuple, whole.collect()), key=str)
+    assert len(rows) == 301

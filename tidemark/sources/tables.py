@@ -12,6 +12,7 @@ from tidemark.functions.dates import DATE_FORMATS
 from tidemark.operators.clean import typed_posts
 from tidemark.schema import LABELS, POST_COLUMNS
 from tidemark.sources.ids import with_ids
+from tidemark.sources.records import read_csv
 
 # Quotes inside a field are doubled, as CSV writers other than Spark's do by default.
 CSV = {"header": "true", "quote": '"', "escape": '"'}
@@ -29,10 +30,10 @@ def load_posts_csv(
 ) -> DataFrame:
     """Classified posts from CSV, with our column names and types, and an `id` where the files have none.
 
-    Fields may hold line breaks, so a file is read by one task; write the result as Parquet once, or
-    pass `multi_line=False` for files known to have none.  Unknown columns keep their stripped names.
+    Fields may hold line breaks; a file is read in parts by many tasks all the same.  `multi_line=False` spares a pass
+    over files known to have none.  Unknown columns keep their stripped names.
     """
-    raw = spark.read.options(**CSV).option("multiLine", str(multi_line).lower()).csv(path)
+    raw = read_csv(spark, path, CSV) if multi_line else spark.read.options(**CSV).csv(path)
     stripped = [name.strip() for name in raw.columns]
     posts = raw.toDF(*[POST_COLUMNS.get(name, name) for name in stripped])
     missing = {"subject_id", "date", "text"} - set(posts.columns)
