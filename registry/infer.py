@@ -42,13 +42,13 @@ def make_stub_classifier():
     return predict
 
 
-@query(
-    "batch_infer",
-    """WITH l AS (SELECT doc_id, length(text) % 7 AS a, (length(text) - length(regexp_replace(text, '[aeiou]', '', 'g'))) % 5 AS b, 2 AS c FROM documents)
+INFER_SQL = """WITH l AS (SELECT doc_id, length(text) % 7 AS a, (length(text) - length(regexp_replace(text, '[aeiou]', '', 'g'))) % 5 AS b, 2 AS c FROM documents)
     SELECT doc_id, CAST(CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS INTEGER) AS predicted_label,
     round(exp(a) / (exp(a) + exp(b) + exp(c)), 6) AS prob_not, round(exp(b) / (exp(a) + exp(b) + exp(c)), 6) AS prob_moderate,
-    round(exp(c) / (exp(a) + exp(b) + exp(c)), 6) AS prob_severe FROM l""",
-)
+    round(exp(c) / (exp(a) + exp(b) + exp(c)), 6) AS prob_severe FROM l"""
+
+
+@query("batch_infer", INFER_SQL)
 def batch_infer(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return infer.classify(docs, make_stub_classifier, batch_size=64).select(
@@ -56,6 +56,14 @@ def batch_infer(spark, d):
     )
 
 
+@query("infer_once", INFER_SQL)
+def infer_once(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return infer.with_probabilities(infer.infer_once(docs, make_stub_classifier)).select(
+        "doc_id", "predicted_label", r6("prob_not"), r6("prob_moderate"), r6("prob_severe")
+    )
+
+
 def make_echo():
     """Stands in for a language model: answers in capitals and fails on every text with a "Z"."""
 

@@ -234,6 +234,28 @@ def test_embed_is_unit_length(spark, make_lengths):
     assert np.isclose(np.linalg.norm(infer.embed(df, make_lengths).first().vector), 1.0, atol=1e-6)
 
 
+def test_equal_texts_are_inferred_once(spark, tmp_path):
+    calls = str(tmp_path)
+
+    def make():
+        def predict(texts):
+            with open(f"{calls}/{os.getpid()}", "a") as f:
+                f.write(f"{len(texts)} {max(len(t.encode()) for t in texts)} {sum(len(t.encode()) for t in texts)}\n")
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return predict
+
+    texts = ["copied text"] * 300 + [f"text {'x' * (i % 90)} {i}" for i in range(200)] + ["", None, "é" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(5)
+    got = {r.id: r.logits for r in infer.infer_once(df, make, batch_size=16, batch_bytes=1000).collect()}
+    assert got == {i: None if t is None else [float(len(t)), 1.0] for i, t in enumerate(texts)}
+    batches = [tuple(map(int, line.split())) for name in os.listdir(calls) for line in open(f"{calls}/{name}")]
+    assert sum(n for n, _, _ in batches) == 203
+    assert all(n <= 16 and (n == 1 or n * longest <= 1000) for n, longest, _ in batches)
+    # Little is lost to padding.
+    assert sum(n * longest for n, longest, _ in batches) < 1.3 * sum(total for *_, total in batches)
+
+
 def test_a_run_that_ends_goes_on_where_it_was(spark, tmp_path):
     calls, broken = str(tmp_path / "calls"), str(tmp_path / "broken")
     os.makedirs(calls)

@@ -24,8 +24,8 @@ def con():
 # Queries whose last plan unzips, multiplies blocks, projects texts, cuts records or calls a model; no other may leave the JVM.
 PYTHON = {
     "ingest_zip_xml", "batch_infer", "complete_prompts", "cosine_maxima", "best_match", "matched_only", "coverage_metrics",
-    "coverage_sensitivity", "topic_ground_truth", "text_coverage", "topic_coverage", "embed_text", "factor_text", "nearest_neighbours",
-    "load_posts_csv", "recent_posts_of_csv", "prompts_of_csv",
+    "coverage_sensitivity", "topic_ground_truth", "text_coverage", "topic_coverage", "embed_text", "factor_text", "nearest_neighbours", "infer_once",
+    "load_posts_csv", "recent_posts_of_csv", "prompts_of_csv", "user_text_of_csv",
 }
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas")
 

@@ -106,6 +106,48 @@ def complete_prompts(
     return source.mapInPandas(run, schema)
 
 
+def infer_once(
+    df: DataFrame,
+    make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]],
+    *,
+    column: str = "text",
+    out: str = "logits",
+    batch_size: int = 64,
+    batch_bytes: int = 1 << 18,
+) -> DataFrame:
+    """`out` as `batch_infer` gives it, but equal texts are inferred once and batches hold texts of like length.
+
+    A batch has at most `batch_size` texts and, but for a longer single text, `batch_bytes` bytes counted at the length of
+    its longest text, as models pad to it.  Null texts are not inferred and have a null `out`.
+    """
+    key = F.sha2(F.col(column), 256)
+    texts = df.where(F.col(column).isNotNull()).select(key.alias("hash"), F.col(column).alias("text")).groupBy("hash").agg(F.first("text").alias("text"))
+    # Sorted by length in each task; hashes deal long and short texts evenly.
+    dealt = texts.repartition("hash").withColumn("size", F.octet_length("text")).sortWithinPartitions("size", "hash")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict, held = make_predict(), []
+
+        def told():
+            answers = np.asarray(predict(np.array([t for _, t, _ in held], dtype=object)), dtype=np.float64)
+            found = pd.DataFrame({"hash": [h for h, _, _ in held], "answer": [row.tolist() for row in answers.reshape(len(held), -1)]})
+            held.clear()
+            return found
+
+        for batch in batches:
+            for row in zip(batch["hash"], batch["text"], batch["size"]):
+                # The next one is the longest so far.
+                if held and (len(held) == batch_size or (len(held) + 1) * row[2] > batch_bytes):
+                    yield told()
+                held.append(row)
+        if held:
+            yield told()
+
+    answers = dealt.mapInPandas(run, "hash string, answer array<double>").select(F.col("hash").alias("_hash"), F.col("answer").alias(out))
+    # Copies of one text may be most rows; the join has one row for each text on the other side.
+    return df.withColumn("_hash", key).join(answers, "_hash", "left").drop("_hash")
+
+
 LEDGER = "hash string, response string, error string, attempts int"
 
 
