@@ -84,6 +84,20 @@ def test_trie_links_whatever_is_near(spark, node_prints):
     assert got == want
 
 
+def test_crowded_nodes_keep_their_links(spark):
+    # Differing bits high up in both halves, and more prints below them than a task takes.
+    flips = (60, 56, 28, 24)
+    below = [sum(1 << b for k, b in enumerate((0, 6, 12, 33, 39, 45)) if i >> k & 1) for i in range(64)]
+    prints = [x ^ y for x in (0, sum(1 << b for b in flips)) for y in below]
+    signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
+    place = {p: i for i, p in enumerate(signed)}
+    # The two crowds are linked by 4 bits and apart by 3.
+    for bits in (4, 3):
+        links = simhash.near_links(spark.createDataFrame([(p,) for p in signed], "print bigint"), bits, 4)
+        got = groups(len(prints), [(place[r["u"]], place[r["v"]]) for r in links.collect()])
+        assert got == groups(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= bits])
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (201, 200), (300, 1_000)]
     pairs += [(500, 501 + i) for i in range(30)]

@@ -98,11 +98,12 @@ def _node_pairs(prints: DataFrame, bits: int, node_prints: int) -> DataFrame:
             right = nodes.select(parent.alias("b"), F.col("node").alias("cb"), F.col("n").alias("nb"))
             budget = half if level * STEP_BITS <= 32 else bits
             pairs = (
-                pairs.select("a", "b", "err").join(left, "a").join(right, "b")
+                pairs.select("a", "b").join(left, "a").join(right, "b")
                 .where((F.col("a") != F.col("b")) | (F.col("ca") <= F.col("cb")))
                 .select(
                     F.col("ca").alias("a"), F.col("cb").alias("b"),
-                    (F.col("err") + F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))).alias("err"),
+                    # A node is named by its whole prefix, so this is all that differs down to here.
+                    F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))).alias("err"),
                     (F.col("na") + F.col("nb")).alias("n"),
                 )
                 .where(F.col("err") <= F.lit(budget))
