@@ -2,8 +2,10 @@
 
 Points are dealt to the nearest of some pivots.  The distance of two pivots and the largest distances in their
 cells bound how near and how far points of two cells can be, so a cell meets only those that can hold one of its
-k nearest: the others cannot.  A block of a cell sees its blocks of partners nearest first, in one sorted stream, and
-skips those beyond what it has; a task holds one block and its best partners.
+k nearest: the others cannot.  Cells that are near each other are a group, and a group sees the blocks of partners
+that any of its cells wants, its own and the nearest first, in one sorted stream; each cell skips those beyond what it has.
+A task holds the points of one group and their best partners, and a block travels once for a group, not for each cell.
+There are no more groups than keep the tasks busy unless one would not fit a task, so what travels grows with the points.
 
 Pivots are a sample of the points and only guide the work; the result does not depend on them.  There are at most
 PIVOTS for each corpus, so cells grow beyond that many times CELL points.
@@ -24,6 +26,9 @@ CELL = 768
 BLOCK = 1024
 PIVOTS = 4096
 STRIP = 256
+# Groups of a corpus for each task that runs at once, and the most that the points of a group and their partners take.
+WAVES = 2
+GROUP_BYTES = 64_000_000
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -31,7 +36,10 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def _matrix(lists: pa.ListArray) -> np.ndarray:
-    return np.array(lists.to_pylist(), np.float64)
+    sizes = np.diff(lists.offsets.to_numpy())
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("points of different lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), sizes[0] if len(sizes) else 0)
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,11 +92,51 @@ def _assigned(points: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _meetings(placed: DataFrame, pivots: DataFrame, by: list[str], k: int) -> DataFrame:
-    """`by, cell, other, least`: the cells that can hold one of the k nearest of a point of `cell`, and how near."""
+def _cells(placed: DataFrame, pivots: DataFrame, by: list[str]) -> DataFrame:
+    """`by, cell, n, reach, place`: the cells that have points, how many and how far from the pivot."""
     cells = placed.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("reach"))
-    places = pivots.select(*by, F.posexplode("pivots").alias("cell", "place"))
-    cells = cut(cells.join(places, [*by, "cell"]), "cells")
+    return cells.join(pivots.select(*by, F.posexplode("pivots").alias("cell", "place")), [*by, "cell"])
+
+
+def halved(places: np.ndarray, n: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each cell: halves of about equal points along the longest axis, again and again."""
+    out, todo, made = np.zeros(len(places), np.int32), [(np.arange(len(places)), groups)], 0
+    while todo:
+        cells, parts = todo.pop()
+        if parts < 2 or len(cells) < 2:
+            out[cells] = made
+            made += 1
+            continue
+        at = places[cells]
+        axis = int(np.ptp(at, axis=0).argmax()) if at.shape[1] else 0
+        order = cells[np.argsort(at[:, axis], kind="stable")] if at.shape[1] else cells
+        held = np.cumsum(n[order])
+        middle = int(np.searchsorted(held, held[-1] * (parts // 2) / parts)) + 1
+        middle = min(max(middle, 1), len(order) - 1)
+        todo += [(order[middle:], parts - parts // 2), (order[:middle], parts // 2)]
+    return out
+
+
+def _grouped(cells: DataFrame, by: list[str], k: int, at_once: int) -> DataFrame:
+    """`by, cell, group`: cells near each other together."""
+    kinds = ", ".join(f"{b} {cells.schema[b].dataType.simpleString()}" for b in by)
+    packed = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cell", "n", "place"))).alias("cells"))
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                rows = batch["cells"].slice(r, 1).flatten()
+                places, n = _matrix(rows.field("place")), rows.field("n").to_numpy()
+                fit = -(-int(n.sum()) * (8 * places.shape[1] + 24 * k) // GROUP_BYTES)
+                group = halved(places, n, max(at_once, fit))
+                own = [pa.array([batch[b][r].as_py()] * len(rows), batch[b].type) for b in by]
+                yield pa.RecordBatch.from_arrays([*own, rows.field("cell"), pa.array(group)], [*by, "cell", "group"])
+
+    return packed.mapInArrow(run, f"{kinds}, cell int, group int")
+
+
+def _meetings(cells: DataFrame, by: list[str], k: int) -> DataFrame:
+    """`by, cell, other, least`: the cells that can hold one of the k nearest of a point of `cell`, and how near."""
     mine = cells.select(*by, "cell", F.col("reach").alias("r"), F.col("place").alias("p"))
     theirs = cells.select(*by, F.col("cell").alias("other"), F.col("reach").alias("s"), F.col("place").alias("q"), "n")
     between = mine.join(theirs, by).withColumn("d", _distance(F.col("p"), F.col("q"))).select(*by, "cell", "other", "r", "s", "d", "n")
@@ -109,17 +157,16 @@ class _Best:
     """The k nearest partners so far of the points of one block."""
 
     def __init__(self, rows: pa.StructArray, k: int):
-        self.rows, self.k = rows, k
-        self.own, self.x = rows.field("point").to_numpy(), _matrix(rows.field("coords"))
+        self.k = k
+        # Copies, as a view would hold the whole batch.
+        self.own, self.x = rows.field("point").to_numpy().copy(), _matrix(rows.field("coords"))
         self.d = np.full((len(self.x), k), np.inf)
         self.point = np.full((len(self.x), k), -1, np.int64)
         self.weight = np.zeros((len(self.x), k), np.int64)
 
-    def see(self, rows: pa.StructArray, least: float) -> None:
+    def see(self, point: np.ndarray, weight: np.ndarray, y: np.ndarray, least: float) -> None:
         if least * least > self.d[:, -1].max():
             return
-        point, weight = rows.field("point").to_numpy(), rows.field("weight").to_numpy()
-        y = _matrix(rows.field("coords"))
         yy = (y * y).sum(1)
         for low in range(0, len(self.x), STRIP):
             strip = slice(low, low + STRIP)
@@ -164,43 +211,60 @@ def nearest(points: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
         by, points = ["_all"], points.withColumn("_all", F.lit(0))
     points = cut(points, "points")
     placed = cut(_assigned(points, by), "placed")
-    meetings = _meetings(placed, _pivots(points, by), by, k)
+    spark = points.sparkSession
+    at_once = WAVES * spark.sparkContext.defaultParallelism
+    cells = cut(_cells(placed, _pivots(points, by), by), "cells")
+    grouped = cut(_grouped(cells, by, k, at_once), "groups")
     counts = placed.groupBy(*by, "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_blocks"))
     blocks = cut(
         placed.join(counts, [*by, "cell"]).withColumn("block", F.pmod(F.xxhash64("point"), F.col("_blocks")).cast("int"))
-        .groupBy(*by, "cell", "block").agg(F.array_sort(F.collect_list(F.struct("point", "weight", "coords"))).alias("points")), "blocks"
+        .groupBy(*by, "cell", "block").agg(F.array_sort(F.collect_list(F.struct("point", "weight", "coords"))).alias("points"))
+        .join(grouped, [*by, "cell"]), "blocks"
     )
-    own = blocks.select(*by, "cell", "block", F.lit(-1.0).alias("least"), F.lit(-1).alias("other"), F.lit(-1).alias("part"), "points")
-    others = blocks.select(*by, F.col("cell").alias("other"), F.col("block").alias("part"), "points")
-    met = (
-        blocks.select(*by, "cell", "block").join(meetings, [*by, "cell"]).join(others, [*by, "other"])
-        .select(*by, "cell", "block", "least", "other", "part", "points")
+    none = F.array().cast("array<struct<cell:int,least:double>>")
+    own = blocks.select(*by, "group", F.lit(-2.0).alias("least"), F.col("cell").alias("other"), F.col("block").alias("part"), none.alias("wanted"), "points")
+    # A block goes to each group where a cell wants it, with the cells and how near it may be to them.
+    wanted = (
+        _meetings(cells, by, k).join(grouped, [*by, "cell"]).groupBy(*by, "group", "other")
+        .agg(F.min("least").alias("least"), F.array_sort(F.collect_list(F.struct("cell", "least"))).alias("wanted"))
     )
-    names = [*by, "cell", "block"]
-    stream = own.unionByName(met).repartition(*names).sortWithinPartitions(*names, "least", "other", "part")
+    others = blocks.select(*by, F.col("cell").alias("other"), F.col("block").alias("part"), F.col("group").alias("_home"), "points")
+    met = wanted.join(others, [*by, "other"]).withColumn(
+        "least", F.when(F.col("_home") == F.col("group"), F.lit(-1.0)).otherwise(F.col("least"))
+    ).select(*by, "group", "least", "other", "part", "wanted", "points")
+    names = [*by, "group"]
+    # Groups of a corpus go to partitions side by side, so that none gets many.
+    parts = max(at_once, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = F.pmod(F.pmod(F.xxhash64(*by), F.lit(parts)) + F.col("group"), F.lit(parts)).cast("int")
+    stream = own.unionByName(met).repartitionById(parts, spread).sortWithinPartitions(*names, "least", "other", "part")
     kinds = ", ".join(f"{b} {points.schema[b].dataType.simpleString()}" for b in by)
 
-    def told(key, best):
-        found = best.result()
-        n = len(found[0])
-        return pa.RecordBatch.from_arrays(
-            [*[pa.array([v.as_py()] * n, v.type) for v in key[: len(by)]], *map(pa.array, found)], [*by, "point", "other", "distance", "weight"]
-        )
+    def told(key, held):
+        for best in (b for cell in held.values() for b in cell):
+            found = best.result()
+            n = len(found[0])
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([v.as_py()] * n, v.type) for v in key[: len(by)]], *map(pa.array, found)], [*by, "point", "other", "distance", "weight"]
+            )
 
     def run(batches):
-        key, best = None, None
+        key, held = None, {}
         for batch in batches:
             for r in range(batch.num_rows):
                 here = tuple(batch[c][r] for c in names)
-                rows, least = batch["points"].slice(r, 1).flatten(), batch["least"][r].as_py()
                 if here != key:
-                    if best is not None:
-                        yield told(key, best)
-                    key, best = here, _Best(rows, k)
-                else:
-                    best.see(rows, least)
-        if best is not None:
-            yield told(key, best)
+                    yield from told(key, held)
+                    key, held = here, {}
+                rows, other = batch["points"].slice(r, 1).flatten(), batch["other"][r].as_py()
+                if batch["least"][r].as_py() == -2.0:
+                    held.setdefault(other, []).append(_Best(rows, k))
+                    continue
+                block = rows.field("point").to_numpy(), rows.field("weight").to_numpy(), _matrix(rows.field("coords"))
+                wanted = batch["wanted"].slice(r, 1).flatten()
+                for cell, least in zip(wanted.field("cell").to_pylist(), wanted.field("least").to_pylist(), strict=True):
+                    for best in held[cell]:
+                        best.see(*block, least)
+        yield from told(key, held)
 
     found = stream.mapInArrow(run, f"{kinds}, point bigint, other bigint, distance double, weight bigint")
     return found.select(*keep, "point", "other", "distance", "weight")
