@@ -28,7 +28,9 @@ SPREAD = 8
 PRIME, STEP = 2_147_483_647, 48_271
 # Rows of a product are computed in chunks of one shape, so that equal texts get equal vectors.
 CHUNK = 512
-ENTRIES = 1 << 16
+ENTRIES = 1 << 15
+# Terms of a batch that are worked on at once: a batch may be of any size.
+PORTION = 1 << 19
 FAN_IN = 64
 STRIPE = 16
 
@@ -48,6 +50,16 @@ def weights_of(rows: DataFrame, places: int) -> np.ndarray:
     return np.log((texts + 1.0) / (found + 1.0))
 
 
+def _portions(lists: pa.ListArray) -> Iterator[slice]:
+    """The rows of a batch in parts of about PORTION terms, each of whole rows."""
+    ends = lists.offsets.to_numpy()
+    low = 0
+    while low < len(lists):
+        high = max(int(np.searchsorted(ends, ends[low] + PORTION, "right")) - 1, low + 1)
+        yield slice(low, high)
+        low = high
+
+
 class _Entries:
     """The weighted terms of a batch of texts: the row, place and weight of each, by row and place."""
 
@@ -111,18 +123,18 @@ def project_text(posts: DataFrame, dims: int = 512, column: str = "text", places
     weights = weights_of(placed.select(F.col("_places").alias("places")), places)
 
     @F.arrow_udf("array<float>")
-    def project(lists: pa.Array) -> pa.Array:
-        out = []
-        for low in range(0, len(lists), CHUNK):
-            some = lists.slice(low, CHUNK)
-            e = _Entries(some, weights)
-            total = np.zeros(len(some) * dims)
-            for k in range(SPREAD):
-                h = (e.place * pow(STEP, k + 1, PRIME) + k) % PRIME
-                sign = 1.0 - 2.0 * ((h // width) % 2)
-                total += np.bincount(e.row * dims + k * width + h % width, e.weight * sign, len(total))
-            out.append(_list_of(_scaled(total.reshape(len(some), dims))))
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float32()))
+    def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            for part in _portions(lists):
+                for low in range(part.start, part.stop, CHUNK):
+                    some = lists.slice(low, min(CHUNK, part.stop - low))
+                    e = _Entries(some, weights)
+                    total = np.zeros(len(some) * dims)
+                    for k in range(SPREAD):
+                        h = (e.place * pow(STEP, k + 1, PRIME) + k) % PRIME
+                        sign = 1.0 - 2.0 * ((h // width) % 2)
+                        total += np.bincount(e.row * dims + k * width + h % width, e.weight * sign, len(total))
+                    yield _list_of(_scaled(total.reshape(len(some), dims)))
 
     return placed.withColumn("vector", project("_places")).drop("_places")
 
@@ -195,14 +207,16 @@ def _core(sketched: DataFrame, basis: np.ndarray, weights: np.ndarray) -> np.nda
     def add(batches):
         total = np.zeros((places, k))
         for batch in batches:
-            q = np.frombuffer(b"".join(batch["y"].to_pylist())).reshape(batch.num_rows, -1) @ basis
-            e = _Entries(batch["places"], weights).unit()
-            order = np.argsort(e.place, kind="stable")
-            for low in range(0, len(order), ENTRIES):
-                at = order[low : low + ENTRIES]
-                place = e.place[at]
-                first = np.flatnonzero(np.diff(place, prepend=-1))
-                total[place[first]] += np.add.reduceat(q[e.row[at]] * e.weight[at][:, None], first, axis=0)
+            for part in _portions(batch["places"]):
+                some = batch.slice(part.start, part.stop - part.start)
+                q = np.frombuffer(b"".join(some["y"].to_pylist())).reshape(some.num_rows, -1) @ basis
+                e = _Entries(some["places"], weights).unit()
+                order = np.argsort(e.place, kind="stable")
+                for low in range(0, len(order), ENTRIES):
+                    at = order[low : low + ENTRIES]
+                    place = e.place[at]
+                    first = np.flatnonzero(np.diff(place, prepend=-1))
+                    total[place[first]] += np.add.reduceat(q[e.row[at]] * e.weight[at][:, None], first, axis=0)
         stripes = total.reshape(-1, STRIPE * k)
         used = np.flatnonzero(stripes.any(1))
         for low in range(0, len(used), 1 << 10):
@@ -221,7 +235,9 @@ def _core(sketched: DataFrame, basis: np.ndarray, weights: np.ndarray) -> np.nda
         b = held.reshape(STRIPE, k)
         yield {"data": pa.array([(out + b.T @ b).tobytes()], pa.binary())}
 
-    parts = _in_arrow(sketched.select("places", "y"), add, "stripe int, data binary")
+    # A part for each task of a wave and no more: what they send does not grow with the texts.
+    at_once = sketched.sparkSession.sparkContext.defaultParallelism
+    parts = _in_arrow(sketched.select("places", "y").coalesce(at_once), add, "stripe int, data binary")
     squares = _in_arrow(parts.repartition("stripe").sortWithinPartitions("stripe"), square, "data binary")
     total = combined(squares, lambda found: np.sum([np.frombuffer(x) for x in found], axis=0).tobytes())
     return np.frombuffer(total).reshape(k, k) if total else np.zeros((k, k))
@@ -244,13 +260,15 @@ def factor_text(
     def sketch(batches):
         signs = np.random.Generator(np.random.PCG64(seed)).integers(0, 2, (places, width), np.int8) * 2 - 1
         for batch in batches:
-            e = _Entries(batch["places"], weights).unit()
-            y = np.zeros((batch.num_rows, width))
-            for part in e.texts():
-                row = e.row[part]
-                first = np.flatnonzero(np.diff(row, prepend=-1))
-                y[row[first]] = np.add.reduceat(signs[e.place[part]] * e.weight[part][:, None], first, axis=0)
-            yield {id: batch[id], "places": batch["places"], "y": pa.array([r.tobytes() for r in y], pa.binary())}
+            for portion in _portions(batch["places"]):
+                some = batch.slice(portion.start, portion.stop - portion.start)
+                e = _Entries(some["places"], weights).unit()
+                y = np.zeros((some.num_rows, width))
+                for part in e.texts():
+                    row = e.row[part]
+                    first = np.flatnonzero(np.diff(row, prepend=-1))
+                    y[row[first]] = np.add.reduceat(signs[e.place[part]] * e.weight[part][:, None], first, axis=0)
+                yield {id: some[id], "places": some["places"], "y": pa.array([r.tobytes() for r in y], pa.binary())}
 
     kind = posts.schema[id].dataType.simpleString()
     sketched = cut(_in_arrow(found, sketch, f"{id} {kind}, places array<int>, y binary"), "sketched")
