@@ -23,9 +23,11 @@ from tidemark.plans.lineage import cut
 from tidemark.plans.skew import hot_keys, salted_join
 
 # Vectors of a block: a block travels once for each block of the other side, so blocks are large.  A task
-# multiplies STRIP rows of a block at a time.
+# multiplies as many rows of a block at a time as give PRODUCTS cosines or distances, and tells at most about
+# MAXIMA maxima at once.
 BLOCK = 8192
-STRIP = 1024
+PRODUCTS = 1 << 20
+MAXIMA = 1 << 15
 # Vectors of larger keys are dealt to about one pivot for CELL vectors, and at most PIVOTS.
 CELL = 2048
 PIVOTS = 2048
@@ -76,6 +78,27 @@ def _block_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         blocks = {side: batch.column(side) for side in ("full", "sample")}
         bounds = {side: b.offsets.to_numpy() for side, b in blocks.items()}
         found = {side: [] for side in blocks}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for side, other in (("full", "sample"), ("sample", "full")):
+                if not found[side]:
+                    continue
+                row, own, cosine, partner = (np.concatenate(c) for c in zip(*found[side]))
+                found[side].clear()
+                mine = blocks[side].values
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys.take(pa.array(row)),
+                        pa.array([side] * len(row), pa.string()),
+                        mine.field("item").take(pa.array(own)),
+                        mine.field("copies").take(pa.array(own)),
+                        pa.array(cosine),
+                        blocks[other].values.field("item").take(pa.array(partner)),
+                    ],
+                    names=names,
+                )
+
+        waiting = 0
         for r in range(batch.num_rows):
             (f0, f1), (s0, s1) = bounds["full"][r: r + 2], bounds["sample"][r: r + 2]
             a, b = _unit_matrix(blocks["full"].values, f0, f1), _unit_matrix(blocks["sample"].values, s0, s1)
@@ -83,9 +106,11 @@ def _block_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 raise ValueError("vectors of different lengths")
             # Blocks are in item order, so the first maximum is the lowest partner.
             rows, columns = [], (np.full(len(b), -np.inf), np.zeros(len(b), np.int64))
-            for i in range(0, len(a), STRIP):
+            strip = max(1, PRODUCTS // max(len(b), 1))
+            for i in range(0, len(a), strip):
                 # The last digits of a product depend on the shapes multiplied; rounded, equal ones stay equal.
-                cos = np.round(a[i: i + STRIP] @ b.T, DIGITS)
+                cos = a[i: i + strip] @ b.T
+                np.round(cos, DIGITS, out=cos)
                 rows.append((cos.max(axis=1), cos.argmax(axis=1) + s0))
                 top = cos.max(axis=0)
                 better = top > columns[0]
@@ -95,22 +120,11 @@ def _block_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ("full", (f0, f1), tuple(np.concatenate(x) for x in zip(*rows))), ("sample", (s0, s1), columns)
             ):
                 found[side].append((np.full(own[1] - own[0], r), np.arange(*own), *best))
-        for side, other in (("full", "sample"), ("sample", "full")):
-            if not found[side]:
-                continue
-            row, own, cosine, partner = (np.concatenate(c) for c in zip(*found[side]))
-            mine = blocks[side].values
-            yield pa.RecordBatch.from_arrays(
-                [
-                    keys.take(pa.array(row)),
-                    pa.array([side] * len(row), pa.string()),
-                    mine.field("item").take(pa.array(own)),
-                    mine.field("copies").take(pa.array(own)),
-                    pa.array(cosine),
-                    blocks[other].values.field("item").take(pa.array(partner)),
-                ],
-                names=names,
-            )
+            waiting += f1 - f0 + s1 - s0
+            if waiting >= MAXIMA:
+                yield from told()
+                waiting = 0
+        yield from told()
 
 
 def _with_cells(vectors: DataFrame, pivots: DataFrame, item_type: str, key_type: str, entry: str) -> DataFrame:
@@ -125,8 +139,9 @@ def _with_cells(vectors: DataFrame, pivots: DataFrame, item_type: str, key_type:
                 if x.shape[1] != p.shape[1]:
                     raise ValueError("vectors of different lengths")
                 far, cell = [], []
-                for i in range(0, len(x), STRIP):
-                    d = _chords(x[i: i + STRIP], p)
+                strip = max(1, PRODUCTS // len(p))
+                for i in range(0, len(x), strip):
+                    d = _chords(x[i: i + strip], p)
                     cell.append(d.argmin(axis=1).astype(np.int32))
                     far.append(d.min(axis=1))
                 yield pa.RecordBatch.from_arrays(
