@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.plans import nearest
+from tidemark.operators import density
+from tidemark.plans import lineage, nearest
 
 
 def test_halves_are_balanced_and_near():
@@ -51,3 +52,17 @@ def test_a_block_travels_once_for_a_group(spark, monkeypatch):
     # Nearly all cells meet in so many dimensions; before, a block went to each of them.
     assert sent <= 6 * cells.count() < meetings.count() / 4
     assert placed.agg(F.count("*")).first()[0] == 400
+
+
+def test_rounds_leave_no_edges_behind(spark, monkeypatch):
+    left, deleted = [], []
+    monkeypatch.setattr(density, "WHOLE", 0)
+    monkeypatch.setattr(density, "cut", lambda df, name="cut": left.append((name, lineage.cut(df, name))) or left[-1][1])
+    monkeypatch.setattr(density, "drop", lambda *tables: deleted.extend(tables) or lineage.drop(*tables))
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=2) + 6 * (i % 3)).tolist()) for i in range(90)]
+    points = spark.createDataFrame(rows, "id bigint, coords array<double>")
+    density.varying_density_cluster(points, min_cluster_size=12, min_samples=4, neighbours=8).collect()
+    # The edges of the graph stay; those of the rounds, and the neighbours, are gone once the next are written.
+    kept = [name for name, table in left if not any(table is x for x in deleted)]
+    assert len([name for name, _ in left if name == "edges"]) > 2 and kept.count("edges") == 1 and "neighbours" not in kept

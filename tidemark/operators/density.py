@@ -71,7 +71,9 @@ def neighbour_graph(points: DataFrame, neighbours: int, min_samples: int, by: Se
     ).groupBy(*by, "u", "v").agg(F.min("distance").alias("d"))
     at = {end: cores.select(*by, F.col("point").alias(end), F.col("core").alias(f"c{end}")) for end in "uv"}
     edges = ends.join(at["u"], [*by, "u"]).join(at["v"], [*by, "v"])
-    return cores, edges.select(*by, "u", "v", F.greatest("d", "cu", "cv").alias("w"))
+    edges = cut(edges.select(*by, "u", "v", F.greatest("d", "cu", "cv").alias("w")), "edges")
+    drop(near)
+    return cores, edges
 
 
 def _followed(moves: list[DataFrame], by: list[str]) -> DataFrame:
@@ -186,7 +188,8 @@ def _cores(nodes: DataFrame, edges: DataFrame, by: list[str], least: int) -> tup
         state = state.join(sizes.select(*by, F.col("point").alias(end), F.col("weight").alias(f"n{end}")), [*by, end])
     state = cut(state.select(*by, "a", "b", "w", "u", "v", "na", "nb"), "edges")
     small = {end: F.col(f"n{end}") < least for end in "ab"}
-    moves, between = [], [state.where(~small["a"] & ~small["b"])]
+    # Stored beside the edges of a round, which are deleted after the next.
+    moves, between = [], [cut(state.where(~small["a"] & ~small["b"]), "between")]
     while True:
         alive = state.where(small["a"] | small["b"])
         ways = [
@@ -196,6 +199,7 @@ def _cores(nodes: DataFrame, edges: DataFrame, by: list[str], least: int) -> tup
         seen = Observation()
         ways = cut(ways[0].unionByName(ways[1]).observe(seen, F.count(F.lit(1)).alias("n")), "ways")
         if not seen.get["n"]:
+            drop(ways, state)
             break
         place = Window.partitionBy(*by, "c").orderBy("w", "u", "v")
         edge = F.struct("w", "u", "v")
@@ -242,10 +246,10 @@ def _cores(nodes: DataFrame, edges: DataFrame, by: list[str], least: int) -> tup
         turned = F.col("a") > F.col("b")
         ordered = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))]
         inside = alive.where("a <> b").select(*by, "w", "u", "v", *ordered).groupBy(*by, "a", "b").agg(F.min(F.struct("w", "u", "v", "na", "nb")).alias("e"))
-        state = cut(inside.select(*by, "a", "b", "e.*"), "edges")
+        last, state = state, cut(inside.select(*by, "a", "b", "e.*"), "edges")
         # Cores stay as they are, so edges between two of them are done with.
-        between.append(state.where(~small["a"] & ~small["b"]))
-        drop(ways, first, centres, star)
+        between.append(cut(state.where(~small["a"] & ~small["b"]), "between"))
+        drop(ways, first, centres, star, last)
     shortest = between[0]
     for part in between[1:]:
         shortest = shortest.unionByName(part)
@@ -418,7 +422,7 @@ def varying_density_cluster(
     # Corpora of a user's size are one task's work each; larger ones are worked on by all.
     sizes = nodes.groupBy(*by).agg((F.count(F.lit(1)) <= WHOLE).alias("_small"))
     sizes = cut(sizes, "sizes")
-    edges, made = cut(edges, "edges"), []
+    made = []
     for small, solve in ((True, _cores_of_small), (False, _cores)):
         some = sizes.where(F.col("_small") == small).select(*by)
         if not some.isEmpty():

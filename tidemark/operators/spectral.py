@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.density import distinct_points
 from tidemark.operators.factors import combined
-from tidemark.plans.lineage import cut
+from tidemark.plans.lineage import cut, drop
 from tidemark.plans.nearest import nearest
 
 STEPS = 12
@@ -40,7 +40,9 @@ def weighted_graph(points: DataFrame, neighbours: int) -> DataFrame:
     edges = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"), "a")), "weighted")
     degree = cut(edges.groupBy("u").agg(F.sum("a").alias("d")), "degrees")
     ends = edges.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("e")), "v")
-    return cut(ends.select("u", "v", (F.col("a") / F.sqrt(F.col("d") * F.col("e"))).alias("s"), F.col("d").alias("degree")), "graph")
+    graph = cut(ends.select("u", "v", (F.col("a") / F.sqrt(F.col("d") * F.col("e"))).alias("s"), F.col("d").alias("degree")), "graph")
+    drop(near, edges, degree)
+    return graph
 
 
 def neighbour_places(
@@ -78,6 +80,7 @@ def neighbour_places(
         rows = part if rows is None else rows.unionByName(part)
     all_blocks = F.flatten(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["y"]))
     basis = cut(rows.groupBy("point").agg(all_blocks.alias("y")).join(nodes, "point"), "basis")
+    drop(graph, start, *blocks)
     size = width * (steps + 1)
 
     def squares(batches):
