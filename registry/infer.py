@@ -324,7 +324,8 @@ def document_topics(spark, d):
     vectors = cut(document_vectors(spark, d), "vectors")
     clustered = clusters.density_cluster(cut(clusters.reduce_dims(vectors, k=5).select("id", "coords"), "coords"), min_cluster_size=4)
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    posts_ = cut(texts.join(clustered, "id"), "clustered")
+    # The clusters are stored, the texts are not: they are read for their terms only, once.
+    posts_ = texts.join(cut(clustered, "clustered"), "id")
     info = cut(topics.topic_info(posts_), "info")
     flat = clusters.reduce_dims(vectors, k=2).select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
     named = topics.topic_label_lookup(posts_.select("id", "topic").join(flat, "id"), info)

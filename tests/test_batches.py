@@ -1,5 +1,7 @@
 """What a Python task holds at once does not grow with the batches that Spark hands to it."""
 
+import inspect
+
 import numpy as np
 import pyarrow as pa
 
@@ -13,6 +15,11 @@ def test_batches_of_texts_are_worked_on_in_portions(monkeypatch):
     assert [(p.start, p.stop) for p in factors._portions(lists.slice(2, 3))] == [(0, 1), (1, 2), (2, 3)]
 
 
+def test_products_of_entries_stay_in_the_cache_of_a_core():
+    columns = sum(inspect.signature(factors.factor_text).parameters[name].default for name in ("rank", "oversample"))
+    assert factors.ENTRIES * columns * 8 <= 2 << 20
+
+
 def test_maxima_are_told_before_the_batch_ends(monkeypatch):
     monkeypatch.setattr(coverage, "MAXIMA", 50)
     rng = np.random.default_rng(1)

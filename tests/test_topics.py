@@ -1,8 +1,12 @@
 import math
+import re
 
 from pyspark.sql import functions as F
 
+from registry import infer
+from tidemark.functions.stopwords import ENGLISH
 from tidemark.operators import topics
+from tidemark.plans.lineage import cut
 
 
 def frame(spark, rows):
@@ -16,6 +20,27 @@ def test_tokens_are_lower_case_words_of_two_or_more(spark):
     assert [r.term for r in topics.tokenize(frame(spark, [(1, 0, "the cat")]), stop_words=["cat"]).collect()] == ["the"]
 
 
+def test_terms_are_counted_in_generated_code(spark):
+    texts = ["The cat and the DOG, the cat", "the and of", "", None, "é_1 Éé a 42 \U00010400\U00010400 x", "cat\tcat\ncat"]
+    df = frame(spark, [(i, i % 2, t) for i, t in enumerate(texts)]).repartition(3)
+    for stops in (None, [], ["cat"]):
+        found = topics.tokenize(df, stop_words=stops)
+        want = [(i, i % 2, w) for i, t in enumerate(texts) for w in re.findall(r"\w{2,}", (t or "").lower()) if w not in (ENGLISH if stops is None else stops)]
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    counted = topics.tokenize(df).groupBy("topic", "term").count()
+    counted.collect()
+    # The generator takes no part in generated code if it calls a function for each term.
+    assert re.search(r"\*\(\d+\) Generate explode", counted._jdf.queryExecution().executedPlan().toString())
+
+
+def test_document_topics_stores_no_texts(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(infer, "cut", lambda df, name="cut": stored.append(df.columns) or cut(df, name))
+    rows = infer.document_topics(spark, "/root/testdata/sf0.001").count()
+    assert stored and not any("text" in columns for columns in stored)
+    assert rows <= spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
 def test_scores_and_negative_weights(spark):
     df = frame(spark, [(1, 0, "cat cat dog"), (2, 0, "cat"), (3, -1, "dog bird")])
     got = {(r.topic, r.term): r.score for r in topics.ctfidf(df).collect()}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.functions.stopwords import ENGLISH
 from tidemark.plans.lineage import cut
 from tidemark.plans.ordered import text_parts
 from tidemark.plans.skew import MIN_ROWS, hot_keys, salted_join
@@ -22,7 +23,10 @@ def tokenize(
     posts: DataFrame, keep: Sequence[str] = ("id", "topic"), stop_words: list[str] | None = None
 ) -> DataFrame:
     """One row per term occurrence: `keep` and `term`."""
-    return posts.select(*keep, F.explode(tx.terms("text", stop_words)).alias("term"))
+    stops = ENGLISH if stop_words is None else stop_words
+    # Stop words are left out of the rows, not of the arrays, which would keep this out of generated code.
+    found = posts.select(*keep, F.explode(tx.terms("text", [])).alias("term"))
+    return found.where(~F.col("term").isin(list(stops))) if stops else found
 
 
 def topic_sizes(posts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
