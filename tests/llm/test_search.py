@@ -177,3 +177,28 @@ def test_top_k_of_odd_vectors(spark):
     got = [(r.vec_id, r.score) for r in topk.top_k(topk.scaled(small), F.col("vec_id") == 0).orderBy("rank").collect()]
     exact = [(1, 0), (3, 2**30 * 0 - 2**30 * 0), (2, 2**60 // 2 - 2**60)]
     assert got == sorted(exact, key=lambda r: (-r[1], r[0]))
+
+
+@pytest.mark.parametrize("met", [1, 3])
+def test_top_k_sends_no_pairs_through_the_driver(spark, monkeypatch, met):
+    monkeypatch.setattr(topk, "WAVES", 0)
+    monkeypatch.setattr(topk, "MET", met)
+    rows, df = vectors(spark, 400, 6, 3)
+    got = topk.top_k(topk.scaled(df), F.col("vec_id") % 5 == 0, 5, 16, 8)
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = best(rows, 5, lambda q: q % 5 == 0)
+    del want[5], found[5]  # an id that comes twice
+    assert found == {q: some[0] for q, some in want.items()}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_starts_from_what_is_held():
+    rng = np.random.default_rng(2)
+    matrix = np.floor(256 * rng.random((4000, 4))).astype(np.float32)
+    order, query = np.argsort(matrix, axis=0, kind="stable").T, np.array([3, -1, 0, 5])
+    rows, scores, looked = topk.threshold_search(matrix, order, np.arange(4000), query, 7, 5)
+    again, same, fewer = topk.threshold_search(matrix, order, np.arange(4000), query, 7, 5, int(scores[-1]))
+    assert again.tolist() == rows.tolist() and same.tolist() == scores.tolist() and fewer == looked
+    assert topk.threshold_search(matrix, order, np.arange(4000), query, 7, 5, 1 << 40)[2] < looked

@@ -1,11 +1,12 @@
 """Exact top-k by inner product with the threshold algorithm over sorted lists, one per dimension.
 
 Candidates are dealt into blocks; a block keeps its vectors and, for each dimension, the order of its
-vectors by that component.  Queries come in blocks too, and a task meets one of each.  It goes down the
-lists, from the end that suits the sign of the query's component, looks up the whole score of every vector met
-for the first time, and stops a query when the best score an unseen vector could have, from the last
-values of all lists, is below its kth score.  Ties go to the smaller id, so it goes on while they could
-be equal.  Scores of the blocks are then merged by query.
+vectors by that component.  Queries come in parts; a task holds one part and meets a group of blocks, one after the
+other in a sorted stream, so a part travels once for a group and no pair of a part and a block is ever a row.  A query
+goes down the lists, from the end that suits the sign of its component, looks up the whole score of every vector met
+for the first time, and stops when the best score an unseen vector could have, from the last values of all lists, is
+below the kth score it has from this block or those before.  Ties go to the smaller id, so it goes on while they could
+be equal.  Scores of the groups are then merged by query.
 
 Vectors that are null, hold a null or a component that is not finite, or lack an id take no part.
 Vectors of different lengths are refused with an error, and so are components of 2^53 or more and scores
@@ -25,6 +26,9 @@ from tidemark.plans.lineage import cut
 BLOCK = 4096
 QUERIES = 8192
 DEEPER = 128
+# Groups of blocks for each task that runs at once, and the most blocks of a group.
+WAVES = 4
+MET = 32
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -58,21 +62,31 @@ def _dealt(vectors: DataFrame, rows: int) -> DataFrame:
     return dealt.groupBy("block").applyInPandas(pack, "block int, ids binary, matrix binary, order binary")
 
 
-def threshold_search(matrix: np.ndarray, order: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, k: int):
-    """Rows of the block's k best for one query, with their scores and how many rows were looked up."""
+def _leading(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best, best first."""
+    some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) > k else np.arange(len(scores))
+    return some[np.lexsort((ids[some], -scores[some]))[:k]]
+
+
+def threshold_search(matrix: np.ndarray, order: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, k: int, least: int | None = None):
+    """Rows of the block's k best for one query, with their scores and how many rows were looked up.
+
+    Rows that score less than `least` may be missing.
+    """
     n, size = matrix.shape
     seen = np.zeros(n, bool)
     rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    used = np.flatnonzero(query)
     # The list of a dimension is read from its large end where the query is positive.
-    lists = np.where((query[used] > 0)[:, None], order[used][:, ::-1], order[used])
+    up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+    used = np.concatenate([up, down])
     wanted, depth, step, looked = query.astype(matrix.dtype), 0, DEEPER, 0
-    while depth < n:
+    while looked < n:
         low, depth = depth, min(n, depth + step)
         step *= 2
         met = seen.copy()
         if len(used):
-            met[lists[:, low:depth]] = True
+            met[order[up, n - depth : n - low]] = True
+            met[order[down, low:depth]] = True
         else:
             met[low:depth] = True
         fresh = np.flatnonzero(met != seen)
@@ -81,16 +95,59 @@ def threshold_search(matrix: np.ndarray, order: np.ndarray, ids: np.ndarray, que
         found = (matrix[fresh] @ wanted).astype(np.int64)  # an error where whole numbers of any size do not fit
         own = ids[fresh] != query_id
         rows, scores = np.concatenate([rows, fresh[own]]), np.concatenate([scores, found[own]])
-        best = np.lexsort((ids[rows], -scores))[:k]
+        best = _leading(ids[rows], scores, k)
         rows, scores = rows[best], scores[best]
-        if len(rows) == k:
-            last = matrix[lists[:, depth - 1], used]
+        kth = [int(scores[-1])] * (len(rows) == k) + [least] * (least is not None)
+        if kth:
+            last = np.concatenate([matrix[order[up, n - depth], up], matrix[order[down, depth - 1], down]])
             bound = sum(int(x) * int(q) for x, q in zip(last.tolist(), query[used].tolist(), strict=True))
-            if bound < scores[-1]:
+            if bound < max(kth):
                 break
     return rows, scores, looked
 
 
+class _Asked:
+    """A part of the queries, with the k best so far and how many vectors were looked up for each."""
+
+    def __init__(self, rows: pa.StructArray, k: int):
+        self.k = k
+        # Copies, as a view would hold the whole batch.
+        self.ids = rows.field("vec_id").to_numpy().copy()
+        lists = rows.field("vector")
+        self.sizes = np.diff(lists.offsets.to_numpy())
+        self.queries = np.split(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(self.sizes)[:-1])
+        self.most = max((int(abs(x).max()) for x in self.queries if len(x)), default=0)
+        none = np.zeros(0, np.int64)
+        self.best = [(none, none)] * len(self.ids)
+        self.looked = np.zeros(len(self.ids), np.int64)
+
+    def meet(self, ids: np.ndarray, matrix: np.ndarray, order: np.ndarray) -> None:
+        matrix = matrix.reshape(len(ids), -1)
+        if (self.sizes != matrix.shape[1]).any():
+            raise ValueError("vectors of different lengths")
+        most = self.most * int(np.abs(matrix).max()) * matrix.shape[1]
+        # Sums of whole numbers are exact in floating point while they fit its digits; the largest ones need Python's.
+        matrix = matrix.astype(np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object)
+        order = order.reshape(-1, len(ids))
+        for i, (query_id, query) in enumerate(zip(self.ids.tolist(), self.queries, strict=True)):
+            held, had = self.best[i]
+            rows, scores, looked = threshold_search(matrix, order, ids, query, query_id, self.k, int(had[-1]) if len(had) == self.k else None)
+            self.looked[i] += looked
+            held, had = np.concatenate([held, ids[rows]]), np.concatenate([had, scores])
+            best = _leading(held, had, self.k)
+            self.best[i] = held[best], had[best]
+
+    def result(self) -> pa.RecordBatch:
+        found = np.array([len(held) for held, _ in self.best], np.int64)
+        looked = np.zeros(found.sum(), np.int64)
+        # With the first row of each query.
+        looked[(np.cumsum(found) - found)[found > 0]] = self.looked[found > 0]
+        held, had = (np.concatenate(x) for x in zip(*self.best, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (np.repeat(self.ids, found), held, had, looked)], ["query_id", "vec_id", "score", "looked"]
+        )
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """`query_id, rank, vec_id, score, looked_up` for the rows of `vec_id, vector` where `is_query` holds.
 
@@ -103,34 +160,35 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK,
         asked.withColumn("part", F.pmod(F.xxhash64(F.lit("query"), "vec_id"), parts).cast("int"))
         .groupBy("part").agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries")), "queries"
     )
-    # Every part of the queries meets every block once, by the number of the pair.
-    n_parts, n_blocks = (F.coalesce(F.max(c), F.lit(-1)) for c in ("part", "block"))
-    last_part, last_block = batches.agg(n_parts).first()[0], lists.agg(n_blocks).first()[0]
-    left = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(0, last_part)))))
-    right = batches.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, last_block)))))
+    # Every part of the queries meets every group of blocks once, by the number of the pair.  Joined by it, Spark could
+    # take the copies of either side for as small as the table they are of, and send them all through the driver.
+    n_parts, n_blocks = (F.coalesce(F.max(c), F.lit(-1)) + 1 for c in ("part", "block"))
+    n_parts, n_blocks = max(1, batches.agg(n_parts).first()[0]), max(1, lists.agg(n_blocks).first()[0])
+    at_once = WAVES * vectors.sparkSession.sparkContext.defaultParallelism
+    groups = min(n_blocks, max(-(-at_once // n_parts), -(-n_blocks // MET)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = batches.withColumn("group", each(groups)).withColumn("block", F.lit(-1))
+    right = lists.withColumn("group", F.pmod("block", F.lit(groups))).withColumn("part", each(n_parts))
+    stream = left.unionByName(right, allowMissingColumns=True).select("part", "group", "block", "ids", "matrix", "order", "queries")
+    stream = stream.repartitionById(n_parts * groups, F.col("part") * F.lit(groups) + F.col("group")).sortWithinPartitions("part", "group", "block")
 
     def search(batches_):
+        key, held = None, None
         for batch in batches_:
-            out = [[], [], [], []]
-            for ids, matrix, order, asked_ in zip(*(batch[c].to_pylist() for c in ("ids", "matrix", "order", "queries")), strict=True):
-                ids = np.frombuffer(ids, np.int64)
-                matrix = np.frombuffer(matrix, np.int64).reshape(len(ids), -1)
-                if any(len(q["vector"]) != matrix.shape[1] for q in asked_):
-                    raise ValueError("vectors of different lengths")
-                most = max(int(abs(x)) for q in asked_ for x in q["vector"]) * int(np.abs(matrix).max()) * matrix.shape[1]
-                # Sums of whole numbers are exact in floating point while they fit its digits; the largest ones need Python's.
-                matrix = matrix.astype(np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object)
-                order = np.frombuffer(order, np.int32).reshape(-1, len(ids))
-                for query in asked_:
-                    rows, scores, looked = threshold_search(matrix, order, ids, np.array(query["vector"], np.int64), query["vec_id"], k)
-                    out[0] += [query["vec_id"]] * len(rows)
-                    out[1] += ids[rows].tolist()
-                    out[2] += scores.tolist()
-                    out[3] += [looked] + [0] * (len(rows) - 1) if len(rows) else []
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score", "looked"])
-
-    pairs = left.join(right, ["part", "block"]).select("part", "block", "ids", "matrix", "order", "queries")
-    found = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint, looked bigint")
+            for r in range(batch.num_rows):
+                here = batch["part"][r], batch["group"][r]
+                if here != key:
+                    if held:
+                        yield held.result()
+                    key, held = here, None
+                if batch["block"][r].as_py() < 0:
+                    held = _Asked(batch["queries"].slice(r, 1).flatten(), k)
+                elif held:
+                    held.meet(*(np.frombuffer(batch[c][r].as_buffer(), kind) for c, kind in (("ids", np.int64), ("matrix", np.int64), ("order", np.int32))))
+        if held:
+            yield held.result()
+
+    found = stream.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint, looked bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("looked_up", F.sum("looked").over(Window.partitionBy("query_id")))
