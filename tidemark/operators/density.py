@@ -5,7 +5,8 @@ largest of their core distances and their distance (mutual reachability).  Joini
 gives a tree of clusters; here it is built from below in rounds: while a component is smaller than a cluster must be,
 it takes its shortest edge, and two that take the same edge become one, with whatever else leads to them by edges that are
 shorter than any other of theirs.  One whose shortest edge leads to a component that is large enough falls to it at
-that length.  So every point gets the core it belongs to and the length at
+that length, and so does, each at its own, every one whose chain of shortest edges, which only get shorter, ends at such
+a component.  So every point gets the core it belongs to and the length at
 which it joins; only cores, and the shortest edges between them, make the tree of clusters.  A point that joins at
 the very length at which its cluster merges belongs to the cluster.
 
@@ -18,6 +19,7 @@ one point with a weight.  Components that no edge of the graph connects are apar
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.lineage import cut, drop
-from tidemark.plans.nearest import nearest
+from tidemark.plans.nearest import cells_of, grouped, nearest
 
 # Lengths below this are this; equal points would have an infinite density.
 SHORTEST = 1e-9
-# A corpus of up to so many different points is solved by one task, with the same result.
+# A corpus of up to so many different points is solved by one task, with the same result; one of up to FORESTS times as
+# many too, once tasks for near points have left out edges that close cycles.
 WHOLE = 1 << 15
+FORESTS = 128
 _ALL = "_corpus"
 
 
@@ -95,50 +99,127 @@ def _followed(moves: list[DataFrame], by: list[str]) -> DataFrame:
         links = cut(links.where("at IS NOT NULL").unionByName(after), "moves")
 
 
-def cores_in_order(point, weight, u, v, w, least: int) -> tuple[dict, dict, list]:
-    """The same as the rounds of `_cores` for one small corpus, one edge after the other: leaf and length by point,
-    and the edges (a, b, w, u, v) that join cores."""
-    size = dict(zip(point, weight, strict=True))
-    up = {x: x for x in point}
-    inside = {x: [x] for x in point}
-    leaf = {x: x for x in point if size[x] >= least}
-    joined = dict.fromkeys(leaf, SHORTEST)
-    core_up, between = dict.fromkeys(leaf), []
+def _forest(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Which edges do not close a cycle of shorter ones."""
+    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = ends[: len(u)], ends[len(u) :]
+    order, kept, up = np.lexsort((v, u, w)), np.zeros(len(u), bool), list(range(len(names)))
+    for low in range(0, len(order), 1 << 16):
+        at = order[low : low + (1 << 16)]
+        for e, a, b in zip(at.tolist(), i[at].tolist(), j[at].tolist(), strict=True):
+            while up[a] != a:
+                up[a] = up[up[a]]
+                a = up[a]
+            while up[b] != b:
+                up[b] = up[up[b]]
+                b = up[b]
+            if a != b:
+                up[a] = b
+                kept[e] = True
+    return kept
+
+
+def _spanning(nodes: DataFrame, edges: DataFrame, by: list[str], points: int) -> DataFrame:
+    """`edges` without many that close a cycle of shorter ones, which join nothing.
+
+    Those between points of a group of near cells are looked at by one task; groups of WHOLE points come first, then
+    four times as many in each, up to FORESTS times as many or all `points` of the largest corpus.
+    """
+    sizes = [WHOLE << 2 * i for i in range(16) if WHOLE and WHOLE << 2 * i < min(points, WHOLE * FORESTS)]
+    if not sizes:
+        return edges
+    placed, cells = cells_of(nodes, by)
+    left = edges
+    for end in "uv":
+        left = left.join(placed.select(*by, F.col("point").alias(end), F.col("cell").alias(f"c{end}")), [*by, end])
+    names = [*by, "u", "v", "w", "cu", "cv"]
+    left = cut(left.select(names), "placed-edges")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema)
+
+    def spanned(rows):
+        return rows.loc[_forest(*(rows[c].to_numpy() for c in ("u", "v", "w"))), names]
+
+    for size in sizes:
+        groups = cut(grouped(cells, by, lambda n, _, size=size: -(-n // size)), "groups")
+        met = left
+        for end in "uv":
+            met = met.join(groups.select(*by, F.col("cell").alias(f"c{end}"), F.col("group").alias(f"g{end}")), [*by, f"c{end}"])
+        within = met.where("gu = gv").groupBy(*by, "gu").applyInPandas(spanned, schema)
+        after = cut(within.unionByName(met.where("gu <> gv").select(names)), "spanning")
+        drop(groups, left)
+        left = after
+    drop(cells)
+    return left.select(*by, "u", "v", "w")
+
+
+def cores_in_order(point: np.ndarray, weight: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """The same as the rounds of `_cores` for one corpus, one edge after the other: for each point the smallest of its
+    core, or -1, and the length, and the edges (a, b, w, u, v) that join cores."""
+    names = np.sort(point)
+    n = len(names)
+    place = np.searchsorted(names, point)
+    size = array("q", weight[np.argsort(place)].astype(np.int64).tobytes())
+    # `up` is shortened on the way; `into` stays, and `at` is the length at which what is here joined a core or became one.
+    up, into = array("q", range(n)), np.arange(n)
+    core = bytearray(s >= least for s in size)
+    at = np.where(np.frombuffer(core, np.uint8) > 0, SHORTEST, np.nan)
+    core_up, between = {}, []
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-    def top(chain, x):
-        while chain[x] is not None and chain[x] != x:
-            x = chain[x]
+    def top_core(x):
+        while core_up.get(x, x) != x:
+            core_up[x] = core_up.get(core_up[x], core_up[x])
+            x = core_up[x]
         return x
 
-    for length, i, j in sorted(zip(w, u, v, strict=True)):
-        a, b = top(up, i), top(up, j)
-        if a == b:
-            continue
-        if a in leaf and b in leaf:
-            x, y = top(core_up, a), top(core_up, b)
-            if x != y:
-                core_up[x] = y
-                between.append((a, b, length, i, j))
-            continue
-        if a in leaf or (b not in leaf and len(inside[a]) > len(inside[b])):
-            a, b = b, a
-        # The part that is no core, or the smaller one, goes into the other.
-        up[a] = b
-        if b in leaf:
-            for x in inside.pop(a):
-                leaf[x], joined[x] = b, length
-        else:
-            inside[b] += inside.pop(a)
-            size[b] += size[a]
-            if size[b] >= least:
-                core_up[b] = None
-                for x in inside.pop(b):
-                    leaf[x], joined[x] = b, length
-    return leaf, joined, between
+    order = np.lexsort((v, u, w))
+    for low in range(0, len(order), 1 << 16):
+        some = order[low : low + (1 << 16)]
+        ends = (np.searchsorted(names, x[some]).tolist() for x in (u, v))
+        for length, i, j in zip(w[some].tolist(), *ends, strict=True):
+            a, b = top(i), top(j)
+            if a == b:
+                continue
+            if core[a] and core[b]:
+                x, y = top_core(a), top_core(b)
+                if x != y:
+                    core_up[x] = y
+                    between.append((a, b, length, names[i], names[j]))
+                continue
+            # The part that is no core, or the smaller one, goes into the other.
+            if core[a] or (not core[b] and size[a] > size[b]):
+                a, b = b, a
+            up[a] = into[a] = b
+            if core[b]:
+                at[a] = length
+            else:
+                size[b] += size[a]
+                if size[b] >= least:
+                    core[b], at[b] = 1, length
+    joined, here = at.copy(), into.copy()
+    while True:
+        open_ = np.flatnonzero(np.isnan(joined) & (into[here] != here))
+        joined = np.where(np.isnan(joined), at[here], joined)
+        if not len(open_):
+            break
+        here[open_] = into[here[open_]]
+    leaf = np.array([top(x) for x in range(n)], np.int64)
+    found = np.frombuffer(core, np.uint8)[leaf] > 0
+    # A core is named by its smallest point; names are in order.
+    first = np.full(n, n)
+    np.minimum.at(first, leaf, np.arange(n))
+    name = lambda x: int(names[first[leaf[x]]])
+    leaves = np.where(found, names[first[leaf]], -1) if n else leaf
+    return leaves[place], np.where(found, joined, np.nan)[place], [(name(a), name(b), length, int(i), int(j)) for a, b, length, i, j in between]
 
 
 def _cores_of_small(nodes: DataFrame, edges: DataFrame, by: list[str], least: int) -> tuple[DataFrame, DataFrame]:
-    """`_cores` for corpora of at most WHOLE points, each in one task."""
+    """`_cores` for corpora of at most WHOLE points, or FORESTS times as many with few edges, each in one task."""
     import pandas as pd
 
     kinds = ", ".join(f"{b} {nodes.schema[b].dataType.simpleString()}" for b in by)
@@ -147,17 +228,10 @@ def _cores_of_small(nodes: DataFrame, edges: DataFrame, by: list[str], least: in
     def solve(own, links):
         if not len(own):
             return pd.DataFrame({n: [] for n in names})
-        leaf, joined, between = cores_in_order(
-            own["point"].tolist(), own["weight"].tolist(), *(links[c].tolist() for c in ("u", "v", "w")), least
-        )
-        # A core is named by its smallest point.
-        name = {}
-        for x, core in leaf.items():
-            name[core] = min(x, name.get(core, x))
-        members = own[[*by, "point", "weight"]].assign(
-            leaf=pd.array([name[leaf[x]] if x in leaf else None for x in own["point"].tolist()], "Int64"), joined=[joined.get(x) for x in own["point"].tolist()]
-        )
-        rows = pd.DataFrame([(name[a], name[b], w, u, v) for a, b, w, u, v in between], columns=["a", "b", "w", "u", "v"])
+        leaf, joined, between = cores_in_order(*(own[c].to_numpy() for c in ("point", "weight")), *(links[c].to_numpy() for c in ("u", "v", "w")), least)
+        members = own[[*by, "point", "weight"]].assign(leaf=pd.array(leaf, "Int64"), joined=joined)
+        members.loc[leaf < 0, "leaf"] = pd.NA
+        rows = pd.DataFrame(between, columns=["a", "b", "w", "u", "v"])
         for b in by:
             rows[b] = own[b].iloc[0]
         out = pd.concat([members, rows], ignore_index=True).reindex(columns=names)
@@ -174,6 +248,29 @@ def _cores_of_small(nodes: DataFrame, edges: DataFrame, by: list[str], least: in
     )
 
 
+def _leading_to_cores(first: DataFrame, by: list[str], least: int) -> DataFrame:
+    """`by, c, n`: the components whose chain of shortest edges ends at a core, and that core.
+
+    Along a chain edges get shorter, so what a component leads to has fallen to the core before it does.  Each round
+    doubles how far all chains have been followed; where none has come to a core, none is longer.
+    """
+    chains = first.select(*by, "c", F.col("to").alias("n"), (F.col("other") >= least).alias("done"))
+    written = None
+    while True:
+        step = chains.select(*by, F.col("c").alias("n"), F.col("n").alias("_n"), F.col("done").alias("_done"))
+        seen = Observation()
+        new = ~F.col("done") & F.coalesce("_done", F.lit(False))
+        after = chains.join(step, [*by, "n"], "left").select(
+            *by, "c", F.when(F.col("done"), F.col("n")).otherwise(F.coalesce("_n", "n")).alias("n"), (F.col("done") | new).alias("done"), new.alias("_new")
+        ).observe(seen, F.count_if("_new").alias("n")).drop("_new")
+        chains, last = cut(after, "chains"), written
+        if last is not None:
+            drop(last)
+        written = chains
+        if not seen.get["n"]:
+            return chains.where("done").select(*by, "c", "n")
+
+
 def _cores(nodes: DataFrame, edges: DataFrame, by: list[str], least: int) -> tuple[DataFrame, DataFrame]:
     """Rounds until every component is of `least` points or has no edge out.
 
@@ -208,9 +305,10 @@ def _cores(nodes: DataFrame, edges: DataFrame, by: list[str], least: int) -> tup
         first = cut(two.groupBy(*by, "c").agg(
             F.min(F.struct("w", "u", "v", "to", "own", "other")).alias("e"), F.max(F.when(F.col("_r") == 2, edge)).alias("next")
         ).select(*by, "c", "e.*", "next"), "first-edges")
-        # To a core at once.
-        settled = first.where(F.col("other") >= least).select(*by, "c", F.col("to").alias("n"), F.col("w").alias("at"), F.col("other").alias("size"))
-        waiting = first.where(F.col("other") < least)
+        # To a core at once, or through others that do.
+        chains = _leading_to_cores(first, by, least)
+        settled = cut(first.join(chains, [*by, "c"]).select(*by, "c", "n", F.col("w").alias("at"), F.lit(least).cast("bigint").alias("size")), "settled")
+        waiting = cut(first.join(settled.select(*by, "c"), [*by, "c"], "left_anti"), "waiting")
         back = waiting.select(*by, F.col("c").alias("to"), F.col("u").alias("bu"), F.col("v").alias("bv"))
         pulls = waiting.groupBy(*by, F.col("to").alias("c")).agg(F.count(F.lit(1)).alias("pull"))
         # Two that take the same edge become one.  The one that more lead to is the centre.
@@ -249,7 +347,7 @@ def _cores(nodes: DataFrame, edges: DataFrame, by: list[str], least: int) -> tup
         last, state = state, cut(inside.select(*by, "a", "b", "e.*"), "edges")
         # Cores stay as they are, so edges between two of them are done with.
         between.append(cut(state.where(~small["a"] & ~small["b"]), "between"))
-        drop(ways, first, centres, star, last)
+        drop(ways, first, settled, waiting, centres, star, last)
     shortest = between[0]
     for part in between[1:]:
         shortest = shortest.unionByName(part)
@@ -419,17 +517,22 @@ def varying_density_cluster(
         points = points.where(F.col(b).isNotNull())
     nodes = cut(distinct_points(points, by, id, coords), "nodes")
     cores, edges = neighbour_graph(nodes, neighbours or samples, samples, by)
-    # Corpora of a user's size are one task's work each; larger ones are worked on by all.
-    sizes = nodes.groupBy(*by).agg((F.count(F.lit(1)) <= WHOLE).alias("_small"))
-    sizes = cut(sizes, "sizes")
+    # Corpora of a user's size are one task's work each; larger ones are worked on by all before that, or only by all.
+    sizes = cut(nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "sizes")
     made = []
-    for small, solve in ((True, _cores_of_small), (False, _cores)):
-        some = sizes.where(F.col("_small") == small).select(*by)
-        if not some.isEmpty():
-            made.append(solve(cores.join(some, by), edges.join(some, by), by, min_cluster_size))
+    for low, high, solve in ((0, WHOLE, _cores_of_small), (WHOLE, WHOLE * FORESTS, _cores_of_small), (WHOLE * FORESTS, None, _cores)):
+        some = sizes.where((F.col("_n") > low) & (F.lit(True) if high is None else F.col("_n") <= high))
+        most = some.agg(F.max("_n")).first()[0]
+        if most is not None:
+            own, links = (t.join(some.select(*by), by) for t in (cores, edges))
+            if low or high is None:
+                links = _spanning(nodes.join(some.select(*by), by), links, by, most)
+            made.append(solve(own, links, by, min_cluster_size))
     if not made:
         return points.select(*keep, id, F.lit(-1).cast("bigint").alias("topic"), F.lit(0.0).alias("strength"))
-    members, between = made[0] if len(made) == 1 else tuple(a.unionByName(b) for a, b in zip(*made, strict=True))
+    members, between = made[0]
+    for more, others in made[1:]:
+        members, between = members.unionByName(more), between.unionByName(others)
     tree = cut(_tree(members, between, by), "tree")
     left = cut(_left_from(members, tree, by), "left-from")
 

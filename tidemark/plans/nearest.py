@@ -13,7 +13,7 @@ PIVOTS for each corpus, so cells grow beyond that many times CELL points.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -117,8 +117,8 @@ def halved(places: np.ndarray, n: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
-def _grouped(cells: DataFrame, by: list[str], k: int, at_once: int) -> DataFrame:
-    """`by, cell, group`: cells near each other together."""
+def grouped(cells: DataFrame, by: list[str], parts: Callable[[int, int], int]) -> DataFrame:
+    """`by, cell, group`: cells near each other together, in `parts` groups by the points and the dimensions of a corpus."""
     kinds = ", ".join(f"{b} {cells.schema[b].dataType.simpleString()}" for b in by)
     packed = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cell", "n", "place"))).alias("cells"))
 
@@ -127,14 +127,25 @@ def _grouped(cells: DataFrame, by: list[str], k: int, at_once: int) -> DataFrame
             for r in range(batch.num_rows):
                 rows = batch["cells"].slice(r, 1).flatten()
                 places, n = _matrix(rows.field("place")), rows.field("n").to_numpy()
-                fit = -(-int(n.sum()) * (8 * places.shape[1] + 24 * k) // GROUP_BYTES)
-                group = halved(places, n, max(at_once, fit))
+                group = halved(places, n, parts(int(n.sum()), places.shape[1]))
                 own = [pa.array([batch[b][r].as_py()] * len(rows), batch[b].type) for b in by]
                 yield pa.RecordBatch.from_arrays([*own, rows.field("cell"), pa.array(group)], [*by, "cell", "group"])
 
     return packed.mapInArrow(run, f"{kinds}, cell int, group int")
 
 
+def _grouped(cells: DataFrame, by: list[str], k: int, at_once: int) -> DataFrame:
+    """Groups whose points and partners fit a task, and enough of them."""
+    held = GROUP_BYTES
+    return grouped(cells, by, lambda n, size: max(at_once, -(-n * (8 * size + 24 * k) // held)))
+
+
+def cells_of(points: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """`by, point, cell` of `by, point, weight, coords`, and the cells with their number of points and their place."""
+    placed = cut(_assigned(points, by), "placed")
+    return placed.select(*by, "point", "cell"), cut(_cells(placed, _pivots(points, by), by), "cells")
+
+
 def _meetings(cells: DataFrame, by: list[str], k: int) -> DataFrame:
     """`by, cell, other, least`: the cells that can hold one of the k nearest of a point of `cell`, and how near."""
     mine = cells.select(*by, "cell", F.col("reach").alias("r"), F.col("place").alias("p"))
