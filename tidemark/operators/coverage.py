@@ -27,6 +27,7 @@ from tidemark.plans.skew import hot_keys, salted_join
 # MAXIMA maxima at once.
 BLOCK = 8192
 PRODUCTS = 1 << 20
+STRIP = 8192
 MAXIMA = 1 << 15
 # Vectors of larger keys are dealt to about one pivot for CELL vectors, and at most PIVOTS.
 CELL = 2048
@@ -106,7 +107,7 @@ def _block_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 raise ValueError("vectors of different lengths")
             # Blocks are in item order, so the first maximum is the lowest partner.
             rows, columns = [], (np.full(len(b), -np.inf), np.zeros(len(b), np.int64))
-            strip = max(1, PRODUCTS // max(len(b), 1))
+            strip = max(1, min(STRIP, PRODUCTS // max(len(b), 1)))
             for i in range(0, len(a), strip):
                 # The last digits of a product depend on the shapes multiplied; rounded, equal ones stay equal.
                 cos = a[i: i + strip] @ b.T
@@ -139,7 +140,7 @@ def _with_cells(vectors: DataFrame, pivots: DataFrame, item_type: str, key_type:
                 if x.shape[1] != p.shape[1]:
                     raise ValueError("vectors of different lengths")
                 far, cell = [], []
-                strip = max(1, PRODUCTS // len(p))
+                strip = max(1, min(STRIP, PRODUCTS // len(p)))
                 for i in range(0, len(x), strip):
                     d = _chords(x[i: i + strip], p)
                     cell.append(d.argmin(axis=1).astype(np.int32))

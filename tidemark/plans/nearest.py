@@ -146,8 +146,14 @@ def cells_of(points: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     return placed.select(*by, "point", "cell"), cut(_cells(placed, _pivots(points, by), by), "cells")
 
 
-def _meetings(cells: DataFrame, by: list[str], k: int) -> DataFrame:
-    """`by, cell, other, least`: the cells that can hold one of the k nearest of a point of `cell`, and how near."""
+def _meetings(cells: DataFrame, *given) -> DataFrame:
+    """`by, cell, other, least`: the cells that can hold one of the k nearest of a point of `cell`, and how near.
+
+    Given `cells, by, k`, or the points and pivots that cells are made of: `placed, pivots, by, k`.
+    """
+    *pivots, by, k = given
+    if pivots:
+        cells = _cells(cells, *pivots, by)
     mine = cells.select(*by, "cell", F.col("reach").alias("r"), F.col("place").alias("p"))
     theirs = cells.select(*by, F.col("cell").alias("other"), F.col("reach").alias("s"), F.col("place").alias("q"), "n")
     between = mine.join(theirs, by).withColumn("d", _distance(F.col("p"), F.col("q"))).select(*by, "cell", "other", "r", "s", "d", "n")
