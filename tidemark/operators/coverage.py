@@ -23,11 +23,11 @@ from tidemark.plans.lineage import cut
 from tidemark.plans.skew import hot_keys, salted_join
 
 # Vectors of a block: a block travels once for each block of the other side, so blocks are large.  A task
-# multiplies as many rows of a block at a time as give PRODUCTS cosines or distances, and tells at most about
-# MAXIMA maxima at once.
+# multiplies as many rows of a block at a time as give PRODUCTS cosines or distances, at most STRIP, and tells at most
+# about MAXIMA maxima at once.
 BLOCK = 8192
 PRODUCTS = 1 << 20
-STRIP = 8192
+STRIP = PRODUCTS
 MAXIMA = 1 << 15
 # Vectors of larger keys are dealt to about one pivot for CELL vectors, and at most PIVOTS.
 CELL = 2048
